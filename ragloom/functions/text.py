@@ -58,7 +58,7 @@ def terms(c) -> Column:
 
 def is_hindi(c) -> Column:
     """Any Devanagari character (U+0900..U+097F)."""
-    return col_(c).rlike("[ऀ-ॿ]")
+    return col_(c).rlike(r"[\u0900-\u097F]")
 
 
 def normalize_digits(c) -> Column:
