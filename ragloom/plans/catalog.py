@@ -561,10 +561,11 @@ STRATEGIES = ("fixed", "semantic", "structured")
 
 
 def _qa_eval(t: Tables):
-    nested = V.qa_nested(t)
-    gt = E.ground_truth(nested)
-    evq = gt.select("query_id", "query_text").distinct()
-    idx = C.build_index_chunks(nested, threshold=SEM_THR, max_sentences=SEM_MAX).select("strategy", "doc_id", "position", "text")
+    nested = V.qa_nested(t).persist()  # read by the ground truth and all three strategies
+    gt = E.ground_truth(nested).persist()
+    evq = gt.select("query_id", "query_text").distinct().persist()
+    idx = C.build_index_chunks(nested, threshold=SEM_THR, max_sentences=SEM_MAX).select(
+        "strategy", "doc_id", "position", "text").persist()  # searched and joined back once per strategy
     parts = []
     for s in STRATEGIES:
         ch = idx.where(F.col("strategy") == s)

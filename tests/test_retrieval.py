@@ -38,12 +38,13 @@ def test_lexical_broadcast_and_salted_paths(spark):
     cdf = spark.createDataFrame(cs, "cid long, text string")
     qdf = spark.createDataFrame(qs, "qid long, q string")
     exp = brute_lexical(qs, cs, 5)
-    for max_rows in (10_000, 1):  # 1 forces the salted shuffle join
-        h = R.knn_lexical(qdf, "qid", "q", cdf, ["cid"], "text", 5, broadcast_max_rows=max_rows, salts=4)
+    # block scorer (one block / one question per block) and the relational join (broadcast / salted shuffle)
+    for method, max_rows in (("block", 10_000), ("block", 4), ("join", 10_000), ("join", 1)):
+        h = R.knn_lexical(qdf, "qid", "q", cdf, ["cid"], "text", 5, broadcast_max_rows=max_rows, salts=4, method=method)
         got = {}
         for r in h.orderBy("qid", "rank").collect():
             got.setdefault(r.qid, []).append(r.cid)
-        assert got == {q: v for q, v in exp.items() if v}, max_rows
+        assert got == {q: v for q, v in exp.items() if v}, (method, max_rows)
 
 
 def vectors(n, dim=16, seed=0):
