@@ -66,24 +66,24 @@ def _match(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
 
 
-def char_dominance(text) -> Column:
-    """struct(n, top): count of non-space characters and the count of the most frequent one."""
-    t = F.regexp_replace(col_(text), r"(?U)\s", "")
-    cs = F.array_sort(F.split(t, ""))
-    init = F.struct(F.lit("").alias("p"), F.lit(0).alias("r"), F.lit(0).alias("b"))
+def no_space(text) -> Column:
+    return F.regexp_replace(col_(text), r"(?U)\s", "")
 
-    def step(acc, x):
-        r = F.when(x == acc["p"], acc["r"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("p"), r.alias("r"), F.greatest(acc["b"], r).alias("b"))
 
-    top = F.aggregate(cs, init, step)["b"]
+def char_dominance(text, nospace=None) -> Column:
+    """struct(n, top): count of non-space characters and the count of the most frequent one.
+    Each distinct character is counted with a native ``replace`` (length drop), so the per-row work is
+    distinct chars x one string pass, with no per-character lambda. Pass ``nospace`` as a column
+    reference so the whitespace removal is not repeated inside the lambda."""
+    t = col_(nospace) if nospace is not None else no_space(text)
     n = F.length(t)
-    return F.struct(n.alias("n"), F.when(n > 0, top).otherwise(F.lit(0)).alias("top"))
+    counts = F.transform(F.array_distinct(F.split(t, "")), lambda c: n - F.length(F.replace(t, c, F.lit(""))))
+    return F.struct(n.alias("n"), F.when(n > 0, F.array_max(counts)).otherwise(F.lit(0)).alias("top"))
 
 
 def _measures(t: Column, consonant_run: int) -> list[Column]:
     """Stage 1: every regex / count the rules need, evaluated once per row."""
-    dom = char_dominance(t)
+    dom = char_dominance(t, F.col("_nsp"))
     return [
         t.rlike(SYMBOL_SPAM).alias("_m_sym"),
         _match(t, REPEATED_CHAR).alias("_m_rep"),
@@ -120,7 +120,9 @@ def _decisions() -> dict[str, tuple[Column, Column]]:
 def with_rule_columns(df: DataFrame, text_col: str, consonant_run: int = 4) -> DataFrame:
     """Adds ``{rule}_f`` (fires) and ``{rule}_d`` (detail) for every gibberish rule, on the stripped text."""
     keep = [F.col(x) for x in df.columns]
-    m = df.select(*keep, *_measures(strip(text_col), consonant_run))
+    s0 = df.select(*keep, strip(text_col).alias("_st"))
+    s0 = s0.select(*keep, "_st", no_space("_st").alias("_nsp"))
+    m = s0.select(*keep, *_measures(F.col("_st"), consonant_run))
     dec = _decisions()
     out = m.select(*keep, *[e for name in ALL_RULES for e in (dec[name][0].alias(f"{name}_f"), dec[name][1].alias(f"{name}_d"))])
     return out

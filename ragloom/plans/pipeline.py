@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions.text import is_hindi, strip
 from ragloom.operators import gates as G
+from ragloom.operators.common import checkpoint
 from ragloom.operators.generation import answer_citations, extractive_answers, generate_with, prompt_build
 from ragloom.operators.retrieval import attach_chunks, knn_lexical
 from ragloom.operators.verification import verify_answers
@@ -61,26 +62,28 @@ def answer_batch(questions: DataFrame, q_key: str, q_text: str, chunks: DataFram
     """Questions -> one result row each (see ``RESULT_COLS``); hits come from the lexical index."""
     q = questions.select(q_key, strip(q_text).alias("_t")).withColumn("_hi", is_hindi("_t"))
     q = G.with_classification(q, "_t", unsafe_words, rules).select(q_key, "_t", "_hi", "verdict", "verdict_reason")
-    # the classified questions and the top-k hits feed several exits: keep them (both are questions x k at most)
-    q = q.persist()
+    # The classified questions, hits and citations feed several exits. They are questions x k at most, so
+    # a reliable checkpoint in the shared folder is cheap; it cuts the lineage (later plans stay small)
+    # and a lost executor does not send the job back to the start.
+    q = checkpoint(q)
 
     empty = q.where(F.col("_t") == "")
     cls_stop = q.where((F.col("_t") != "") & (F.col("verdict") != G.IN_SCOPE))
     open_q = q.where((F.col("_t") != "") & (F.col("verdict") == G.IN_SCOPE))
 
-    hits = knn_lexical(open_q, q_key, "_t", chunks, c_keys, c_text, k, broadcast_max_rows, chunk_postings=chunk_postings).persist()
+    hits = checkpoint(knn_lexical(open_q, q_key, "_t", chunks, c_keys, c_text, k, broadcast_max_rows, chunk_postings=chunk_postings))
     gate = G.grounding_gate(open_q, q_key, hits, threshold).join(open_q, q_key)
     gate = gate.withColumnRenamed("reason", "grounding_reason")
     not_grounded = gate.where(~F.col("can_answer"))
     ok = gate.where(F.col("can_answer"))
 
     ok_hits = hits.join(ok.select(q_key), q_key, "left_semi")
-    ok_hits = attach_chunks(ok_hits, chunks, c_keys, [c_text, chunk_id_col], broadcast_max_rows).withColumnRenamed(c_text, "text").persist()
+    ok_hits = checkpoint(attach_chunks(ok_hits, chunks, c_keys, [c_text, chunk_id_col], broadcast_max_rows).withColumnRenamed(c_text, "text"))
     if generator is None:
         raw = extractive_answers(ok, q_key, "_t", ok_hits, max_hits)
     else:
         raw = generate_with(prompt_build(ok, q_key, "_t", ok_hits), q_key, generator)
-    cit = answer_citations(raw, q_key, "answer", ok_hits, chunk_id_col=chunk_id_col)
+    cit = checkpoint(answer_citations(raw, q_key, "answer", ok_hits, chunk_id_col=chunk_id_col))
     ver = verify_answers(cit, q_key, "final_text", ok_hits, chunk_id_col=chunk_id_col)
     done = ok.join(cit, q_key).join(ver, q_key).select(
         q_key, F.col("_t").alias("transcript"), "verdict", "verdict_reason", "top_score", "grounding_reason",
