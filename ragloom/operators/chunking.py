@@ -65,8 +65,11 @@ def sentence_similarity(df: DataFrame, text_col: str, key_cols: list[str], embed
         return s.withColumn("sim", F.when(F.col("pos") == 0, F.lit(None).cast("double"))
                             .otherwise(dot("_v", F.lag("_v").over(w)))).drop("_v")
     tr = s.select(*key_cols, "pos", F.explode(terms("sentence")).alias("term"))
-    both = tr.select(*key_cols, "pos", "term", F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
-        tr.select(*key_cols, (F.col("pos") + 1).alias("pos"), "term", F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    # one generator emits both copies of an occurrence (no union, so the text is read and split once)
+    two = F.array(F.struct(F.col("pos").alias("p"), F.lit(1).alias("a"), F.lit(0).alias("b")),
+                  F.struct((F.col("pos") + 1).alias("p"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    both = tr.select(*key_cols, "term", F.explode(two).alias("_x")).select(
+        *key_cols, F.col("_x.p").alias("pos"), "term", F.col("_x.a").alias("_a"), F.col("_x.b").alias("_b"))
     g = both.groupBy(*key_cols, "pos", "term").agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
     sims = g.groupBy(*key_cols, "pos").agg(
         F.sum(F.col("a") * F.col("b")).alias("_dot"), F.sum(F.col("a") * F.col("a")).alias("_na"),

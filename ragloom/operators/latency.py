@@ -18,8 +18,9 @@ STAGES = ("transcribe", "classify_query", "retrieve", "check_grounding", "genera
 _MASK = (1 << 33) - 1
 
 
-def group_ranks(df: DataFrame, group_cols: list[str], value_col: str, partitions: int | None = None) -> DataFrame:
-    """(group..., value, _rank, _n): 0-based rank of each value in its group and the group size."""
+def group_ranks(df: DataFrame, group_cols: list[str], value_col: str, partitions: int | None = None):
+    """((group..., _v, _rank, _n), per-partition counts): 0-based rank of each value in its group, the
+    group size, and the small (partition, group) count table the ranks were derived from."""
     s = df.select(*group_cols, F.col(value_col).alias("_v")).where(F.col("_v").isNotNull())
     s = (s.repartitionByRange(partitions, *group_cols, "_v") if partitions else s.repartitionByRange(*group_cols, "_v"))
     s = s.sortWithinPartitions(*group_cols, "_v").withColumn("_mid", F.monotonically_increasing_id())
@@ -31,7 +32,7 @@ def group_ranks(df: DataFrame, group_cols: list[str], value_col: str, partitions
     pc = pc.withColumn("_n", F.sum("_c").over(W.partitionBy(*group_cols)))
     pcb, _ = bounded_broadcast(pc, 1_000_000)
     r = s.join(pcb, ["_pid", *group_cols])
-    return r.select(*group_cols, "_v", (F.col("_off") + F.col("_loc") - F.col("_l0")).alias("_rank"), "_n")
+    return r.select(*group_cols, "_v", (F.col("_off") + F.col("_loc") - F.col("_l0")).alias("_rank"), "_n"), pc
 
 
 def percentiles(df: DataFrame, group_cols: list[str], value_col: str, ps=(0.5, 0.7, 1.0),
@@ -42,8 +43,8 @@ def percentiles(df: DataFrame, group_cols: list[str], value_col: str, ps=(0.5, 0
     nearest:  sorted[min(n-1, round_half_even(p*(n-1)))].
     """
     names = names or [f"p{int(round(p * 100))}" for p in ps]
-    r = group_ranks(df, group_cols, value_col)
-    sizes = r.select(*group_cols, "_n").distinct()
+    r, pc = group_ranks(df, group_cols, value_col)
+    sizes = pc.select(*group_cols, "_n").distinct()  # from the small per-partition table, not the ranks
     t = sizes.select(*group_cols, "_n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
                                                            for i, p in enumerate(ps)])).alias("_t"))
     idx = F.col("_t.p") * (F.col("_n") - 1).cast("double")
