@@ -29,6 +29,7 @@ LATIN_DIGITS = "0123456789"
 # Sentence enders used by the two sentence splitters.
 CHUNK_SENTENCE_SPLIT = r"(?U)(?<=[.!?।॥])\s+"  # split on whitespace after an ender; ender kept
 VERIFY_SENTENCE_SPLIT = r"[।.?!\n]+"  # split on runs of enders or newlines; enders dropped
+VERIFY_SENTENCE_SPLIT_WS = r"(?U)\s*[।.?!\n]+\s*"
 
 TERM_PATTERN = r"[\p{L}\p{M}\p{N}]+"
 
@@ -66,15 +67,19 @@ def normalize_digits(c) -> Column:
 
 
 def chunk_sentences(c) -> Column:
-    """Sentences for semantic chunking: split after ``. ! ? । ॥`` + whitespace, strip, drop empty."""
-    parts = F.split(col_(c), CHUNK_SENTENCE_SPLIT)
-    return F.filter(F.transform(parts, strip), lambda x: x != F.lit(""))
+    """Sentences for semantic chunking: split after ``. ! ? । ॥`` + whitespace, strip, drop empty.
+
+    The text is stripped once; the split consumes the whitespace between sentences, so no piece has
+    leading or trailing whitespace and no per-element strip is needed (all native expressions)."""
+    return F.array_remove(F.split(strip(c), CHUNK_SENTENCE_SPLIT), "")
 
 
 def verify_sentences(c) -> Column:
-    """Sentences for claim checking: split on runs of enders/newlines, strip, drop empty."""
-    parts = F.split(col_(c), VERIFY_SENTENCE_SPLIT)
-    return F.filter(F.transform(parts, strip), lambda x: x != F.lit(""))
+    """Sentences for claim checking: split on runs of enders/newlines, strip, drop empty.
+
+    Whitespace next to a separator is consumed by the split itself, the ends by one strip of the
+    whole text - the same pieces as splitting first and stripping each."""
+    return F.array_remove(F.split(strip(c), VERIFY_SENTENCE_SPLIT_WS), "")
 
 
 def clean_answer(c) -> Column:
