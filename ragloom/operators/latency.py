@@ -18,10 +18,11 @@ STAGES = ("transcribe", "classify_query", "retrieve", "check_grounding", "genera
 _MASK = (1 << 33) - 1
 
 
-def group_ranks(df: DataFrame, group_cols: list[str], value_col: str, partitions: int | None = None):
-    """((group..., _v, _rank, _n), per-partition counts): 0-based rank of each value in its group, the
-    group size, and the small (partition, group) count table the ranks were derived from."""
-    s = df.select(*group_cols, F.col(value_col).alias("_v")).where(F.col("_v").isNotNull())
+def group_ranks(df: DataFrame, group_cols: list[str], value_col: str, partitions: int | None = None, carry=()):
+    """((group..., _v, carry..., _rank, _n), per-partition counts): 0-based rank of each value in its
+    group, the group size, and the small (partition, group) count table the ranks were derived from.
+    ``carry`` columns travel with their row (no join back needed)."""
+    s = df.select(*group_cols, F.col(value_col).alias("_v"), *carry).where(F.col("_v").isNotNull())
     s = (s.repartitionByRange(partitions, *group_cols, "_v") if partitions else s.repartitionByRange(*group_cols, "_v"))
     s = s.sortWithinPartitions(*group_cols, "_v").withColumn("_mid", F.monotonically_increasing_id())
     s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_MASK)))
@@ -32,7 +33,7 @@ def group_ranks(df: DataFrame, group_cols: list[str], value_col: str, partitions
     pc = pc.withColumn("_n", F.sum("_c").over(W.partitionBy(*group_cols)))
     pcb, _ = bounded_broadcast(pc, 1_000_000)
     r = s.join(pcb, ["_pid", *group_cols])
-    return r.select(*group_cols, "_v", (F.col("_off") + F.col("_loc") - F.col("_l0")).alias("_rank"), "_n"), pc
+    return r.select(*group_cols, "_v", *carry, (F.col("_off") + F.col("_loc") - F.col("_l0")).alias("_rank"), "_n"), pc
 
 
 def percentiles(df: DataFrame, group_cols: list[str], value_col: str, ps=(0.5, 0.7, 1.0),

@@ -32,20 +32,21 @@ def qa_rows(t: Tables) -> DataFrame:
         .groupBy("conv_id")
         .agg(F.min_by("text", "turn").alias("query"))
     )
-    assistant = c.where(F.col("role") == "assistant").select(
-        "conv_id", F.col("turn").alias("src_turn"), F.col("text").alias("passage")
-    )
-    w = W.partitionBy("conv_id").orderBy("src_turn")
-    rn = F.row_number().over(w)
+    assistant = c.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("passage"))
+    # position = rank of the turn among the conversation's assistant turns. Ranked with the range-
+    # partitioned method, so one very long conversation is spread over many tasks (no window per key).
+    from ragloom.operators.latency import group_ranks
+
+    ranked, _ = group_ranks(assistant, ["conv_id"], "turn", carry=["passage"])
     return (
-        first_user.join(assistant, "conv_id")
+        first_user.join(ranked, "conv_id")
         .select(
             F.col("conv_id").alias("query_id"),
             "query",
-            "src_turn",
+            F.col("_v").alias("src_turn"),
             "passage",
-            (rn - 1).alias("position"),
-            F.when(rn == 1, 1).otherwise(0).alias("is_selected"),
+            F.col("_rank").cast("int").alias("position"),
+            F.when(F.col("_rank") == 0, 1).otherwise(0).alias("is_selected"),
         )
     )
 
