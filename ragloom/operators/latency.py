@@ -108,3 +108,48 @@ def stage_status(results: DataFrame, q_key: str, stopped_col: str = "stopped_at"
               .when(F.col("stage_no") == stop_no, F.lit("completed"))
               .otherwise(F.lit("disabled")))
     return e.select(q_key, "stage", "stage_no", status.alias("status"))
+
+
+# ---------------------------------------------------------------------------------------- sinks
+def write_request_latencies(requests: DataFrame, path: str, query_col: str = "request_group",
+                            ms_col: str = "total_ms") -> None:
+    """Per-request CSV with header ``query,latency_ms`` (ms rounded to 2 places, half-even)."""
+    (requests.select(F.col(query_col).cast("string").alias("query"), F.bround(ms_col, 2).alias("latency_ms"))
+     .write.mode("overwrite").option("header", True).csv(path))
+
+
+def summary_record(summary: DataFrame, breakdown: DataFrame) -> DataFrame:
+    """Nest the flat benchmark summary row (see the ``benchmark_summary`` query) into the report shape:
+    cold start, warm sample size, retrieval-only, completed-only and all-requests blocks; the
+    short-circuit breakdown is a map stage -> count built from ``breakdown(stopped_at, n)``."""
+    bd = breakdown.agg(F.map_from_entries(F.collect_list(F.struct("stopped_at", "n"))).alias("short_circuit_breakdown"))  # one entry per stage
+    s = summary.withColumn("_k", F.lit(1)).join(F.broadcast(bd.withColumn("_k", F.lit(1))), "_k")
+    pct = lambda p: F.struct(*[F.bround(F.col(f"{p}_{c}"), 2).alias(c.upper()) for c in ("p50", "p70", "p100")])
+    return s.select(
+        F.col("n_requests").alias("queries_attempted"),
+        F.struct(F.bround("cold_total_ms", 2).alias("cold_start_first_request_total_ms"),
+                 F.bround("cold_retrieve_ms", 2).alias("cold_start_first_request_retrieve_ms"),
+                 F.lit("excluded_from_percentiles").alias("status")).alias("cold_start_query"),
+        F.col("n_warm").alias("warm_benchmark_sample_size"),
+        pct("retrieval").alias("retrieval_only_latency_ms"),
+        F.struct(F.col("completed_n").alias("sample_size"),
+                 *[F.bround(F.col(f"completed_{c}"), 2).alias(c.upper()) for c in ("p50", "p70", "p100")]
+                 ).alias("full_pipeline_completed_only_latency_ms"),
+        F.struct(F.col("n_warm").alias("sample_size"), F.col("short_circuit_breakdown"),
+                 *[F.bround(F.col(f"all_{c}"), 2).alias(c.upper()) for c in ("p50", "p70", "p100")]
+                 ).alias("full_pipeline_incl_short_circuits_latency_ms"),
+    )
+
+
+def write_summary_json(record: DataFrame, path: str) -> None:
+    """The one-row report as JSON (a single small file)."""
+    record.coalesce(1).write.mode("overwrite").json(path)
+
+
+def observe_counts(df: DataFrame, name: str):
+    """Stage telemetry for a batch plan: ``(df_with_observation, observation)``; after an action on the
+    returned frame, ``observation.get`` holds the row count seen at this point of the plan."""
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs

@@ -43,3 +43,38 @@ def test_recall_monotone_and_overlap(spark):
     assert rec == {1: 0.0, 2: 0.5, 5: 0.5}
     df = spark.createDataFrame([("a b b", "b c"), ("", "x")], "a string, b string")
     assert [r.o for r in df.select(E.overlap_ratio("a", "b").alias("o")).collect()] == [0.5, 0.0]
+
+
+def test_report_sinks_and_observation(spark, tmpdir_path):
+    import json
+    import os
+
+    from conftest import SF0001
+    import __spark_entry__ as entry
+
+    summary = entry.queries()["benchmark_summary"](spark, SF0001)
+    reqs = L.request_totals(spark.createDataFrame([(1, 7, "view", 1.005, True)], "seq long, request_group long, stage string, ms double, ok boolean"))
+    bd = L.warm_only(reqs).where(~F.col("completed")).groupBy("stopped_at").agg(F.count(F.lit(1)).alias("n"))
+    rec = L.summary_record(summary, bd)
+    out = os.path.join(tmpdir_path, "summary")
+    L.write_summary_json(rec, out)
+    row = json.loads(open([os.path.join(out, f) for f in os.listdir(out) if f.endswith(".json")][0]).readline())
+    assert set(row["retrieval_only_latency_ms"]) == {"P50", "P70", "P100"}
+    assert "short_circuit_breakdown" in row["full_pipeline_incl_short_circuits_latency_ms"]
+    csv = os.path.join(tmpdir_path, "lat")
+    L.write_request_latencies(reqs, csv)
+    back = spark.read.option("header", True).csv(csv).collect()
+    assert [(r.query, r.latency_ms) for r in back] == [("7", "1.0")]
+    df, obs = L.observe_counts(spark.range(10), "retrieve")
+    df.collect()
+    assert obs.get["rows"] == 10
+
+
+def test_stt_error_classifier(spark):
+    from ragloom.sources.readers import classify_stt_error
+
+    rows = [(401, '{"error": {"message": "bad key"}}'), (422, '{"message": "bad audio"}'), (500, '{"message": "oops"}'),
+            (503, "plain body"), (400, '{"detail": "missing file"}')]
+    df = spark.createDataFrame(rows, "status int, body string")
+    got = [(r.e.retryable, r.e.message) for r in df.select(classify_stt_error("status", "body").alias("e")).collect()]
+    assert got == [(False, "bad key"), (False, "bad audio"), (True, '{"message": "oops"}'), (True, "plain body"), (False, "missing file")]
