@@ -4,17 +4,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a side may have before we stop broadcasting it and shuffle both sides instead.
+# Limits for a side we broadcast: beyond either one we shuffle both sides (or block) instead.
 DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
+DEFAULT_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked with a bounded count).
+def broadcast_size(df: DataFrame, max_rows: int) -> tuple[int, int]:
+    """(rows, bytes) of at most ``max_rows + 1`` rows; bytes = UTF-8 size of each row as JSON."""
+    r = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))), F.lit(0)).alias("b"),
+    ).first()
+    return int(r["n"]), int(r["b"])
 
-    Returns ``(df_or_hinted_df, was_broadcast)``. The count reads at most ``max_rows + 1`` rows.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows and ``max_bytes`` bytes (checked by one
+    aggregate over at most ``max_rows + 1`` rows). Returns ``(df_or_hinted_df, was_broadcast)``."""
+    n, b = broadcast_size(df, max_rows)
+    if n <= max_rows and b <= max_bytes:
         return F.broadcast(df), True
     return df, False
 
