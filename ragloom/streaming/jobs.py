@@ -45,7 +45,6 @@ def answer_stream(spark: SparkSession, question_dir: str, chunks: DataFrame, c_k
     def run(batch: DataFrame, epoch: int) -> None:
         res = answer_batch(batch, "question_id", "question", chunks, c_keys, c_text, **kw)
         _flat_result(res).write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch}"))
-        spark.catalog.clearCache()
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", _ckpt(spark, "answers", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
