@@ -82,17 +82,97 @@ def sentence_similarity(df: DataFrame, text_col: str, key_cols: list[str], embed
     return j.select(*key_cols, "pos", "sentence", sim.alias("sim"))
 
 
+def _adjacent_cosines(it):
+    """Task side (numpy): for each text row, cosine of term counts of every sentence with the previous
+    one. Integer dot products and norms, then dot / (sqrt(na) * sqrt(nb)) - the same doubles as the
+    relational plan. Runs once per Arrow batch; the first sentence of a text gets null."""
+    import numpy as np
+    import pandas as pd
+
+    for pdf in it:
+        st = pdf["_st"]
+        per_doc = st.map(len).to_numpy(dtype=np.int64)
+        sents = [np.asarray(x, dtype=object) for arr in st for x in arr]
+        n_sent = len(sents)
+        out = []
+        if n_sent:
+            lens = np.array([len(x) for x in sents], dtype=np.int64)
+            sid = np.repeat(np.arange(n_sent, dtype=np.int64), lens)
+            flat = np.concatenate(sents) if lens.sum() else np.array([], dtype=object)
+            codes, uniq = pd.factorize(flat)
+            v = max(len(uniq), 1)
+            key, cnt = np.unique(sid * v + codes, return_counts=True)
+            ks = key // v
+            cntf = cnt.astype(np.float64)
+            norm2 = np.bincount(ks, weights=cntf * cntf, minlength=n_sent)
+            prev = key - v  # same term, previous sentence
+            pos = np.searchsorted(key, prev)
+            posc = np.minimum(pos, len(key) - 1)
+            b = np.where((pos < len(key)) & (key[posc] == prev), cntf[posc], 0.0)
+            dot = np.bincount(ks, weights=cntf * b, minlength=n_sent)
+            pn = np.concatenate([[0.0], norm2[:-1]])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sim = np.where((norm2 > 0) & (pn > 0), dot / (np.sqrt(norm2) * np.sqrt(pn)), 0.0)
+        start = 0
+        for k in per_doc:
+            seg = sim[start:start + k].tolist() if k else []
+            if seg:
+                seg[0] = None
+            out.append(seg)
+            start += k
+        res = pdf.drop(columns=["_st"]).copy()
+        res["_sims"] = out
+        yield res
+
+
+def with_sentence_sims(df: DataFrame, text_col: str, key_cols: list[str]) -> DataFrame:
+    """Adds ``_sents`` (array of sentences) and ``_sims`` (similarity to the previous sentence) per text
+    row, without any shuffle: sentences and terms are extracted JVM-side, the counting is numpy per batch."""
+    from pyspark.sql import types as T
+
+    base = df.select(*key_cols, chunk_sentences(text_col).alias("_sents"))
+    base = base.select(*key_cols, "_sents", F.transform("_sents", lambda x: terms(x)).alias("_st"))
+    schema = T.StructType([base.schema[c] for c in key_cols] + [base.schema["_sents"],
+                          T.StructField("_sims", T.ArrayType(T.DoubleType()))])
+    return base.select(*key_cols, "_sents", "_st").mapInPandas(_adjacent_cosines, schema)
+
+
 def semantic_boundaries(df: DataFrame, text_col: str, key_cols: list[str], threshold: float = 0.55,
-                        embed=None) -> DataFrame:
-    s = sentence_similarity(df, text_col, key_cols, embed)
+                        embed=None, method: str = "arrays") -> DataFrame:
+    """(key..., pos, sentence, sim, is_boundary) for every sentence."""
+    if embed is None and method == "arrays":
+        s = with_sentence_sims(df, text_col, key_cols)
+        z = F.arrays_zip(F.col("_sents").alias("sentence"), F.col("_sims").alias("sim"))
+        s = s.select(*key_cols, F.posexplode(z).alias("pos", "_z")).select(
+            *key_cols, "pos", F.col("_z.sentence").alias("sentence"), F.col("_z.sim").alias("sim"))
+    else:
+        s = sentence_similarity(df, text_col, key_cols, embed)
     return s.withColumn("is_boundary", (F.col("pos") == 0) | (F.col("sim") < F.lit(threshold)))
 
 
 def chunk_semantic(df: DataFrame, text_col: str, key_cols: list[str], threshold: float = 0.55,
-                   max_sentences: int = 12, embed=None) -> DataFrame:
+                   max_sentences: int = 12, embed=None, method: str = "arrays") -> DataFrame:
     """A chunk starts at a run start (first sentence or sim < threshold) and every ``max_sentences``
-    sentences inside a run; chunk position = running count of starts - 1. One window order per text."""
-    b = semantic_boundaries(df, text_col, key_cols, threshold, embed)
+    sentences inside a run.
+
+    method="arrays" (default): per text row, no shuffle - similarities from ``with_sentence_sims``, then
+    run starts and chunk pieces as array expressions over the row's own sentences.
+    method="relational" (and any injected embedder): sentence rows, aggregations, one window per text."""
+    if embed is None and method == "arrays":
+        s = with_sentence_sims(df, text_col, key_cols)
+        n = F.size("_sents")
+        runs = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+                        lambda i: (i == 0) | (F.get(F.col("_sims"), i) < F.lit(threshold)))
+        s = s.withColumn("_runs", F.when(n > 0, runs).otherwise(F.array().cast("array<int>")))
+        run_end = lambda j: F.coalesce(F.get(F.col("_runs"), j + 1), F.size("_sents"))
+        pieces = F.flatten(F.transform("_runs", lambda st, j: F.transform(
+            F.sequence(st, run_end(j) - 1, F.lit(max_sentences)),
+            lambda c: F.struct(c.alias("start"), F.least(F.lit(max_sentences), run_end(j) - c).alias("len")))))
+        e = s.select(*key_cols, "_sents", F.posexplode(pieces).alias("position", "_p"))
+        return e.select(*key_cols, "position",
+                        F.array_join(F.slice("_sents", F.col("_p.start") + 1, F.col("_p.len")), " ").alias("text"),
+                        F.col("_p.len").alias("n_sentences"), F.lit("semantic").alias("strategy"))
+    b = semantic_boundaries(df, text_col, key_cols, threshold, embed, method="relational")
     w = W.partitionBy(*key_cols).orderBy("pos")
     run_start = F.max(F.when(F.col("is_boundary"), F.col("pos"))).over(w.rowsBetween(W.unboundedPreceding, 0))
     b = b.withColumn("_cs", F.when(((F.col("pos") - run_start) % F.lit(max_sentences)) == 0, 1).otherwise(0))

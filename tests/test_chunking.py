@@ -60,10 +60,14 @@ def test_fixed_matches_loop_and_covers_words(spark):
 def test_semantic_matches_loop(spark):
     rows = docs(80, seed=3)
     df = spark.createDataFrame(rows, "doc_id int, text string")
-    for thr, mx in [(0.05, 12), (0.3, 3), (0.55, 12), (0.9, 1)]:
-        got = {(r.doc_id, r.position): r.text for r in C.chunk_semantic(df, "text", ["doc_id"], thr, mx).collect()}
-        exp = {(d, i): s for d, t in rows for i, s in enumerate(py_semantic(t, thr, mx))}
-        assert got == exp, (thr, mx)
+    for method in ("arrays", "relational"):
+        for thr, mx in [(0.05, 12), (0.3, 3), (0.55, 12), (0.9, 1)]:
+            got = {(r.doc_id, r.position): r.text for r in C.chunk_semantic(df, "text", ["doc_id"], thr, mx, method=method).collect()}
+            exp = {(d, i): s for d, t in rows for i, s in enumerate(py_semantic(t, thr, mx))}
+            assert got == exp, (method, thr, mx)
+    a = {(r.doc_id, r.pos): r.sim for r in C.semantic_boundaries(df, "text", ["doc_id"], 0.3).collect()}
+    b = {(r.doc_id, r.pos): r.sim for r in C.semantic_boundaries(df, "text", ["doc_id"], 0.3, method="relational").collect()}
+    assert a == b  # identical doubles from both plans
 
 
 def test_structured_rules(spark):
