@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ragloom.functions import text as X
 from ragloom.functions import vectors as VEC
@@ -22,7 +21,7 @@ from ragloom.operators import verification as VER
 from ragloom.operators.common import chunk_id_col
 from ragloom.operators.index import upsert_plan
 from ragloom.plans import oracle as O
-from ragloom.plans.pipeline import answer_batch, result_json, stop_message
+from ragloom.plans.pipeline import answer_batch, result_json
 from ragloom.sources import readers as S
 from ragloom.sources import views as V
 from ragloom.sources.tables import Tables

@@ -6,7 +6,6 @@ from collections import Counter
 import pytest
 
 from ragloom.operators import gates as G
-from ragloom.operators.retrieval import SCORE_DIGITS  # noqa: F401
 
 
 def classify_rows(spark, texts, **kw):

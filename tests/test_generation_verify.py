@@ -1,6 +1,4 @@
 """Stage-5/6 cases: citations, refusal, finalisation, extractive answers, numeric-claim verification."""
-from pyspark.sql import functions as F
-
 from ragloom.operators import generation as GEN
 from ragloom.operators import verification as VER
 
