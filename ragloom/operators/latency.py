@@ -37,7 +37,7 @@ def group_ranks(df: DataFrame, group_cols: list[str], value_col: str, partitions
 
 
 def percentiles(df: DataFrame, group_cols: list[str], value_col: str, ps=(0.5, 0.7, 1.0),
-                method: str = "linear", names=None) -> DataFrame:
+                method: str = "linear", names=None, with_n: bool = False) -> DataFrame:
     """One row per group with a column per percentile.
 
     linear:   numpy's default - interpolate between ranks floor(p*(n-1)) and the next one.
@@ -66,6 +66,8 @@ def percentiles(df: DataFrame, group_cols: list[str], value_col: str, ps=(0.5, 0
     val = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_idx") - F.col("_lo").cast("double")) if method == "linear" else F.col("_a")
     g = g.select(*group_cols, "_i", val.alias("_val"))
     out = g.groupBy(*group_cols).agg(*[F.max(F.when(F.col("_i") == i, F.col("_val"))).alias(nm) for i, nm in enumerate(names)])
+    if with_n:  # the group size, from the small size table (equi-join on the group columns)
+        out = out.join(sizes.select(*group_cols, F.col("_n").alias("n")), group_cols)
     return out
 
 

@@ -735,10 +735,9 @@ def q_latency_nearest_rank(spark, d):
 @key("latency_warm", O.with_(_REQ, """SELECT count(*)::BIGINT AS n_warm, round(quantile_cont(total_ms, 0.5), 6) AS p50,
   round(quantile_cont(total_ms, 0.7), 6) AS p70, round(quantile_cont(total_ms, 1.0), 6) AS p100 FROM warm"""))
 def q_latency_warm(spark, d):
-    w = L.warm_only(_requests(spark, d)).withColumn("all", F.lit(1))
-    p = L.percentiles(w, ["all"], "total_ms")
-    n = w.groupBy("all").agg(lng(F.count(F.lit(1))).alias("n_warm"))
-    return n.join(p, "all").select("n_warm", r6("p50").alias("p50"), r6("p70").alias("p70"), r6("p100").alias("p100"))
+    w = L.warm_only(_requests(spark, d)).withColumn("series", F.lit("warm"))
+    p = L.percentiles(w, ["series"], "total_ms", with_n=True)
+    return p.select(lng("n").alias("n_warm"), r6("p50").alias("p50"), r6("p70").alias("p70"), r6("p100").alias("p100"))
 
 
 @key("latency_share", O.with_(O.views("stage_log"), """SELECT request_group, stage, round(ms, 6) AS ms,
@@ -769,20 +768,23 @@ def q_benchmark_summary(spark, d):
               .unionByName(warm.where("completed").select(F.lit("completed").alias("series"), F.col("total_ms").alias("v")))
               .unionByName(warm.select(F.lit("all").alias("series"), F.col("total_ms").alias("v"))))
     p = L.percentiles(series, ["series"], "v")
-    pv = p.agg(*[F.max(F.when(F.col("series") == s, F.col(c))).alias(f"{s}_{c}") for s in ("retrieval", "completed", "all")
-                 for c in ("p50", "p70", "p100")])
-    counts = warm.agg(lng(F.count(F.lit(1))).alias("n_warm"), lng(F.sum(F.col("completed").cast("int"))).alias("completed_n"),
-                      lng(F.sum((~F.col("completed")).cast("int"))).alias("n_short_circuit"))
-    cv = cold.agg(r6(F.max("total_ms")).alias("cold_total_ms"), r6(F.max("retrieve_ms")).alias("cold_retrieve_ms"))
-    nreq = req.agg(lng(F.count(F.lit(1))).alias("n_requests"))
-    one = nreq.withColumn("_k", F.lit(1))
-    for part in (counts, cv, pv):  # one-row aggregates placed side by side
-        one = one.join(F.broadcast(part.withColumn("_k", F.lit(1))), "_k")
-    out = [F.col("n_requests"), F.col("n_warm"), F.col("cold_total_ms"), F.col("cold_retrieve_ms")]
-    out += [r6(F.col(f"retrieval_{c}")).alias(f"retrieval_{c}") for c in ("p50", "p70", "p100")]
-    out += [F.col("completed_n")] + [r6(F.coalesce(F.col(f"completed_{c}"), F.lit(0.0))).alias(f"completed_{c}") for c in ("p50", "p70", "p100")]
-    out += [r6(F.col(f"all_{c}")).alias(f"all_{c}") for c in ("p50", "p70", "p100")] + [F.col("n_short_circuit")]
-    return one.select(*out)
+    # every one-row figure becomes (metric, value) rows; one global aggregate lays them side by side
+    kv = p.select(F.explode(F.array(*[F.struct(F.concat(F.col("series"), F.lit(f"_{c}")).alias("m"), F.col(c).cast("double").alias("v"))
+                                      for c in ("p50", "p70", "p100")])).alias("x")).select("x.m", "x.v")
+    kv = kv.unionByName(warm.agg(F.count(F.lit(1)).cast("double").alias("v")).select(F.lit("n_warm").alias("m"), "v"))
+    kv = kv.unionByName(warm.agg(F.sum(F.col("completed").cast("int")).cast("double").alias("v")).select(F.lit("completed_n").alias("m"), "v"))
+    kv = kv.unionByName(warm.agg(F.sum((~F.col("completed")).cast("int")).cast("double").alias("v")).select(F.lit("n_short_circuit").alias("m"), "v"))
+    kv = kv.unionByName(cold.agg(F.max("total_ms").alias("v")).select(F.lit("cold_total_ms").alias("m"), "v"))
+    kv = kv.unionByName(cold.agg(F.max("retrieve_ms").alias("v")).select(F.lit("cold_retrieve_ms").alias("m"), "v"))
+    kv = kv.unionByName(req.agg(F.count(F.lit(1)).cast("double").alias("v")).select(F.lit("n_requests").alias("m"), "v"))
+    val = lambda m: F.max(F.when(F.col("m") == m, F.col("v")))
+    out = [lng(val("n_requests")).alias("n_requests"), lng(val("n_warm")).alias("n_warm"),
+           r6(val("cold_total_ms")).alias("cold_total_ms"), r6(val("cold_retrieve_ms")).alias("cold_retrieve_ms")]
+    out += [r6(val(f"retrieval_{c}")).alias(f"retrieval_{c}") for c in ("p50", "p70", "p100")]
+    out += [lng(val("completed_n")).alias("completed_n")]
+    out += [r6(F.coalesce(val(f"completed_{c}"), F.lit(0.0))).alias(f"completed_{c}") for c in ("p50", "p70", "p100")]
+    out += [r6(val(f"all_{c}")).alias(f"all_{c}") for c in ("p50", "p70", "p100")] + [lng(val("n_short_circuit")).alias("n_short_circuit")]
+    return kv.agg(*out)
 
 
 # ----------------------------------------------------------------------------------------- pipeline
