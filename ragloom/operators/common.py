@@ -22,9 +22,11 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
                       max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows and ``max_bytes`` bytes (checked by one
     aggregate over at most ``max_rows + 1`` rows). Returns ``(df_or_hinted_df, was_broadcast)``."""
+    df = df.persist()  # the check computes the side once; the broadcast then reads it from the cache
     n, b = broadcast_size(df, max_rows)
     if n <= max_rows and b <= max_bytes:
         return F.broadcast(df), True
+    df.unpersist()
     return df, False
 
 
