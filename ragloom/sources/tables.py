@@ -12,10 +12,20 @@ TABLES = (
 ).split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; known: {TABLES}")
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread_small(df) if spread else df
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """A table read as fewer partitions than the cluster has cores (a small file, one row group) would
+    run its CPU-heavy narrow stages (sentence splitting, chunking, term extraction, regex gates, scoring)
+    on a few cores; spread it round-robin. Large inputs already have many partitions and are returned
+    unchanged, so the corpus is never shuffled for this. Filters and column pruning still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 class Tables:
