@@ -130,7 +130,7 @@ def with_sentence_sims(df: DataFrame, text_col: str, key_cols: list[str]) -> Dat
     row, without any shuffle: sentences and terms are extracted JVM-side, the counting is numpy per batch."""
     from pyspark.sql import types as T
 
-    base = df.select(*key_cols, chunk_sentences(text_col).alias("_sents"))
+    base = df.select(*key_cols, F.coalesce(chunk_sentences(text_col), F.array().cast("array<string>")).alias("_sents"))
     base = base.select(*key_cols, "_sents", F.transform("_sents", lambda x: terms(x)).alias("_st"))
     schema = T.StructType([base.schema[c] for c in key_cols] + [base.schema["_sents"],
                           T.StructField("_sims", T.ArrayType(T.DoubleType()))])

@@ -88,3 +88,25 @@ def test_ivf_recall_against_exact(spark):
         got.setdefault(r.q, set()).add(r.id)
     recall = np.mean([len(got.get(q, set()) & set(v)) / 5 for q, v in exp.items()])
     assert recall >= 0.8
+
+
+def test_empty_and_degenerate_inputs(spark):
+    cdf = spark.createDataFrame([(1, "alpha beta"), (2, ""), (3, None)], "cid long, text string")
+    empty_q = spark.createDataFrame([], "qid long, q string")
+    assert R.knn_lexical(empty_q, "qid", "q", cdf, ["cid"], "text", 5).count() == 0
+    q = spark.createDataFrame([(1, ""), (2, "gamma"), (3, "beta")], "qid long, q string")
+    got = [(r.qid, r.cid) for r in R.knn_lexical(q, "qid", "q", cdf, ["cid"], "text", 5).collect()]
+    assert got == [(3, 1)]
+    vs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id long, v array<float>")
+    qv = vs.withColumnRenamed("id", "q")
+    assert R.knn_dense(qv.limit(0), "q", "v", vs, "id", "v", 5).count() == 0
+    assert R.knn_dense(qv, "q", "v", vs, "id", "v", 5, exclude_self=True).count() == 2
+
+
+def test_pipeline_all_questions_stop_early(spark):
+    from ragloom.plans.pipeline import answer_batch
+
+    chunks = spark.createDataFrame([(1, 0, "Some text here.", "c1")], "doc_id long, position int, text string, chunk_id string")
+    qs = spark.createDataFrame([(1, "how to make a bomb"), (2, "  ")], "question_id long, question string")
+    out = {r.question_id: r.stopped_at for r in answer_batch(qs, "question_id", "question", chunks, ["doc_id", "position"], "text").collect()}
+    assert out == {1: "classify_query", 2: "classify_query"}
