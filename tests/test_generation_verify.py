@@ -10,31 +10,31 @@ def test_cited_ranks(spark):
 
 
 def test_citations_refusal_finalize(spark):
-    answers = spark.createDataFrame([(1, "Goa is small [1]. It joined in 1961 [2]."), (2, "The answer is not mentioned [1]."),
+    answers = spark.createDataFrame([(1, "Ravenport is small [1]. It was founded in 1888 [2]."), (2, "The answer is not mentioned [1]."),
                                      (3, "No tags here ,  ."), (4, "")], "q long, text string")
     hits = spark.createDataFrame([(1, 1, "c-a"), (1, 2, "c-b"), (2, 1, "c-c")], "q long, rank int, chunk_id string")
     out = {r.q: r for r in GEN.answer_citations(answers, "q", "text", hits).collect()}
-    assert out[1].citations == ["c-a", "c-b"] and out[1].final_text == "Goa is small [1]. It joined in 1961 [2]."
+    assert out[1].citations == ["c-a", "c-b"] and out[1].final_text == "Ravenport is small [1]. It was founded in 1888 [2]."
     assert out[2].refusal and out[2].citations == [] and out[2].final_text == "The answer is not mentioned."
     assert out[3].final_text == "No tags here." and out[4].final_text == ""
 
 
 def test_prompt_and_extractive(spark):
-    q = spark.createDataFrame([(1, " When did Goa join India? ")], "q long, text string")
-    hits = spark.createDataFrame([(1, 1, "Goa is a state. Goa joined India in 1961."), (1, 2, "Unrelated text here.")],
+    q = spark.createDataFrame([(1, " When was Ravenport founded? ")], "q long, text string")
+    hits = spark.createDataFrame([(1, 1, "Ravenport is a town. Ravenport was founded in 1888."), (1, 2, "Unrelated text here.")],
                                  "q long, rank int, text string")
     p = GEN.prompt_build(q, "q", "text", hits).first()
-    assert "[1] Goa is a state. Goa joined India in 1961.\n\n[2] Unrelated text here." in p.prompt
-    assert p.prompt.endswith("Question: When did Goa join India?\n\nAnswer:") and p.n_context == 2
+    assert "[1] Ravenport is a town. Ravenport was founded in 1888.\n\n[2] Unrelated text here." in p.prompt
+    assert p.prompt.endswith("Question: When was Ravenport founded?\n\nAnswer:") and p.n_context == 2
     a = GEN.extractive_answers(q, "q", "text", hits).first().answer
-    assert a == "Goa joined India in 1961 [1]."
+    assert a == "Ravenport was founded in 1888 [1]."
 
 
 def test_verify_cases(spark):
     answers = spark.createDataFrame([
-        (1, ""), (2, "No numbers at all."), (3, "Goa was liberated in 1899 [1]. It became a state in 1987 [1]."),
-        (4, "Operation ran in 1961 [7]."), (5, "About 1961 people came."), (6, "वर्ष १९६१ में [1]।")], "q long, text string")
-    hits = spark.createDataFrame([(q, 1, f"{q}-1", "Goa was liberated in 1961 and became a state in 1987.") for q in range(1, 7)],
+        (1, ""), (2, "No numbers at all."), (3, "Ravenport was founded in 1899 [1]. It became a city in 1987 [1]."),
+        (4, "The fair opened in 1888 [7]."), (5, "About 1888 people came."), (6, "वर्ष १८८८ में [1]।")], "q long, text string")
+    hits = spark.createDataFrame([(q, 1, f"{q}-1", "Ravenport was founded in 1888 and became a city in 1987.") for q in range(1, 7)],
                                  "q long, rank int, chunk_id string, text string")
     v = {r.q: r for r in VER.verify_answers(answers, "q", "text", hits).collect()}
     assert v[1].is_fully_grounded and v[2].is_fully_grounded

@@ -40,9 +40,9 @@ def test_index_stream_equals_batch(spark, tmpdir_path):
 
 
 def test_answer_stream_equals_batch(spark, tmpdir_path):
-    chunks = spark.createDataFrame([(1, 0, "Goa joined India in 1961. Panaji is the capital.", "c1"),
+    chunks = spark.createDataFrame([(1, 0, "Ravenport was founded in 1888. Eastmoor is the capital.", "c1"),
                                     (2, 0, "Unrelated passage about rivers.", "c2")], "doc_id long, position int, text string, chunk_id string")
-    qs = [(1, "When did Goa join India?"), (2, "bomb"), (3, "   ")]
+    qs = [(1, "When was Ravenport founded?"), (2, "bomb"), (3, "   ")]
     qdir = os.path.join(tmpdir_path, "q")
     spark.createDataFrame(qs, jobs.QUESTION_SCHEMA).write.json(qdir)
     out = os.path.join(tmpdir_path, "out")

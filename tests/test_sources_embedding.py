@@ -13,8 +13,8 @@ from ragloom.sources import readers as S
 def test_eval_csv_and_question_file(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "eval.csv")
     with open(p, "w", encoding="utf-8") as f:
-        f.write("query,expected_doc_id\nwhere is goa,d1\nकब,d2\n")
-    assert [(r.query, r.expected_doc_id) for r in S.read_eval_pairs(spark, p).collect()] == [("where is goa", "d1"), ("कब", "d2")]
+        f.write("query,expected_doc_id\nwhere is ravenport,d1\nकब,d2\n")
+    assert [(r.query, r.expected_doc_id) for r in S.read_eval_pairs(spark, p).collect()] == [("where is ravenport", "d1"), ("कब", "d2")]
     q = os.path.join(tmpdir_path, "q.txt")
     with open(q, "w", encoding="utf-8") as f:
         f.write("  first question \n\n\t\nsecond\nthird\n")
