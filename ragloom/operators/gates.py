@@ -29,11 +29,25 @@ DEV_VOWEL_OR_SIGN = r"[\u0904-\u0914\u0900-\u0903\u093A-\u094F]"
 
 ALL_RULES = ("symbol", "repeat", "dev_signs", "dev_consonants", "consonants", "dominance", "vowels", "dev_vowels")
 
-# Verdicts and reason texts.
+# Verdicts and reason texts (%s = matched text or formatted ratio / score).
 IN_SCOPE, OFF_TOPIC, UNSAFE = "in_scope", "off_topic", "unsafe"
 REASON_EMPTY = "empty transcript input"
 REASON_PASSED = "passed safety and input quality checks"
+REASON_UNSAFE = "matched safety keyword '%s'"
+REASON_GIBBERISH = "detected gibberish/nonsense input (%s)"
+RULE_TEXT = {
+    "symbol": "pure symbol/punctuation spam",
+    "repeat": "repeated character sequence '%s'",
+    "dev_signs": "Devanagari halant/matra spam '%s'",
+    "dev_consonants": "Devanagari bare consonant sequence '%s'",
+    "consonants": "keyboard mash consonant sequence '%s'",
+    "dominance": "high character dominance ratio (%s)",
+    "vowels": "low English vowel ratio (%s) in text",
+    "dev_vowels": "low Devanagari matra/vowel ratio (%s) in Hindi text",
+}
 REASON_NO_CHUNKS = "no chunks retrieved"
+REASON_BELOW = "top retrieval score %s below grounding threshold %s"
+REASON_ABOVE = "sufficient corpus grounding (top_score %s >= threshold %s)"
 
 
 def _ratio_2dp(m: Column, n: Column) -> Column:
@@ -102,18 +116,19 @@ def _decisions() -> dict[str, tuple[Column, Column]]:
     """Stage 2: rule -> (fires, detail text) from the stage-1 columns."""
     c = F.col
     ratio = lambda a, b: c(a).cast("double") / F.nullif(c(b), F.lit(0)).cast("double")
+    txt = lambda rule, arg: F.format_string(RULE_TEXT[rule], arg)
     return {
-        "symbol": (c("_m_sym"), F.lit("pure symbol/punctuation spam")),
-        "repeat": (c("_m_rep").isNotNull(), F.format_string("repeated character sequence '%s'", c("_m_rep"))),
-        "dev_signs": (c("_m_sig").isNotNull(), F.format_string("Devanagari halant/matra spam '%s'", c("_m_sig"))),
-        "dev_consonants": (c("_m_dco").isNotNull(), F.format_string("Devanagari bare consonant sequence '%s'", c("_m_dco"))),
-        "consonants": (c("_m_con").isNotNull(), F.format_string("keyboard mash consonant sequence '%s'", c("_m_con"))),
+        "symbol": (c("_m_sym"), F.lit(RULE_TEXT["symbol"])),
+        "repeat": (c("_m_rep").isNotNull(), txt("repeat", c("_m_rep"))),
+        "dev_signs": (c("_m_sig").isNotNull(), txt("dev_signs", c("_m_sig"))),
+        "dev_consonants": (c("_m_dco").isNotNull(), txt("dev_consonants", c("_m_dco"))),
+        "consonants": (c("_m_con").isNotNull(), txt("consonants", c("_m_con"))),
         "dominance": ((c("_m_n") >= DOMINANCE_MIN_CHARS) & (ratio("_m_top", "_m_n") > F.lit(DOMINANCE_MAX_SHARE)),
-                      F.concat(F.lit("high character dominance ratio ("), _ratio_2dp(c("_m_top"), c("_m_n")), F.lit(")"))),
+                      txt("dominance", _ratio_2dp(c("_m_top"), c("_m_n")))),
         "vowels": ((c("_m_let") >= VOWEL_MIN_LETTERS) & (ratio("_m_vow", "_m_let") < F.lit(VOWEL_MIN_SHARE)),
-                   F.concat(F.lit("low English vowel ratio ("), _ratio_2dp(c("_m_vow"), c("_m_let")), F.lit(") in text"))),
+                   txt("vowels", _ratio_2dp(c("_m_vow"), c("_m_let")))),
         "dev_vowels": ((c("_m_dev") >= DEV_MIN_CHARS) & (ratio("_m_devv", "_m_dev") < F.lit(DEV_MIN_SIGN_SHARE)),
-                       F.concat(F.lit("low Devanagari matra/vowel ratio ("), _ratio_2dp(c("_m_devv"), c("_m_dev")), F.lit(") in Hindi text"))),
+                       txt("dev_vowels", _ratio_2dp(c("_m_devv"), c("_m_dev")))),
     }
 
 
@@ -160,8 +175,8 @@ def with_classification(df: DataFrame, text_col: str, unsafe_words=UNSAFE_PATTER
     verdict = (F.when(empty, F.lit(OFF_TOPIC)).when(um.isNotNull(), F.lit(UNSAFE))
                .when(gr.isNotNull(), F.lit(OFF_TOPIC)).otherwise(F.lit(IN_SCOPE)))
     reason = (F.when(empty, F.lit(REASON_EMPTY))
-              .when(um.isNotNull(), F.format_string("matched safety keyword '%s'", um))
-              .when(gr.isNotNull(), F.format_string("detected gibberish/nonsense input (%s)", F.col("_gib_reason")))
+              .when(um.isNotNull(), F.format_string(REASON_UNSAFE, um))
+              .when(gr.isNotNull(), F.format_string(REASON_GIBBERISH, F.col("_gib_reason")))
               .otherwise(F.lit(REASON_PASSED)))
     rule = F.when(empty, F.lit("empty")).when(um.isNotNull(), F.lit("unsafe")).otherwise(gr)
     return d.select(*keep, "unsafe_match", verdict.alias("verdict"), reason.alias("verdict_reason"), rule.alias("rule"))
@@ -173,8 +188,9 @@ def grounding_gate(questions: DataFrame, q_key: str, hits: DataFrame, threshold:
     j = questions.select(q_key).join(top, q_key, "left")
     thr_s = f"{threshold:.2f}"
     s = F.coalesce(F.col("_s"), F.lit(0.0))
+    s4 = F.format_string("%.4f", s)
     reason = (F.when(F.col("_s").isNull(), F.lit(REASON_NO_CHUNKS))
-              .when(s < F.lit(threshold), F.format_string(f"top retrieval score %.4f below grounding threshold {thr_s}", s))
-              .otherwise(F.format_string(f"sufficient corpus grounding (top_score %.4f >= threshold {thr_s})", s)))
+              .when(s < F.lit(threshold), F.format_string(REASON_BELOW, s4, F.lit(thr_s)))
+              .otherwise(F.format_string(REASON_ABOVE, s4, F.lit(thr_s))))
     return j.select(q_key, (F.col("_s").isNotNull() & (s >= F.lit(threshold))).alias("can_answer"),
                     s.alias("top_score"), reason.alias("reason"))

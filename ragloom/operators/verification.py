@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 from ragloom.functions.text import WORD_BOUNDARY, col_, normalize_digits, strip, verify_sentences
 from ragloom.operators.common import bounded_broadcast
 
+# Claim and tag patterns, and the flag reasons.
 CLAIM_PATTERN = WORD_BOUNDARY + r"[0-9]+(?:\.[0-9]+)?%?" + WORD_BOUNDARY
 TAG_PATTERN = r"(?U)\[(\d+)\]"
+REASON_NO_CHUNK = "citation index [%s] has no matching retrieved chunk"
+REASON_NOT_IN_CITED = "numeric claim '%s' not found in cited chunk [%s] (%s)"
+REASON_NOT_IN_ANY = "uncited numeric claim '%s' not found in any retrieved chunk"
 
 
 def sentence_tags(sentence) -> Column:
@@ -50,16 +54,14 @@ def flagged_claims(answers: DataFrame, q_key: str, text_col: str, hits: DataFram
     idx_s = F.col("citation_index").cast("string")
     cited_flags = cj.where(F.col("_ht").isNull() | ~F.contains(F.col("_ht"), F.col("claim"))).select(
         q_key, "sent_no", "claim", "citation_index", "chunk_id",
-        F.when(F.col("_ht").isNull(),
-               F.concat(F.lit("citation index ["), idx_s, F.lit("] has no matching retrieved chunk")))
-        .otherwise(F.concat(F.lit("numeric claim '"), F.col("claim"), F.lit("' not found in cited chunk ["), idx_s,
-                            F.lit("] ("), F.col("chunk_id"), F.lit(")"))).alias("reason"))
+        F.when(F.col("_ht").isNull(), F.format_string(REASON_NO_CHUNK, idx_s))
+        .otherwise(F.format_string(REASON_NOT_IN_CITED, F.col("claim"), idx_s, F.col("chunk_id"))).alias("reason"))
 
     unc = c.where(F.size("tags") == 0).select(q_key, "sent_no", F.explode("claims").alias("claim"))
     found = unc.alias("u").join(hb.alias("h"), (F.col(f"u.{q_key}") == F.col(f"h.{q_key}")) & F.contains(F.col("h._ht"), F.col("u.claim")), "left_anti")
     unc_flags = found.select(
         q_key, "sent_no", "claim", F.lit(None).cast("long").alias("citation_index"), F.lit(None).cast("string").alias("chunk_id"),
-        F.concat(F.lit("uncited numeric claim '"), F.col("claim"), F.lit("' not found in any retrieved chunk")).alias("reason"))
+        F.format_string(REASON_NOT_IN_ANY, F.col("claim")).alias("reason"))
     return cited_flags.unionByName(unc_flags)
 
 
