@@ -51,8 +51,10 @@ def contains_join(needles: DataFrame, hays: DataFrame, nid: str, ntext: str, hid
             )
             cand = cand.unionByName(hay_grams.join(sa_b, "_g").select(hid, nid, ntext))
 
+    # candidates (needle, hay) are few: broadcast them (size-checked) so the hay table is only scanned
+    cand_b, _ = bounded_broadcast(cand.distinct(), broadcast_max_rows)
     return (
-        cand.join(hays.select(hid, htext), hid)
+        hays.select(hid, htext).join(cand_b, hid)
         .where(F.instr(F.col(htext), F.col(ntext)) > 0)
         .select(nid, hid)
         .distinct()
