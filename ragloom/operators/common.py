@@ -4,6 +4,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_CACHED: list = []
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """Persist an intermediate that a plan reads more than once, and remember it so that long-running
+    jobs (a stream's micro-batches) can release it with ``release_cached``."""
+    df = df.persist()
+    _CACHED.append(df)
+    return df
+
+
+def release_cached() -> int:
+    """Unpersist every intermediate cached through ``cached``; returns how many were released."""
+    n = len(_CACHED)
+    while _CACHED:
+        try:
+            _CACHED.pop().unpersist()
+        except Exception:  # noqa: BLE001 - a stopped session has nothing left to release
+            pass
+    return n
+
+
 # Limits for a side we broadcast: beyond either one we shuffle both sides (or block) instead.
 DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
 DEFAULT_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
@@ -22,7 +44,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
                       max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows and ``max_bytes`` bytes (checked by one
     aggregate over at most ``max_rows + 1`` rows). Returns ``(df_or_hinted_df, was_broadcast)``."""
-    df = df.persist()  # the check computes the side once; the broadcast then reads it from the cache
+    df = cached(df)  # the check computes the side once; the broadcast then reads it from the cache
     n, b = broadcast_size(df, max_rows)
     if n <= max_rows and b <= max_bytes:
         return F.broadcast(df), True

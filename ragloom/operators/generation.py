@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ragloom.functions.text import chunk_sentences, clean_answer, col_, normalize_digits, strip, terms
+from ragloom.operators.common import cached
 
 # Refusal phrases (lower-cased answer contains any -> refusal).
 REFUSAL_PHRASES = [
@@ -93,7 +94,7 @@ def extractive_answers(questions: DataFrame, q_key: str, q_text: str, hits: Data
     space in rank order. Hits with no overlapping sentence add nothing; no sentence -> empty answer."""
     qt = questions.select(q_key, F.explode(F.array_distinct(terms(q_text))).alias("term")).distinct()
     hs = hits.where(F.col(rank_col) <= max_hits).select(q_key, rank_col, F.posexplode(chunk_sentences(text_col)).alias("_sp", "_s"))
-    hs = hs.persist()  # sentences of the top hits (questions x max_hits texts): scored, then joined back
+    hs = cached(hs)  # sentences of the top hits (questions x max_hits texts): scored, then joined back
     st = hs.select(q_key, rank_col, "_sp", F.explode(F.array_distinct(terms("_s"))).alias("term"))
     ov = st.join(qt, [q_key, "term"]).groupBy(q_key, rank_col, "_sp").agg(F.count(F.lit(1)).alias("_ov"))
     w = W.partitionBy(q_key, rank_col).orderBy(F.col("_ov").desc(), F.col("_sp"))

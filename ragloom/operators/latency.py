@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ragloom.operators.common import bounded_broadcast
+from ragloom.operators.common import bounded_broadcast, cached
 
 STAGES = ("transcribe", "classify_query", "retrieve", "check_grounding", "generate", "verify")
 _MASK = (1 << 33) - 1
@@ -26,7 +26,7 @@ def group_ranks(df: DataFrame, group_cols: list[str], value_col: str, partitions
     s = (s.repartitionByRange(partitions, *group_cols, "_v") if partitions else s.repartitionByRange(*group_cols, "_v"))
     s = s.sortWithinPartitions(*group_cols, "_v").withColumn("_mid", F.monotonically_increasing_id())
     s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_MASK)))
-    s = s.persist()
+    s = cached(s)
     pc = s.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_c"), F.min("_loc").alias("_l0"))
     w = W.partitionBy(*group_cols).orderBy("_pid")  # <= one row per partition and group
     pc = pc.withColumn("_off", F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

@@ -18,7 +18,7 @@ from ragloom.operators import generation as GEN
 from ragloom.operators import latency as L
 from ragloom.operators import retrieval as R
 from ragloom.operators import verification as VER
-from ragloom.operators.common import chunk_id_col
+from ragloom.operators.common import cached, chunk_id_col
 from ragloom.operators.index import upsert_plan
 from ragloom.plans import oracle as O
 from ragloom.plans.pipeline import answer_batch, result_json
@@ -560,11 +560,11 @@ STRATEGIES = ("fixed", "semantic", "structured")
 
 
 def _qa_eval(t: Tables):
-    nested = V.qa_nested(t).persist()  # read by the ground truth and all three strategies
-    gt = E.ground_truth(nested).persist()
-    evq = gt.select("query_id", "query_text").distinct().persist()
-    idx = C.build_index_chunks(nested, threshold=SEM_THR, max_sentences=SEM_MAX).select(
-        "strategy", "doc_id", "position", "text").persist()  # searched and joined back once per strategy
+    nested = cached(V.qa_nested(t))  # read by the ground truth and all three strategies
+    gt = cached(E.ground_truth(nested))
+    evq = cached(gt.select("query_id", "query_text").distinct())
+    idx = cached(C.build_index_chunks(nested, threshold=SEM_THR, max_sentences=SEM_MAX).select(
+        "strategy", "doc_id", "position", "text"))  # searched and joined back once per strategy
     parts = []
     for s in STRATEGIES:
         ch = idx.where(F.col("strategy") == s)
@@ -761,7 +761,7 @@ def q_latency_share(spark, d):
   (SELECT round(quantile_cont(total_ms, 1.0), 6) FROM warm) AS all_p100,
   (SELECT count(*) FROM warm WHERE NOT completed)::BIGINT AS n_short_circuit"""))
 def q_benchmark_summary(spark, d):
-    req = _requests(spark, d).persist()
+    req = cached(_requests(spark, d))
     warm = L.warm_only(req)
     cold = req.join(F.broadcast(req.agg(F.min("first_seq").alias("first_seq"))), "first_seq")
     series = (warm.select(F.lit("retrieval").alias("series"), F.col("retrieve_ms").alias("v"))

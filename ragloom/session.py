@@ -24,6 +24,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # shuffles are sized by bytes, not by a fixed count: AQE coalesces to ~128 MB partitions
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+        # checkpoint files of intermediates are removed once no plan references them
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("RAGLOOM_DRIVER_MEMORY", "16g"))

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ragloom.operators import chunking as C
 from ragloom.operators import index as IDX
 from ragloom.plans.pipeline import answer_batch
+from ragloom.operators.common import release_cached
 from ragloom.session import ensure_checkpoint_dir
 
 QUESTION_SCHEMA = T.StructType([T.StructField("question_id", T.LongType()), T.StructField("question", T.StringType())])
@@ -45,6 +46,7 @@ def answer_stream(spark: SparkSession, question_dir: str, chunks: DataFrame, c_k
     def run(batch: DataFrame, epoch: int) -> None:
         res = answer_batch(batch, "question_id", "question", chunks, c_keys, c_text, **kw)
         _flat_result(res).write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch}"))
+        release_cached()  # this micro-batch's intermediates; a long stream must not accumulate them
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", _ckpt(spark, "answers", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -61,6 +63,7 @@ def index_stream(spark: SparkSession, passage_dir: str, index_path: str, checkpo
         nested = batch.select("query_id", "query", F.col("passages.Translated_passages").alias("passages"),
                               F.col("passages.is_selected").alias("is_selected"))
         IDX.upsert(spark, C.build_index_chunks(nested, **chunk_kw), index_path)
+        release_cached()
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", _ckpt(spark, "index", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

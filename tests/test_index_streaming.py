@@ -78,3 +78,12 @@ def test_latency_stream_closed_windows_equal_batch(spark, tmpdir_path):
     got = {(r.window_start, r.stage): (r.n, r.p50, r.p100) for r in spark.read.parquet(out).collect()}
     batch = {(r.window_start, r.stage): (r.n, r.p50, r.p100) for r in jobs.latency_windows(spark.createDataFrame(rows, jobs.STAGE_SCHEMA)).collect()}
     assert got and all(batch[k] == v for k, v in got.items())  # every emitted (closed) window equals the batch result
+
+
+def test_release_cached(spark):
+    from ragloom.operators.common import bounded_broadcast, release_cached
+
+    release_cached()
+    df, small = bounded_broadcast(spark.range(5))
+    assert small and df.count() == 5
+    assert release_cached() == 1 and release_cached() == 0
