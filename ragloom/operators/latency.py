@@ -155,3 +155,8 @@ def observe_counts(df: DataFrame, name: str):
 
     obs = Observation(name)
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
+
+def completed_calls(log: DataFrame, status_col: str = "status", ok_status: int = 200) -> DataFrame:
+    """Drop telemetry rows of failed calls (status other than ``ok_status``) before any percentile."""
+    return log.where(F.col(status_col) == ok_status)

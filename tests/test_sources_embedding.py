@@ -38,3 +38,18 @@ def test_embedder_hook_in_semantic_chunking_and_index(spark, tmpdir_path):
     rows = IDX.conform(C.chunk_fixed(docs, "text", ["doc_id"], 4, 0.0).withColumn("doc_id", F.col("doc_id").cast("string")),
                        embed=embedder_udf(letter_profile_model(16), prefix=IDX.PASSAGE_PREFIX)).collect()
     assert all(r.model_input.startswith("passage: ") and abs(np.linalg.norm(r.embedding) - 1) < 1e-5 for r in rows)
+
+
+def test_language_resolver_table_form(spark):
+    df = spark.createDataFrame([(1, "hi"), (2, "te"), (3, "ta")], "doc_id long, lang string")
+    out = {r.doc_id: (r.code, r.file_path, r.status) for r in S.resolve_languages(df, "lang", "/d").collect()}
+    assert out[1] == ("hin", "/d/train/hintrain.parquet", "ok")
+    assert out[2] == (None, None, "unknown language")
+    assert out[3][0] == "tam"
+
+
+def test_completed_calls_filter(spark):
+    from ragloom.operators import latency as L
+
+    log = spark.createDataFrame([(1, 200, 5.0), (2, 500, 9.0), (3, 200, 7.0)], "seq long, status int, ms double")
+    assert sorted(r.seq for r in L.completed_calls(log).collect()) == [1, 3]
