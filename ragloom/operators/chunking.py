@@ -60,10 +60,14 @@ def sentence_similarity(df: DataFrame, text_col: str, key_cols: list[str], embed
 
     s = sentences(df, text_col, key_cols)
     if embed is not None:
-        w = W.partitionBy(*key_cols).orderBy("pos")
-        s = s.withColumn("_v", embed(F.col("sentence")))
-        return s.withColumn("sim", F.when(F.col("pos") == 0, F.lit(None).cast("double"))
-                            .otherwise(dot("_v", F.lag("_v").over(w)))).drop("_v")
+        from ragloom.operators.common import cached
+
+        # vectors once (cached), previous sentence by an equi-join on (key, pos - 1): no window per text
+        v = cached(s.withColumn("_v", embed(F.col("sentence"))))
+        prev = v.select(*key_cols, (F.col("pos") + 1).alias("pos"), F.col("_v").alias("_pv"))
+        j = v.join(prev, [*key_cols, "pos"], "left")
+        return j.select(*key_cols, "pos", "sentence", F.when(F.col("pos") == 0, F.lit(None).cast("double"))
+                        .otherwise(dot("_v", "_pv")).alias("sim"))
     tr = s.select(*key_cols, "pos", F.explode(terms("sentence")).alias("term"))
     # one generator emits both copies of an occurrence (no union, so the text is read and split once)
     two = F.array(F.struct(F.col("pos").alias("p"), F.lit(1).alias("a"), F.lit(0).alias("b")),

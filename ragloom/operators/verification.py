@@ -36,6 +36,8 @@ def numeric_claims(sentence) -> Column:
 def claim_rows(answers: DataFrame, q_key: str, text_col: str) -> DataFrame:
     """(q_key, sent_no, sentence, tags, claims) for sentences with at least one claim."""
     s = answers.select(q_key, F.posexplode(verify_sentences(strip(text_col))).alias("sent_no", "sentence"))
+    # claims and tags need a digit: a cheap test first, the boundary regexes only where it passes
+    s = s.where(F.col("sentence").rlike("[0-9\u0966-\u096F]"))
     s = s.select(q_key, "sent_no", "sentence", sentence_tags("sentence").alias("tags"), numeric_claims("sentence").alias("claims"))
     return s.where(F.size("claims") > 0)
 
