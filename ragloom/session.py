@@ -39,15 +39,27 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names in spark.checkpoint.dir.
+    """Return the checkpoint folder for ``DataFrame.checkpoint``: the shared folder the cluster names
+    in spark.checkpoint.dir (Spark derives the context's folder from it at start-up).
 
-    Only when the session has none (local tests) do we create a scratch folder.
-    """
+    Only when the session has none (local tests) do we create a scratch folder."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="ragloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
+
+
+def checkpoint_base(spark: SparkSession) -> str:
+    """The stable base folder (spark.checkpoint.dir itself, not the per-application subfolder) for
+    state that must survive restarts, such as streaming checkpoints."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        ensure_checkpoint_dir(spark)
+        d = spark.conf.get("spark.checkpoint.dir")
+    return d

@@ -8,7 +8,8 @@
 * ``latency_stream`` stage-timing rows -> event-time tumbling windows with a watermark -> approximate
   percentiles per stage (bounded-memory sketch), appended once a window closes.
 
-Checkpoints go under the session's shared ``spark.checkpoint.dir`` unless a location is given.
+Checkpoints go under the session's shared ``spark.checkpoint.dir`` (stable across restarts) unless a
+location is given.
 """
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ from ragloom.operators import chunking as C
 from ragloom.operators import index as IDX
 from ragloom.plans.pipeline import answer_batch
 from ragloom.operators.common import release_cached
-from ragloom.session import ensure_checkpoint_dir
+from ragloom.session import checkpoint_base
 
 QUESTION_SCHEMA = T.StructType([T.StructField("question_id", T.LongType()), T.StructField("question", T.StringType())])
 STAGE_SCHEMA = T.StructType([
@@ -32,7 +33,8 @@ STAGE_SCHEMA = T.StructType([
 
 
 def _ckpt(spark: SparkSession, name: str, location: str | None) -> str:
-    return location or os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+    # stable across restarts: under spark.checkpoint.dir itself, not the per-application subfolder
+    return location or os.path.join(checkpoint_base(spark), "streams", name)
 
 
 def _flat_result(res: DataFrame) -> DataFrame:
