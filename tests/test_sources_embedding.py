@@ -53,3 +53,12 @@ def test_completed_calls_filter(spark):
 
     log = spark.createDataFrame([(1, 200, 5.0), (2, 500, 9.0), (3, 200, 7.0)], "seq long, status int, ms double")
     assert sorted(r.seq for r in L.completed_calls(log).collect()) == [1, 3]
+
+
+def test_passage_reader_ordered_limit(spark, tmpdir_path):
+    rows = [(i, "t", f"q{i}", "a", "eq", "ea", ([1], ["x"], [f"p{i}"]), "en", "hi", {"k": "v"}) for i in (5, 2, 9, 1)]
+    path = os.path.join(tmpdir_path, "passages")
+    spark.createDataFrame(rows, S.PASSAGES_SCHEMA).write.parquet(path)
+    got = [r.query_id for r in S.read_passages(spark, path, limit=2).collect()]
+    assert got == [1, 2]
+    assert S.read_passages(spark, [path]).count() == 4
