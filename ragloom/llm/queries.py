@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import simhash
+from ragloom.llm import host_rules, simhash
 from ragloom.llm.common import read_table
 
 
@@ -12,5 +12,9 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(docs).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op4_simhash_near_dedup": op4_simhash_near_dedup}
-ORACLE: dict[str, str] = {}
+def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.report(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
+ORACLE = {"op8_host_quality_rules": host_rules.SQL}

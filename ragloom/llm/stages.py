@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import simhash
+from ragloom.llm import host_rules, simhash
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,3 +18,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mine = docs.withColumn("_own_row", row_key)
     kept = mine.join(keys, (F.col("_own_row") == F.col("_keep_row")) & F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi")
     return kept.dropDuplicates(["_own_row", "doc_id"]).select(*cols)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the host-level quality rules reject go."""
+    return host_rules.judge(docs).filter("_kept").select(*docs.columns)
