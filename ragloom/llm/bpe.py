@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-MAX_STATES = 60_000
-MAX_WORDS = 200_000
+MAX_STATES = 150_000
+MAX_WORDS = 300_000
 WORD_CHARS = 48  # longer matches aren't kept for reuse
 NEVER = 1 << 60
 
@@ -66,35 +66,46 @@ def tables(ranks: dict[bytes, int]) -> dict:
 
 
 class Transducer:
-    """Bytes of one match in, token ids out."""
+    """Bytes of one match in, token ids out. Nodes of the trie and states are numbers; ``go`` and ``moves`` are keyed
+    by 256 * number + byte. In a state, hypotheses stand in the order of the bytes where their open token began, so
+    the first holds the fewest tokens back. A trie node without children is left out once its token was tried."""
 
     def __init__(self, table: dict):
         self.ranks, self.parts = table["ranks"], table["parts"]
         self.token = {r: t for t, r in self.ranks.items()}
-        self.trie: list[dict[int, int]] = [{}]
-        self.ends: list[int | None] = [None]
+        self.go: dict[int, int] = {}
+        self.ends, self.inner = [-1], [True]
         for token, rank in self.ranks.items():
             if len(token) > 1 and rank not in self.parts:
                 continue
             node = 0
             for b in token:
-                nxt = self.trie[node].get(b)
+                self.inner[node] = True
+                nxt = self.go.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self.trie[node][b] = len(self.trie)
-                    self.trie.append({})
-                    self.ends.append(None)
+                    nxt = self.go[node << 8 | b] = len(self.ends)
+                    self.ends.append(-1)
+                    self.inner.append(False)
                 node = nxt
             self.ends[node] = rank
-        self.stable: dict[tuple[int, int], bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        start = ((None, 0, ()),)
-        self.sets, self.ids = [start], {start: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.last: list[tuple[int, ...]] = [()]
-        if len(self.stable) > 4 * MAX_STATES:
+        self.stable: dict[int, bool] = {}
+        self.restart(((-1, 0, ()),))
+        self.begin = 0
+
+    def restart(self, state: tuple) -> int:
+        """Forget all states but ``state`` and the first one."""
+        first = ((-1, 0, ()),)
+        self.sets, self.ids, self.moves = [first], {first: 0}, {}
+        if len(self.stable) > 8 * MAX_STATES:
             self.stable.clear()
+        return self.number(state)
+
+    def number(self, state: tuple) -> int:
+        to = self.ids.get(state)
+        if to is None:
+            to = self.ids[state] = len(self.sets)
+            self.sets.append(state)
+        return to
 
     def spine(self, token: int, side: int) -> list[int]:
         out = [token]
@@ -104,75 +115,72 @@ class Transducer:
         return out
 
     def is_stable(self, a: int, b: int) -> bool:
-        known = self.stable.get((a, b))
-        if known is None:
-            left, right = self.spine(a, 1), self.spine(b, 0)
-            i, j, known = len(left) - 1, len(right) - 1, True
-            while True:
-                up_left = left[i - 1] if i else NEVER  # a token's id is the rank of the merge that makes it
-                up_right = right[j - 1] if j else NEVER
-                merge = self.ranks.get(self.token[left[i]] + self.token[right[j]], NEVER)
-                if merge < up_left and merge <= up_right:
-                    known = False
-                    break
-                if not i and not j:
-                    break
-                if up_left <= up_right:
-                    i -= 1
-                else:
-                    j -= 1
-            self.stable[a, b] = known
+        left, right = self.spine(a, 1), self.spine(b, 0)
+        i, j, known = len(left) - 1, len(right) - 1, True
+        while True:
+            up_left = left[i - 1] if i else NEVER  # a token's id is the rank of the merge that makes it
+            up_right = right[j - 1] if j else NEVER
+            merge = self.ranks.get(self.token[left[i]] + self.token[right[j]], NEVER)
+            if merge < up_left and merge <= up_right:
+                known = False
+                break
+            if not i and not j:
+                break
+            if up_left <= up_right:
+                i -= 1
+            else:
+                j -= 1
+        self.stable[a << 32 | b] = known
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        go, ends, inner, stable = self.go, self.ends, self.inner, self.stable
         moved, ended = [], None
         for before, node, held in self.sets[state]:
-            node = self.trie[node].get(byte)
+            node = go.get(node << 8 | byte)
             if node is None:
                 continue
-            moved.append((before, node, held))
-            token = self.ends[node]
-            if token is not None and ended is None and (before is None or self.is_stable(before, token)):
-                ended = (token, 0, (*held, token))
+            token = ends[node]
+            if token >= 0 and ended is None:
+                ok = before < 0 or stable.get(before << 32 | token)
+                if ok is None:
+                    ok = self.is_stable(before, token)
+                if ok:
+                    ended = (token, 0, (*held, token))
+            if inner[node]:
+                moved.append((before, node, held))
         if ended is None:
             raise ValueError("the ranks don't cover every byte")
         moved.append(ended)
-        common = 0
-        shortest = min(len(m[2]) for m in moved)
-        while common < shortest and all(m[2][common] == ended[2][common] for m in moved):
-            common += 1
-        out = ended[2][:common]
-        key = tuple((before, node, held[common:]) for before, node, held in moved)
-        to = self.ids.get(key)
-        if to is None:
-            to = self.ids[key] = len(self.sets)
-            self.sets.append(key)
-            self.moves.append({})
-            self.last.append(key[-1][2])
-        move = self.moves[state][byte] = (to, out)
+        out, fewest = (), moved[0][2]
+        if fewest:
+            common = 0
+            for i, token in enumerate(fewest):
+                if any(m[2][i] != token for m in moved):
+                    break
+                common = i + 1
+            if common:
+                out = fewest[:common]
+                moved = [(m[0], m[1], m[2][common:]) for m in moved]
+        move = self.moves[state << 8 | byte] = (self.number(tuple(moved)), out)
         return move
 
     def encode(self, match: bytes) -> list[int]:
         whole = self.ranks.get(match)
         if whole is not None:
             return [whole]
-        if len(self.sets) > MAX_STATES:
-            self.reset()
-        state, out, moves = 0, [], self.moves
-        for i, b in enumerate(match):
-            move = moves[state].get(b) or self.step(state, b)
+        state, out, moves = self.begin, [], self.moves
+        for b in match:
+            move = moves.get(state << 8 | b)
+            if move is None:
+                if len(self.sets) > MAX_STATES:  # start the tables anew around the state at hand
+                    state = self.restart(self.sets[state])
+                    moves = self.moves
+                move = self.step(state, b)
             state = move[0]
             if move[1]:
                 out += move[1]
-            if not i & 0xFFFFF and len(self.sets) > 2 * MAX_STATES:  # a huge match: start the tables anew around its state
-                key = self.sets[state]
-                self.reset()
-                moves = self.moves
-                state = self.ids[key] = len(self.sets)
-                self.sets.append(key)
-                moves.append({})
-                self.last.append(key[-1][2])
-        out += self.last[state]
+        out += self.sets[state][-1][2]  # the hypothesis that ends here
         return out
 
 

@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ragloom.llm import host_rules, simhash
+from ragloom.llm import bpe, host_rules, pii, simhash
 from ragloom.llm.common import read_table
 
 
@@ -16,5 +17,21 @@ def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
+def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    return bpe_digests(read_table(spark, sf_dir, "documents"), ranks_path)
+
+
+def bpe_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe.round_trip(docs.select("doc_id", "text"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
 ORACLE = {"op8_host_quality_rules": host_rules.SQL}
