@@ -7,10 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ragloom.llm.common import read_table
-from ragloom.llm.stages import near_dedup
+from ragloom.llm.stages import mix_sources, near_dedup, pii_masking, quality_rules, tokenise
 from ragloom.session import checkpoint_base
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("pii", pii_masking),
+    ("mix_sources", mix_sources),
+    ("byte_bpe", tokenise),
+]
 
 #: Fingerprints, learned patterns and merges by rank can't be written as SQL; tests hold run() against brute force.
 ORACLE_SQL = None

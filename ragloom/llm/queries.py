@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import bpe, host_rules, pii, simhash
+from ragloom.llm import bpe, host_rules, mixing, pii, simhash
 from ragloom.llm.common import read_table
 
 
@@ -13,6 +13,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(read_table(spark, sf_dir, "documents")).taken()
+
+
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.report(read_table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def bpe_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
 ORACLE = {"op8_host_quality_rules": host_rules.SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import host_rules, pii, queries, simhash
+from ragloom.llm import host_rules, mixing, pii, queries, simhash
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +31,13 @@ def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else masked
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the proportions of the mix: a document comes once for every round that takes words of it, with these
+    words as its text and n_chars."""
+    mixed = mixing.mixed_rows(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else mixed
+
+
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's text encoded by byte-level BPE and decoded again: counts and digests."""
     return queries.bpe_digests(docs)
