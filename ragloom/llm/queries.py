@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import bpe, host_rules, mixing, pii, simhash
+from ragloom.llm import bpe, fingerprints, host_rules, line_dedup, mixing, pii, simhash
 from ragloom.llm.common import read_table
 
 
@@ -17,6 +17,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(read_table(spark, sf_dir, "documents")).taken()
 
 
+def op7_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_next(read_table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = line_dedup.removed_runs(read_table(spark, sf_dir, "documents"))
+    return runs.select("doc_id", "start", "stop", "n_units", "n_words", F.array_join(F.col("kept_in").cast("array<string>"), ",").alias("kept_in"))
+
+
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.report(read_table(spark, sf_dir, "documents"))
 
@@ -37,5 +46,5 @@ def bpe_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
-ORACLE = {"op8_host_quality_rules": host_rules.SQL}
+QUERIES = {"op7_prefix_fingerprints": op7_prefix_fingerprints, "op9_line_dedup": op9_line_dedup, "op1_mix_sources": op1_mix_sources, "op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
+ORACLE = {"op9_line_dedup": line_dedup.SQL, "op8_host_quality_rules": host_rules.SQL}
