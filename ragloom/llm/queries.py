@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import bpe, fingerprints, host_rules, line_dedup, mixing, pii, quality_embed, simhash, toxicity
+from ragloom.llm import bpe, fingerprints, host_rules, html_crf, line_dedup, mixing, pii, quality_embed, simhash, toxicity
 from ragloom.llm.common import read_table
 
 
@@ -34,6 +34,11 @@ def op5_quality_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_embed.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_crf.main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.report(read_table(spark, sf_dir, "documents"))
 
@@ -54,5 +59,5 @@ def bpe_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op3_toxicity_ftrl": op3_toxicity_ftrl, "op5_quality_embeddings": op5_quality_embeddings, "op7_prefix_fingerprints": op7_prefix_fingerprints, "op9_line_dedup": op9_line_dedup, "op1_mix_sources": op1_mix_sources, "op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
+QUERIES = {"op6_html_main_text": op6_html_main_text, "op3_toxicity_ftrl": op3_toxicity_ftrl, "op5_quality_embeddings": op5_quality_embeddings, "op7_prefix_fingerprints": op7_prefix_fingerprints, "op9_line_dedup": op9_line_dedup, "op1_mix_sources": op1_mix_sources, "op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
 ORACLE = {"op9_line_dedup": line_dedup.SQL, "op8_host_quality_rules": host_rules.SQL}
