@@ -138,6 +138,8 @@ def fingerprint_udf():
 
 
 def bucket_limits(df: DataFrame, id_col: str, buckets: int) -> list[float]:
+    if buckets < 2:
+        return []
     found = df.select(F.col(id_col).cast("double").alias("v")).filter("v is not null").approxQuantile("v", [k / buckets for k in range(1, buckets)], 0.25 / buckets)
     return sorted(set(found))
 

@@ -74,7 +74,7 @@ def repeat_words(words: Column, window: int = 3) -> Column:
 
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the struct column ``_m``: the base measures, base_failed and one boolean per rule."""
+    """``df`` with the struct column ``_hq_m``: the base measures, base_failed and one boolean per rule."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
@@ -96,13 +96,13 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
             lines.getField("dup").alias("n_dup_lines"), c.getField("n_repeat_words").alias("n_repeat_words"),
             (base | symbols | repeats | length).alias("any"), base.alias("base"), symbols.alias("symbols"), repeats.alias("lines"), length.alias("length"))
 
-    return df.withColumn("_m", let(let(words_of(F.col(text_col)), counted), ruled))
+    return df.withColumn("_hq_m", let(let(words_of(F.col(text_col)), counted), ruled))
 
 
 def host_rates(measured: DataFrame, host: Column) -> DataFrame:
-    """One row per host: _host, n and for every rule the shrunk failure rate (rate_any, rate_base, ...)."""
-    counts = measured.groupBy(host.alias("_host")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"_m.{r}").cast("long")).alias(f"k_{r}") for r in RULES])
+    """One row per host: _hq_host, n and for every rule the shrunk failure rate (_hq_rate_any, _hq_rate_base, ...)."""
+    counts = measured.groupBy(host.alias("_hq_host")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"_hq_m.{r}").cast("long")).alias(f"k_{r}") for r in RULES])
     totals = counts.agg(F.sum("n").alias("t_n"), F.count(F.lit(1)).alias("t_hosts"), F.sum(F.col("n") * F.col("n").cast("double")).alias("t_nn"),
                         *[F.sum(f"k_{r}").alias(f"t_k_{r}") for r in RULES],
                         *[F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / F.col("n")).alias(f"t_q_{r}") for r in RULES])
@@ -114,45 +114,45 @@ def host_rates(measured: DataFrame, host: Column) -> DataFrame:
         strength = F.when(var > 0, F.greatest(F.lit(0.0), F.least(F.lit(MAX_STRENGTH), m * (1 - m) / var - 1))).otherwise(F.lit(MAX_STRENGTH))
         prior += [m.alias(f"m_{r}"), strength.alias(f"strength_{r}")]
     # one row of totals for each salt: an equi-join, no product
-    prior_of_salt = totals.select(*prior).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hosts = counts.withColumn("_p", F.pmod(F.xxhash64("_host"), F.lit(SALTS)).cast("int"))
-    return hosts.join(prior_of_salt, "_p").select("_host", "n", *[
-        ((F.col(f"k_{r}") + F.col(f"strength_{r}") * F.col(f"m_{r}")) / (F.col("n") + F.col(f"strength_{r}"))).alias(f"rate_{r}") for r in RULES])
+    prior_of_salt = totals.select(*prior).withColumn("_hq_p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hosts = counts.withColumn("_hq_p", F.pmod(F.xxhash64("_hq_host"), F.lit(SALTS)).cast("int"))
+    return hosts.join(prior_of_salt, "_hq_p").select("_hq_host", "n", *[
+        ((F.col(f"k_{r}") + F.col(f"strength_{r}") * F.col(f"m_{r}")) / (F.col("n") + F.col(f"strength_{r}"))).alias(f"_hq_rate_{r}") for r in RULES])
 
 
 def verdict() -> Column:
-    bad = (F.col("rate_any") > MAX_HOST_RATE) | F.col("_m.symbols")
+    bad = (F.col("_hq_rate_any") > MAX_HOST_RATE) | F.col("_hq_m.symbols")
     for r in ("lines", "length"):
-        bad = bad | (F.col(f"_m.{r}") & (F.col(f"rate_{r}") > SUSPECT_RATE))
-    return ~F.col("_m.base") & ~F.coalesce(bad, F.lit(False))
+        bad = bad | (F.col(f"_hq_m.{r}") & (F.col(f"_hq_rate_{r}") > SUSPECT_RATE))
+    return ~F.col("_hq_m.base") & ~F.coalesce(bad, F.lit(False))
 
 
 def with_verdict(measured: DataFrame, rates: DataFrame, host_col: str) -> DataFrame:
-    """``measured`` (with ``_m`` and ``_salt``) and the boolean ``_kept``."""
-    salted = rates.drop("n").withColumn("_rate_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = measured.join(salted, F.col(host_col).eqNullSafe(F.col("_host")) & (F.col("_salt") == F.col("_rate_salt")), "left")
-    return joined.select(*measured.columns, verdict().alias("_kept"))
+    """``measured`` (with ``_hq_m`` and ``_hq_salt``) and the boolean ``_hq_kept``."""
+    salted = rates.drop("n").withColumn("_hq_rate_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = measured.join(salted, F.col(host_col).eqNullSafe(F.col("_hq_host")) & (F.col("_hq_salt") == F.col("_hq_rate_salt")), "left")
+    return joined.select(*measured.columns, verdict().alias("_hq_kept"))
 
 
 def salt(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt")
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_hq_salt")
 
 
 def judge(df: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``df`` with the struct column ``_m`` of measures and the boolean ``_kept``. The texts are read and measured once
+    """``df`` with the struct column ``_hq_m`` of measures and the boolean ``_hq_kept``. The texts are read and measured once
     for the hosts and once for the documents rather than stored in between."""
-    rates = host_rates(measure(df.select(text_col, host_col), text_col).select(host_col, "_m"), F.col(host_col))
-    measured = measure(df, text_col).select(*df.columns, "_m", salt(F.col(text_col)))
-    return with_verdict(measured, rates, host_col).drop("_salt")
+    rates = host_rates(measure(df.select(text_col, host_col), text_col).select(host_col, "_hq_m"), F.col(host_col))
+    measured = measure(df, text_col).select(*df.columns, "_hq_m", salt(F.col(text_col)))
+    return with_verdict(measured, rates, host_col).drop("_hq_salt")
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per row: id, the base measures, base_failed and kept. Measures are stored once (without texts) and read twice."""
     own = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
-    measured = checkpoint(measure(own, "text").select("doc_id", "host", "_m", salt(F.col("text"))))
+    measured = checkpoint(measure(own, "text").select("doc_id", "host", "_hq_m", salt(F.col("text"))))
     judged = with_verdict(measured, host_rates(measured, F.col("host")), "host")
-    return judged.select(F.col("doc_id").alias(id_col), *[F.col(f"_m.{c}").alias(c) for c in MEASURES],
-                         F.col("_m.base").alias("base_failed"), F.col("_kept").alias("kept"))
+    return judged.select(F.col("doc_id").alias(id_col), *[F.col(f"_hq_m.{c}").alias(c) for c in MEASURES],
+                         F.col("_hq_m.base").alias("base_failed"), F.col("_hq_kept").alias("kept"))
 
 
 #: The same rows as DuckDB SQL.

@@ -74,17 +74,17 @@ def without(text: str, runs: list[tuple[int, int]]) -> str:
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``df`` with repeated runs cut from ``text_col``. Equal rows are paired with their runs in order."""
     runs = removed_runs(df, id_col, text_col, min_words)
-    per_row = runs.groupBy("row").agg(F.first(id_col).alias("_id"), F.first("row_key").alias("_key"), F.collect_list(F.struct("start", "stop")).alias("_runs"))
+    per_row = runs.groupBy("row").agg(F.first(id_col).alias("_ld_id"), F.first("row_key").alias("_ld_key"), F.collect_list(F.struct("start", "stop")).alias("_ld_runs"))
     # of equal rows the later ones lose more, so the n-th by removed length belongs to the n-th of the equal rows
-    per_row = checkpoint(per_row.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.size("_runs").desc(), "row"))).drop("row"))
-    own = df.withColumn("_own", F.xxhash64(text_col)).withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_own").orderBy(F.lit(0))))
-    joined = own.join(per_row, (F.col("_own") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_nth")), "left")
+    per_row = checkpoint(per_row.withColumn("_ld_nth", F.row_number().over(Window.partitionBy("_ld_id", "_ld_key").orderBy(F.size("_ld_runs").desc(), "row"))).drop("row"))
+    own = df.withColumn("_ld_own", F.xxhash64(text_col)).withColumn("_ld_n", F.row_number().over(Window.partitionBy(id_col, "_ld_own").orderBy(F.lit(0))))
+    joined = own.join(per_row, (F.col("_ld_own") == F.col("_ld_key")) & F.col(id_col).eqNullSafe(F.col("_ld_id")) & (F.col("_ld_n") == F.col("_ld_nth")), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or x is None or not len(x) else without(t, [(r["start"], r["stop"]) for r in x]) for t, x in zip(texts, runs)], dtype=object)
 
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("_runs"))).select(*df.columns)
+    return joined.withColumn(text_col, cut(F.col(text_col), F.col("_ld_runs"))).select(*df.columns)
 
 
 #: The removed runs of documents as DuckDB SQL (ids are distinct there).

@@ -168,13 +168,13 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     row_key = F.xxhash64(*[F.col(c) for c in cols])
     mix = Mix(df, id_col, text_col, source_col, row_key=row_key, **options)
     parts = mix.placements().groupBy("id", "row_key", "part", "number", "size", "round").agg(
-        F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_cut"), F.sum(F.col("to") - F.col("from")).alias("_words"))  # one document's segments
-    same = checkpoint(mix.rows.select("id", "row_key", "part", "number").withColumn("_nth", F.row_number().over(Window.partitionBy("id", "row_key").orderBy("part", "number"))))
-    parts = parts.join(same.select("part", "number", "_nth"), ["part", "number"]).select(
-        F.col("id").alias("_id"), F.col("row_key").alias("_key"), F.col("_nth").alias("_which"), F.col("size").alias("_size"), "_cut", "_words")
-    own = df.withColumn("_own", row_key).withColumn("_nth", F.row_number().over(Window.partitionBy(id_col, "_own").orderBy(F.lit(0))))  # equal rows
-    joined = own.join(parts, (F.col("_own") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_which")))
+        F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_mix_cut"), F.sum(F.col("to") - F.col("from")).alias("_mix_words"))  # one document's segments
+    same = checkpoint(mix.rows.select("id", "row_key", "part", "number").withColumn("_mix_nth", F.row_number().over(Window.partitionBy("id", "row_key").orderBy("part", "number"))))
+    parts = parts.join(same.select("part", "number", "_mix_nth"), ["part", "number"]).select(
+        F.col("id").alias("_mix_id"), F.col("row_key").alias("_mix_key"), F.col("_mix_nth").alias("_mix_which"), F.col("size").alias("_mix_size"), "_mix_cut", "_mix_words")
+    own = df.withColumn("_mix_own", row_key).withColumn("_mix_nth", F.row_number().over(Window.partitionBy(id_col, "_mix_own").orderBy(F.lit(0))))  # equal rows
+    joined = own.join(parts, (F.col("_mix_own") == F.col("_mix_key")) & F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_nth") == F.col("_mix_which")))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.get(F.transform(F.array(pieces), lambda p: F.array_join(F.flatten(F.transform(
-        F.col("_cut"), lambda s: F.slice(p, s.getField("from").cast("int") + 1, (s.getField("to") - s.getField("from")).cast("int")))), "")), F.lit(0))
-    return joined.withColumn(text_col, F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(cut)).select(*cols)
+        F.col("_mix_cut"), lambda s: F.slice(p, s.getField("from").cast("int") + 1, (s.getField("to") - s.getField("from")).cast("int")))), "")), F.lit(0))
+    return joined.withColumn(text_col, F.when(F.col("_mix_words") == F.col("_mix_size"), F.col(text_col)).otherwise(cut)).select(*cols)

@@ -217,6 +217,6 @@ def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return pd.Series([t if t is None or x is None or not len(x) else mask_text(t, [(m["kind"], m["start"], m["stop"]) for m in x])
                           for t, x in zip(texts, spans)], dtype=object)
 
-    keyed = df.withColumn("_own_key", F.xxhash64(text_col))
-    joined = keyed.join(spans, (F.col("_own_key") == F.col("_pii_key")) & F.col(id_col).eqNullSafe(F.col("_pii_id")), "left")
+    keyed = df.withColumn("_pii_own_key", F.xxhash64(text_col))
+    joined = keyed.join(spans, (F.col("_pii_own_key") == F.col("_pii_key")) & F.col(id_col).eqNullSafe(F.col("_pii_id")), "left")
     return joined.withColumn(text_col, apply(F.col(text_col), F.col("_pii"))).select(*df.columns)

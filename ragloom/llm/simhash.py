@@ -36,6 +36,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragloom.llm.common import checkpoint
 
@@ -69,7 +70,7 @@ def fingerprint_of(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * set_in > len(hashes)).tolist())
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fingerprint_udf(texts: pd.Series) -> pd.Series:
     """Fingerprint as a signed 64-bit integer."""
     return pd.Series([f - (1 << 64) if f >> 63 else f for f in (fingerprint_of(t) for t in texts)], dtype="int64")

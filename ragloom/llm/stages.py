@@ -14,15 +14,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row_key = F.xxhash64(*[F.col(c) for c in cols])
     groups = simhash.simhash_groups(docs, row_key=row_key)
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("m"))
-    keys = first.select(F.col("m.doc_id").alias("_keep_id"), F.col("m.row_key").alias("_keep_row"))
-    mine = docs.withColumn("_own_row", row_key)
-    kept = mine.join(keys, (F.col("_own_row") == F.col("_keep_row")) & F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi")
-    return kept.dropDuplicates(["_own_row", "doc_id"]).select(*cols)
+    keys = first.select(F.col("m.doc_id").alias("_sh_keep_id"), F.col("m.row_key").alias("_sh_keep_row"))
+    mine = docs.withColumn("_sh_own_row", row_key)
+    kept = mine.join(keys, (F.col("_sh_own_row") == F.col("_sh_keep_row")) & F.col("doc_id").eqNullSafe(F.col("_sh_keep_id")), "left_semi")
+    return kept.dropDuplicates(["_sh_own_row", "doc_id"]).select(*cols)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the host-level quality rules reject go."""
-    return host_rules.judge(docs).filter("_kept").select(*docs.columns)
+    return host_rules.judge(docs).filter("_hq_kept").select(*docs.columns)
 
 
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
