@@ -1,8 +1,9 @@
 """Chunking strategies over whole texts (never prefixes).
 
 Fixed chunking is narrow: each text row is cut in place with array expressions, no shuffle.
-Semantic chunking is relational: sentence term counts are aggregated (partial aggregation first),
-neighbour similarity needs no self-join, and one window order per text numbers the chunks.
+Semantic chunking is narrow as well: a task counts each sentence's terms and compares neighbours, and
+array expressions cut the chunks inside the row. The relational form (sentence rows, aggregations, one
+window per text) serves injected embedders and as the plain-SQL formulation.
 
 * fixed:      overlapping word windows (``window`` words, step ``max(1, int(window*(1-overlap)))``)
 * semantic:   sentences grouped while the similarity of neighbours stays >= threshold, at most
@@ -169,13 +170,14 @@ def chunk_semantic(df: DataFrame, text_col: str, key_cols: list[str], threshold:
                         lambda i: (i == 0) | (F.get(F.col("_sims"), i) < F.lit(threshold)))
         s = s.withColumn("_runs", F.when(n > 0, runs).otherwise(F.array().cast("array<int>")))
         run_end = lambda j: F.coalesce(F.get(F.col("_runs"), j + 1), F.size("_sents"))
+        # the chunk texts are built inside the row, so the sentence array isn't carried into the generated rows
         pieces = F.flatten(F.transform("_runs", lambda st, j: F.transform(
             F.sequence(st, run_end(j) - 1, F.lit(max_sentences)),
-            lambda c: F.struct(c.alias("start"), F.least(F.lit(max_sentences), run_end(j) - c).alias("len")))))
-        e = s.select(*key_cols, "_sents", F.posexplode(pieces).alias("position", "_p"))
-        return e.select(*key_cols, "position",
-                        F.array_join(F.slice("_sents", F.col("_p.start") + 1, F.col("_p.len")), " ").alias("text"),
-                        F.col("_p.len").alias("n_sentences"), F.lit("semantic").alias("strategy"))
+            lambda c: F.struct(F.array_join(F.slice("_sents", c + 1, F.least(F.lit(max_sentences), run_end(j) - c)), " ").alias("text"),
+                               F.least(F.lit(max_sentences), run_end(j) - c).alias("n")))))
+        e = s.select(*key_cols, pieces.alias("_pieces")).select(*key_cols, F.posexplode("_pieces").alias("position", "_p"))
+        return e.select(*key_cols, "position", F.col("_p.text").alias("text"), F.col("_p.n").alias("n_sentences"),
+                        F.lit("semantic").alias("strategy"))
     b = semantic_boundaries(df, text_col, key_cols, threshold, embed, method="relational")
     w = W.partitionBy(*key_cols).orderBy("pos")
     run_start = F.max(F.when(F.col("is_boundary"), F.col("pos"))).over(w.rowsBetween(W.unboundedPreceding, 0))
@@ -195,38 +197,56 @@ def sentences(df: DataFrame, text_col: str, key_cols: list[str]) -> DataFrame:
     return df.select(*key_cols, F.posexplode(chunk_sentences(text_col)).alias("pos", "sentence"))
 
 
-def chunk_structured(nested: DataFrame, use_translated: bool = True, query_id: str = "query_id",
-                     passages: str = "passages", is_selected: str = "is_selected", query: str = "query",
-                     query_type: str | None = None, answer: str | None = None) -> DataFrame:
-    """One chunk per non-blank passage; ``is_selected`` shorter than the passages counts as 0."""
-    qid = F.coalesce(F.col(query_id).cast("string"), F.lit("unknown"))
+def nested_rows(rows: DataFrame, use_translated: bool = True) -> DataFrame:
+    """Dataset rows (see ``readers.PASSAGES_SCHEMA``) in the form the chunkers read: query_id, query, query_type, answer,
+    language, passages and is_selected, with the passages of the wanted language column."""
+    field = "Translated_passages" if use_translated else "English_passages"
+    return rows.select(
+        "query_id", "query", "query_type", F.col("Answer").alias("answer"),
+        F.col("target_lang" if use_translated else "source_lang").alias("language"),
+        F.col(f"passages.{field}").alias("passages"), F.col("passages.is_selected").alias("is_selected"))
+
+
+def row_key(nested: DataFrame) -> Column:
+    """What tells dataset rows apart: query_id, or for rows without one a hash of the row's own content."""
+    content = F.sha2(F.to_json(F.struct(*[F.col(c) for c in nested.columns if c != "query_id"])), 256)
+    return F.coalesce(F.col("query_id").cast("string"), F.concat(F.lit("row-"), F.substring(content, 1, 32)))
+
+
+def chunk_structured(nested: DataFrame, use_translated: bool = True) -> DataFrame:
+    """One chunk per non-blank passage of ``nested`` (see ``nested_rows``; dataset rows with the nested passages struct
+    are accepted as well, and ``use_translated`` picks their language column). ``is_selected`` shorter than the passages
+    counts as 0. ``passage_id`` is query id and position; ``chunk_id`` also covers strategy, language and text, so equal
+    ids in two languages, rows without a query id and changed texts stay apart."""
+    if nested.schema["passages"].dataType.typeName() == "struct":
+        nested = nested_rows(nested, use_translated)
+    have = set(nested.columns)
+    optional = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in have else F.lit(default)
     e = nested.select(
-        qid.alias("_qid"),
-        F.coalesce(F.col(query), F.lit("")).alias("query_text"),
-        (F.coalesce(F.col(query_type), F.lit("unknown")) if query_type else F.lit("unknown")).alias("query_type"),
-        (F.coalesce(F.col(answer), F.lit("")) if answer else F.lit("")).alias("answer_text"),
-        F.coalesce(F.col(is_selected), F.array().cast("array<int>")).alias("_sel"),
-        F.posexplode(F.coalesce(F.col(passages), F.array().cast("array<string>"))).alias("position", "_p"),
+        row_key(nested).alias("doc_id"), F.coalesce(F.col("query_id").cast("string"), F.lit("unknown")).alias("query_id"),
+        optional("query", "").alias("query_text"), optional("query_type", "unknown").alias("query_type"),
+        optional("answer", "").alias("answer_text"), optional("language", "").alias("language"),
+        F.coalesce(F.col("is_selected"), F.array().cast("array<int>")).alias("_sel"),
+        F.posexplode(F.coalesce(F.col("passages"), F.array().cast("array<string>"))).alias("position", "_p"),
     ).where(F.col("_p").isNotNull() & (strip("_p") != ""))
-    return e.select(
-        F.concat("_qid", F.lit("_"), F.col("position").cast("string")).alias("chunk_id"),
-        F.col("_qid").alias("doc_id"),
-        "position",
-        strip("_p").alias("text"),
-        F.col("_qid").alias("query_id"),
-        "query_text", "query_type", "answer_text",
+    e = e.select(
+        "doc_id", "position", strip("_p").alias("text"), "query_id", "query_text", "query_type", "answer_text", "language",
+        F.concat("query_id", F.lit("_"), F.col("position").cast("string")).alias("passage_id"),
         F.coalesce(F.try_element_at("_sel", F.col("position") + 1), F.lit(0)).cast("int").alias("is_selected"),
-        F.lit("structured").alias("strategy"),
-    )
+        F.lit("structured").alias("strategy"))
+    return e.withColumn("chunk_id", chunk_id_col("strategy", "doc_id", "position", "text", "language"))
 
 
 def build_index_chunks(nested: DataFrame, threshold: float = 0.55, max_sentences: int = 12, window: int = 256,
-                       overlap: float = 0.15, embed=None) -> DataFrame:
+                       overlap: float = 0.15, embed=None, use_translated: bool = True) -> DataFrame:
     """All three strategies from nested dataset rows, as one table (structured-only columns nullable)."""
-    flat = nested.select(F.col("query_id").cast("string").alias("doc_id"), flatten_passages("passages").alias("text"))
-    fixed = chunk_fixed(flat, "text", ["doc_id"], window, overlap)
-    sem = chunk_semantic(flat, "text", ["doc_id"], threshold, max_sentences, embed)
-    st = chunk_structured(nested)
+    if nested.schema["passages"].dataType.typeName() == "struct":
+        nested = nested_rows(nested, use_translated)
+    language = F.coalesce(F.col("language"), F.lit("")) if "language" in nested.columns else F.lit("")
+    flat = nested.select(row_key(nested).alias("doc_id"), language.alias("language"), flatten_passages("passages").alias("text"))
+    keys = ["doc_id", "language"]
+    fixed = chunk_fixed(flat, "text", keys, window, overlap)
+    sem = chunk_semantic(flat, "text", keys, threshold, max_sentences, embed)
     both = fixed.drop("n_words").unionByName(sem.drop("n_sentences"))
-    both = both.withColumn("chunk_id", chunk_id_col("strategy", "doc_id", "position", "text"))
-    return both.unionByName(st, allowMissingColumns=True)
+    both = both.withColumn("chunk_id", chunk_id_col("strategy", "doc_id", "position", "text", "language"))
+    return both.unionByName(chunk_structured(nested), allowMissingColumns=True)

@@ -1,64 +1,72 @@
 """Shared plan helpers: size-checked broadcast, deterministic ids, checkpoints."""
 from __future__ import annotations
 
+import threading
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CACHED: list = []
+_OWN = threading.local()
 
 
 def cached(df: DataFrame) -> DataFrame:
-    """Persist an intermediate that a plan reads more than once, and remember it so that long-running
-    jobs (a stream's micro-batches) can release it with ``release_cached``."""
+    """Persist an intermediate that a plan reads more than once. It is remembered for the calling thread
+    only (each stream's micro-batches run in a thread of their own), so ``release_cached`` never
+    touches another caller's intermediates."""
     df = df.persist()
-    _CACHED.append(df)
+    if not hasattr(_OWN, "frames"):
+        _OWN.frames = []
+    _OWN.frames.append(df)
     return df
 
 
 def release_cached() -> int:
-    """Unpersist every intermediate cached through ``cached``; returns how many were released."""
-    n = len(_CACHED)
-    while _CACHED:
+    """Unpersist what this thread cached through ``cached``; returns how many were released."""
+    frames = getattr(_OWN, "frames", [])
+    n = len(frames)
+    while frames:
         try:
-            _CACHED.pop().unpersist()
+            frames.pop().unpersist()
         except Exception:  # noqa: BLE001 - a stopped session has nothing left to release
             pass
     return n
 
 
-# Limits for a side we broadcast: beyond either one we shuffle both sides (or block) instead.
-DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
-DEFAULT_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+# Limits for a side we broadcast: beyond either one we shuffle both sides instead.
+DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
+DEFAULT_BROADCAST_MAX_BYTES = 32 * 1024 * 1024
+
+
+def row_bytes(df: DataFrame):
+    """Bytes of a row: UTF-8 length of strings, 16 per array element, 8 for anything else."""
+    parts = []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        c = F.col(f"`{f.name}`")
+        parts.append(F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 16 if kind in ("array", "map") else F.lit(8))
+    return reduce(lambda x, y: x + y, [F.coalesce(p, F.lit(0)).cast("long") for p in parts])
 
 
-def broadcast_size(df: DataFrame, max_rows: int) -> tuple[int, int]:
-    """(rows, bytes) of at most ``max_rows + 1`` rows; bytes = UTF-8 size of each row as JSON."""
-    r = df.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))), F.lit(0)).alias("b"),
-    ).first()
+def broadcast_size(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes), summed up per partition first: one small row per task is shuffled, never the data."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()
     return int(r["n"]), int(r["b"])
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
                       max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows and ``max_bytes`` bytes (checked by one
-    aggregate over at most ``max_rows + 1`` rows). Returns ``(df_or_hinted_df, was_broadcast)``."""
-    df = cached(df)  # the check computes the side once; the broadcast then reads it from the cache
-    n, b = broadcast_size(df, max_rows)
-    if n <= max_rows and b <= max_bytes:
-        return F.broadcast(df), True
-    df.unpersist()
-    return df, False
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows and ``max_bytes`` bytes. Returns
+    ``(df_or_hinted_df, was_broadcast)``; without the hint the planner picks the join."""
+    df = cached(df)  # the check computes the side once; the join then reads it from the cache
+    n, b = broadcast_size(df)
+    return (F.broadcast(df), True) if n <= max_rows and b <= max_bytes else (df, False)
 
 
-def chunk_id_col(strategy, doc_id, position, text):
+def chunk_id_col(strategy, doc_id, position, text, language=None):
     """Deterministic chunk id: the same chunk always gets the same id, so re-runs upsert, not append."""
-    return F.sha2(
-        F.concat_ws("|", F.col(strategy).cast("string") if isinstance(strategy, str) else strategy,
-                    F.col(doc_id).cast("string"), F.col(position).cast("string"), F.col(text)),
-        256,
-    )
+    parts = [strategy, *([language] if language else []), doc_id, position, text]
+    return F.sha2(F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts]), 256)
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -87,14 +87,15 @@ def answer_citations(answers: DataFrame, q_key: str, text_col: str, hits: DataFr
                       F.coalesce(F.transform("_c", lambda x: x[chunk_id_col]), F.array().cast("array<string>")).alias("citations"))
 
 
-def extractive_answers(questions: DataFrame, q_key: str, q_text: str, hits: DataFrame, max_hits: int = 3,
+def extractive_answers(questions: DataFrame, q_key: str, q_text: str, hits: DataFrame, max_hits: int | None = None,
                        rank_col: str = "rank", text_col: str = "text") -> DataFrame:
-    """(q_key, answer): for each of the top ``max_hits`` hits, its sentence with most distinct question
+    """(q_key, answer): for each hit (or the top ``max_hits``), its sentence with most distinct question
     terms (ties: earliest), ``[rank]`` placed before the sentence's final ender; sentences joined by a
     space in rank order. Hits with no overlapping sentence add nothing; no sentence -> empty answer."""
     qt = questions.select(q_key, F.explode(F.array_distinct(terms(q_text))).alias("term")).distinct()
-    hs = hits.where(F.col(rank_col) <= max_hits).select(q_key, rank_col, F.posexplode(chunk_sentences(text_col)).alias("_sp", "_s"))
-    hs = cached(hs)  # sentences of the top hits (questions x max_hits texts): scored, then joined back
+    top = hits if max_hits is None else hits.where(F.col(rank_col) <= max_hits)
+    hs = top.select(q_key, rank_col, F.posexplode(chunk_sentences(text_col)).alias("_sp", "_s"))
+    hs = cached(hs)  # sentences of the top hits (questions x k texts): scored, then joined back
     st = hs.select(q_key, rank_col, "_sp", F.explode(F.array_distinct(terms("_s"))).alias("term"))
     ov = st.join(qt, [q_key, "term"]).groupBy(q_key, rank_col, "_sp").agg(F.count(F.lit(1)).alias("_ov"))
     w = W.partitionBy(q_key, rank_col).orderBy(F.col("_ov").desc(), F.col("_sp"))
@@ -104,7 +105,7 @@ def extractive_answers(questions: DataFrame, q_key: str, q_text: str, hits: Data
                     F.concat(F.expr("substring(_s, 1, length(_s) - 1)"), tag, F.expr("substring(_s, length(_s), 1)"))
                     ).otherwise(F.concat("_s", tag))
     parts = best.select(q_key, rank_col, tagged.alias("_t")).groupBy(q_key).agg(
-        F.array_sort(F.collect_list(F.struct(rank_col, "_t"))).alias("_p"))  # at most max_hits
+        F.array_sort(F.collect_list(F.struct(rank_col, "_t"))).alias("_p"))  # at most k
     ans = parts.select(q_key, F.array_join(F.transform("_p", lambda x: x["_t"]), " ").alias("answer"))
     return questions.select(q_key).join(ans, q_key, "left").select(q_key, F.coalesce("answer", F.lit("")).alias("answer"))
 

@@ -1,39 +1,45 @@
 """Latency analytics over stage-timing rows: totals, exact percentiles (linear and nearest-rank), cold
 request exclusion, short-circuit breakdown, per-stage share and the benchmark summary.
 
-Exact percentiles without gathering a group in one task: values are range-partitioned on
-(group, value) - a hot group is split over many partitions - and sorted within partitions. A row's rank
-in its group is its position inside the partition plus the counts of the same group in earlier
-partitions (a small per-partition table). The few ranks a percentile needs are then joined back.
+Exact percentiles without gathering a group in one task: rows are first counted per (group, value), combined before the
+shuffle, so a repeated value is one row; the distinct values are range-partitioned on (group, value) and stored with
+their partition number (a reliable checkpoint: recomputed blocks can't shift between partitions). A value's first rank
+is the count of earlier values in its partition plus the counts of the group in earlier partitions (a small table). The
+few ranks a percentile needs are then joined by group.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ragloom.operators.common import bounded_broadcast, cached
+from ragloom.operators.common import checkpoint
 
 STAGES = ("transcribe", "classify_query", "retrieve", "check_grounding", "generate", "verify")
-_MASK = (1 << 33) - 1
 
 
-def group_ranks(df: DataFrame, group_cols: list[str], value_col: str, partitions: int | None = None, carry=()):
-    """((group..., _v, carry..., _rank, _n), per-partition counts): 0-based rank of each value in its
-    group, the group size, and the small (partition, group) count table the ranks were derived from.
-    ``carry`` columns travel with their row (no join back needed)."""
+def _ranged(s: DataFrame, group_cols: list[str], order: list[str], weight: str | None):
+    """``s`` range-partitioned by (group, order), stored, with ``_rank`` (rows or weight before it in its group) and ``_n``."""
+    s = checkpoint(s.repartitionByRange(*group_cols, *order).withColumn("_pid", F.spark_partition_id()))
+    one = F.col(weight) if weight else F.lit(1)
+    pc = s.groupBy("_pid", *group_cols).agg(F.sum(one).alias("_c"))
+    before = W.partitionBy(*group_cols).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)  # <= a row per partition and group
+    pc = pc.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("_n", F.sum("_c").over(W.partitionBy(*group_cols)))
+    inner = W.partitionBy("_pid", *group_cols).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    r = s.withColumn("_loc", F.coalesce(F.sum(one).over(inner), F.lit(0)))
+    j = r.join(pc.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], F.col("_pid").alias("_p"), "_off", "_n"),
+               reduce(lambda x, y: x & y, [F.col("_pid") == F.col("_p")] + [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group_cols]))
+    return j.withColumn("_rank", F.col("_off") + F.col("_loc")).drop("_pid", "_p", "_loc", "_off", *[f"_g_{c}" for c in group_cols])
+
+
+def group_ranks(df: DataFrame, group_cols: list[str], value_col: str, carry=()) -> DataFrame:
+    """(group..., _v, carry..., _rank, _n): 0-based rank of each row's value in its group and the group size; ``carry``
+    columns travel with their row and break ties."""
     s = df.select(*group_cols, F.col(value_col).alias("_v"), *carry).where(F.col("_v").isNotNull())
-    s = (s.repartitionByRange(partitions, *group_cols, "_v") if partitions else s.repartitionByRange(*group_cols, "_v"))
-    s = s.sortWithinPartitions(*group_cols, "_v").withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_MASK)))
-    s = cached(s)
-    pc = s.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_c"), F.min("_loc").alias("_l0"))
-    w = W.partitionBy(*group_cols).orderBy("_pid")  # <= one row per partition and group
-    pc = pc.withColumn("_off", F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    pc = pc.withColumn("_n", F.sum("_c").over(W.partitionBy(*group_cols)))
-    pcb, _ = bounded_broadcast(pc, 1_000_000)
-    r = s.join(pcb, ["_pid", *group_cols])
-    return r.select(*group_cols, "_v", *carry, (F.col("_off") + F.col("_loc") - F.col("_l0")).alias("_rank"), "_n"), pc
+    return _ranged(s, group_cols, ["_v", *carry], None)
 
 
 def percentiles(df: DataFrame, group_cols: list[str], value_col: str, ps=(0.5, 0.7, 1.0),
@@ -44,35 +50,30 @@ def percentiles(df: DataFrame, group_cols: list[str], value_col: str, ps=(0.5, 0
     nearest:  sorted[min(n-1, round_half_even(p*(n-1)))].
     """
     names = names or [f"p{int(round(p * 100))}" for p in ps]
-    r, pc = group_ranks(df, group_cols, value_col)
-    sizes = pc.select(*group_cols, "_n").distinct()  # from the small per-partition table, not the ranks
-    t = sizes.select(*group_cols, "_n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
-                                                           for i, p in enumerate(ps)])).alias("_t"))
-    idx = F.col("_t.p") * (F.col("_n") - 1).cast("double")
+    counts = df.select(*group_cols, F.col(value_col).alias("_v")).where(F.col("_v").isNotNull()).groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    r = _ranged(counts, group_cols, ["_v"], "_w")
+    idx = lambda p: F.lit(float(p)) * (F.col("_n") - 1).cast("double")
+
+    def at(rank: Column) -> Column:  # a value covers the ranks _rank .. _rank + _w - 1
+        return F.max(F.when((F.col("_rank") <= rank) & (rank < F.col("_rank") + F.col("_w")), F.col("_v")))
+
+    aggs = [F.max("_n").alias("n")]
+    for p, name in zip(ps, names):
+        if method == "linear":
+            low = F.floor(idx(p)).cast("long")
+            aggs += [at(low).alias(f"_a_{name}"), at(F.least(low + 1, F.col("_n") - 1)).alias(f"_b_{name}")]
+        else:
+            aggs.append(at(F.least(F.bround(idx(p), 0).cast("long"), F.col("_n") - 1)).alias(name))
+    g = r.groupBy(*group_cols).agg(*aggs)  # combined before the shuffle: no rank table, no join
     if method == "linear":
-        lo = F.floor(idx).cast("long")
-        t = t.select(*group_cols, F.col("_t.i").alias("_i"), idx.alias("_idx"), lo.alias("_lo"),
-                     F.least(lo + 1, F.col("_n") - 1).alias("_hi"))
-    else:
-        pick = F.least(F.bround(idx, 0).cast("long"), F.col("_n") - 1)
-        t = t.select(*group_cols, F.col("_t.i").alias("_i"), idx.alias("_idx"), pick.alias("_lo"), pick.alias("_hi"))
-    need = t.select(*group_cols, "_i", "_idx", "_lo", F.explode(F.array(F.struct(F.lit("lo").alias("w"), F.col("_lo").alias("rk")),
-                                                                      F.struct(F.lit("hi").alias("w"), F.col("_hi").alias("rk")))).alias("_x"))
-    need = need.select(*group_cols, "_i", "_idx", "_lo", F.col("_x.w").alias("_w"), F.col("_x.rk").alias("_rank"))
-    nb, _ = bounded_broadcast(need, 1_000_000)
-    v = r.join(nb, [*group_cols, "_rank"])
-    g = v.groupBy(*group_cols, "_i", "_idx", "_lo").agg(
-        F.max(F.when(F.col("_w") == "lo", F.col("_v"))).alias("_a"), F.max(F.when(F.col("_w") == "hi", F.col("_v"))).alias("_b"))
-    val = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_idx") - F.col("_lo").cast("double")) if method == "linear" else F.col("_a")
-    g = g.select(*group_cols, "_i", val.alias("_val"))
-    out = g.groupBy(*group_cols).agg(*[F.max(F.when(F.col("_i") == i, F.col("_val"))).alias(nm) for i, nm in enumerate(names)])
-    if with_n:  # the group size, from the small size table (equi-join on the group columns)
-        out = out.join(sizes.select(*group_cols, F.col("_n").alias("n")), group_cols)
-    return out
+        share = lambda p: F.lit(float(p)) * (F.col("n") - 1).cast("double")
+        for p, name in zip(ps, names):
+            g = g.withColumn(name, F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * (share(p) - F.floor(share(p)).cast("double")))
+    return g.select(*group_cols, *names, *(["n"] if with_n else []))
 
 
 def request_totals(log: DataFrame, req: str = "request_group", ms: str = "ms", seq: str = "seq",
-                   retrieve_stage: str = "view") -> DataFrame:
+                   *, retrieve_stage: str) -> DataFrame:
     """(request, total_ms, retrieve_ms, n_stages, first_seq, completed, stopped_at)."""
     first_fail = F.min_by(F.col("stage"), F.when(~F.col("ok"), F.col(seq)))
     return log.groupBy(req).agg(
@@ -148,13 +149,26 @@ def write_summary_json(record: DataFrame, path: str) -> None:
     record.coalesce(1).write.mode("overwrite").json(path)
 
 
-def observe_counts(df: DataFrame, name: str):
-    """Stage telemetry for a batch plan: ``(df_with_observation, observation)``; after an action on the
-    returned frame, ``observation.get`` holds the row count seen at this point of the plan."""
-    from pyspark.sql import Observation
+class StageTimer:
+    """Batch telemetry: runs each stage's action, and records wall time, rows, ok and the error text."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, float, int | None, bool, str | None]] = []
+
+    def run(self, stage: str, action):
+        """``action()`` returns a DataFrame that is materialised here by a reliable checkpoint."""
+        began = time.perf_counter()
+        try:
+            df = checkpoint(action())
+            n = df.count()
+        except Exception as e:
+            self.rows.append((stage, 1000 * (time.perf_counter() - began), None, False, str(e)))
+            raise
+        self.rows.append((stage, 1000 * (time.perf_counter() - began), n, True, None))
+        return df
 
-    obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+    def frame(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.rows, "stage string, ms double, rows long, ok boolean, error string")
 
 
 def completed_calls(log: DataFrame, status_col: str = "status", ok_status: int = 200) -> DataFrame:

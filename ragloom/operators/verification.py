@@ -13,54 +13,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions.text import WORD_BOUNDARY, col_, normalize_digits, strip, verify_sentences
-from ragloom.operators.common import bounded_broadcast
 
 # Claim and tag patterns, and the flag reasons.
 CLAIM_PATTERN = WORD_BOUNDARY + r"[0-9]+(?:\.[0-9]+)?%?" + WORD_BOUNDARY
 TAG_PATTERN = r"(?U)\[(\d+)\]"
+GROUP_PATTERN = r"(?U)\[(\d[\d,\s]*)\]"
 REASON_NO_CHUNK = "citation index [%s] has no matching retrieved chunk"
 REASON_NOT_IN_CITED = "numeric claim '%s' not found in cited chunk [%s] (%s)"
 REASON_NOT_IN_ANY = "uncited numeric claim '%s' not found in any retrieved chunk"
 
 
-def sentence_tags(sentence) -> Column:
-    tags = F.regexp_extract_all(col_(sentence), F.lit(TAG_PATTERN), 1)
+def sentence_tags(sentence, grouped: bool = False) -> Column:
+    """Citation numbers of ``[n]`` tags; with ``grouped`` also of ``[1, 2]``."""
+    if not grouped:
+        tags = F.regexp_extract_all(col_(sentence), F.lit(TAG_PATTERN), 1)
+    else:
+        tags = F.flatten(F.transform(F.regexp_extract_all(col_(sentence), F.lit(GROUP_PATTERN), 1), lambda g: F.split(g, r"(?U)[,\s]+")))
+        tags = F.filter(tags, lambda x: x != "")
     return F.array_distinct(F.transform(tags, lambda x: normalize_digits(x).try_cast("long")))
 
 
-def numeric_claims(sentence) -> Column:
-    s = F.regexp_replace(normalize_digits(col_(sentence)), TAG_PATTERN.replace("(\\d+)", "\\d+"), "")
+def numeric_claims(sentence, decimals: bool = False, grouped: bool = False) -> Column:
+    """Whole-word numbers outside the tags. Sentences are split at every point, so a decimal number is two claims;
+    ``decimals`` keeps it whole (``verify_sentences`` then doesn't split between digits)."""
+    s = normalize_digits(col_(sentence))
+    s = F.regexp_replace(s, GROUP_PATTERN if grouped else TAG_PATTERN.replace("(\\d+)", "\\d+"), "")
     return F.array_distinct(F.regexp_extract_all(s, F.lit(CLAIM_PATTERN), 0))
 
 
-def claim_rows(answers: DataFrame, q_key: str, text_col: str) -> DataFrame:
+#: stands for a decimal point while a text is split into sentences (a private-use character)
+POINT = "\uE000"
+
+
+def claim_rows(answers: DataFrame, q_key: str, text_col: str, decimals: bool = False, grouped_tags: bool = False) -> DataFrame:
     """(q_key, sent_no, sentence, tags, claims) for sentences with at least one claim."""
-    s = answers.select(q_key, F.posexplode(verify_sentences(strip(text_col))).alias("sent_no", "sentence"))
+    text = strip(text_col)
+    if decimals:
+        text = F.regexp_replace(text, "(?<=[0-9\u0966-\u096F])\\.(?=[0-9\u0966-\u096F])", POINT)
+    s = answers.select(q_key, F.posexplode(verify_sentences(text)).alias("sent_no", "sentence"))
+    if decimals:
+        s = s.withColumn("sentence", F.replace(F.col("sentence"), F.lit(POINT), F.lit(".")))
     # claims and tags need a digit: a cheap test first, the boundary regexes only where it passes
     s = s.where(F.col("sentence").rlike("[0-9\u0966-\u096F]"))
-    s = s.select(q_key, "sent_no", "sentence", sentence_tags("sentence").alias("tags"), numeric_claims("sentence").alias("claims"))
+    s = s.select(q_key, "sent_no", "sentence", sentence_tags("sentence", grouped_tags).alias("tags"),
+                 numeric_claims("sentence", decimals, grouped_tags).alias("claims"))
     return s.where(F.size("claims") > 0)
 
 
 def flagged_claims(answers: DataFrame, q_key: str, text_col: str, hits: DataFrame, rank_col: str = "rank",
-                   hit_text: str = "text", chunk_id_col: str = "chunk_id", broadcast_max_rows: int = 2_000_000) -> DataFrame:
-    """(q_key, sent_no, claim, citation_index, chunk_id, reason) - one row per flag."""
-    c = claim_rows(answers, q_key, text_col)
-    h = hits.select(q_key, F.col(rank_col).cast("long").alias("citation_index"), F.col(chunk_id_col).alias("chunk_id"),
-                    normalize_digits(hit_text).alias("_ht"))
-    hb, _ = bounded_broadcast(h, broadcast_max_rows)
-
-    cited = c.where(F.size("tags") > 0).select(q_key, "sent_no", F.explode("claims").alias("claim"), "tags")
-    cited = cited.select(q_key, "sent_no", "claim", F.explode("tags").alias("citation_index"))
-    cj = cited.join(hb, [q_key, "citation_index"], "left")
+                   hit_text: str = "text", chunk_id_col: str = "chunk_id", **claim_options) -> DataFrame:
+    """(q_key, sent_no, claim, citation_index, chunk_id, reason) - one row per flag.
+
+    A question's k hits are gathered beside its claims by one join on the question; the comparisons are array
+    expressions inside the row."""
+    c = claim_rows(answers, q_key, text_col, **claim_options)
+    h = hits.select(q_key, F.struct(F.col(rank_col).cast("long").alias("i"), F.col(chunk_id_col).alias("c"), normalize_digits(hit_text).alias("t")).alias("_h"))
+    h = h.groupBy(q_key).agg(F.collect_list("_h").alias("_hits"))  # k entries
+    j = c.join(h, q_key, "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(h.schema["_hits"].dataType)))
+
+    cited = j.where(F.size("tags") > 0).select(q_key, "sent_no", F.explode("claims").alias("claim"), "tags", "_hits")
+    cited = cited.select(q_key, "sent_no", "claim", F.explode("tags").alias("citation_index"), "_hits")
+    cited = cited.withColumn("_of", F.filter("_hits", lambda x: x["i"] == F.col("citation_index")))
+    cited = cited.select(q_key, "sent_no", "claim", "citation_index", F.explode_outer("_of").alias("_x"))
     idx_s = F.col("citation_index").cast("string")
-    cited_flags = cj.where(F.col("_ht").isNull() | ~F.contains(F.col("_ht"), F.col("claim"))).select(
-        q_key, "sent_no", "claim", "citation_index", "chunk_id",
-        F.when(F.col("_ht").isNull(), F.format_string(REASON_NO_CHUNK, idx_s))
-        .otherwise(F.format_string(REASON_NOT_IN_CITED, F.col("claim"), idx_s, F.col("chunk_id"))).alias("reason"))
+    cited_flags = cited.where(F.col("_x.t").isNull() | ~F.contains(F.col("_x.t"), F.col("claim"))).select(
+        q_key, "sent_no", "claim", "citation_index", F.col("_x.c").alias("chunk_id"),
+        F.when(F.col("_x.t").isNull(), F.format_string(REASON_NO_CHUNK, idx_s))
+        .otherwise(F.format_string(REASON_NOT_IN_CITED, F.col("claim"), idx_s, F.col("_x.c"))).alias("reason"))
 
-    unc = c.where(F.size("tags") == 0).select(q_key, "sent_no", F.explode("claims").alias("claim"))
-    found = unc.alias("u").join(hb.alias("h"), (F.col(f"u.{q_key}") == F.col(f"h.{q_key}")) & F.contains(F.col("h._ht"), F.col("u.claim")), "left_anti")
+    unc = j.where(F.size("tags") == 0).select(q_key, "sent_no", F.explode("claims").alias("claim"), "_hits")
+    found = unc.where(~F.exists("_hits", lambda x: F.coalesce(F.contains(x["t"], F.col("claim")), F.lit(False))))
     unc_flags = found.select(
         q_key, "sent_no", "claim", F.lit(None).cast("long").alias("citation_index"), F.lit(None).cast("string").alias("chunk_id"),
         F.format_string(REASON_NOT_IN_ANY, F.col("claim")).alias("reason"))

@@ -6,6 +6,8 @@ operator has no SQL form). Output conventions shared by both sides: integers BIG
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,15 @@ from ragloom.operators import latency as L
 from ragloom.operators import retrieval as R
 from ragloom.operators import verification as VER
 from ragloom.operators.common import cached, chunk_id_col
+from ragloom.operators import index as IDX
+from ragloom.operators.embedding import hashed_terms
 from ragloom.operators.index import upsert_plan
 from ragloom.plans import oracle as O
-from ragloom.plans.pipeline import answer_batch, result_json
+from ragloom.plans import pipeline as P
+from ragloom.plans.pipeline import answer_batch, answer_speech, result_json, retrieve_dense
 from ragloom.sources import readers as S
 from ragloom.sources import views as V
+from ragloom.session import checkpoint_base
 from ragloom.sources.tables import Tables
 
 QUERIES: dict = {}
@@ -38,6 +44,9 @@ PIPE_RULES = tuple(r for r in G.ALL_RULES if r != "consonants")  # invented word
 EXTRA_UNSAFE = ["und", "was"]
 SWEEP = [round(0.05 * i, 2) for i in range(1, 20)]
 LANG_ROOT = "/data/passages"
+STOP_TEXTS = {  # cause -> (English, Hindi)
+    "empty": (P.MSG_EMPTY_TEXT, P.MSG_EMPTY_TEXT), "unsafe": (P.MSG_UNSAFE_EN, P.MSG_UNSAFE_HI), "off_topic": (P.MSG_OFF_TOPIC_EN, P.MSG_OFF_TOPIC_HI),
+    "not_grounded": (P.MSG_NOT_GROUNDED_EN, P.MSG_NOT_GROUNDED_HI), "no_speech": (P.MSG_NO_SPEECH, P.MSG_NO_SPEECH), "stt_failed": (P.MSG_STT_FAILED, P.MSG_STT_FAILED)}
 
 
 def key(name, sql=None):
@@ -164,7 +173,7 @@ def q_passage_flatten(spark, d):
 FROM qa_rows WHERE passage IS NOT NULL AND {O.strip('passage')} <> ''"""))
 def q_chunk_structured(spark, d):
     s = C.chunk_structured(V.qa_nested(Tables(spark, d)))
-    return s.select("chunk_id", "query_id", lng("position").alias("position"), lng("is_selected").alias("is_selected"),
+    return s.select(F.col("passage_id").alias("chunk_id"), "query_id", lng("position").alias("position"), lng("is_selected").alias("is_selected"),
                     F.md5("text").alias("text_md5"))
 
 
@@ -426,29 +435,47 @@ _KNN_DENSE_SQL = f"""SELECT q_id, rank::BIGINT AS rank, vec_id, round(score, 6)
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) z WHERE rank <= {K}"""
 
 
-def _dense(spark, d, blocks=None) -> DataFrame:
+@key("knn_dense", _KNN_DENSE_SQL)
+def q_knn_dense(spark, d):
     e = Tables(spark, d).embeddings.select("vec_id", "embedding")
-    h = R.knn_dense(e.withColumnRenamed("vec_id", "q_id"), "q_id", "embedding", e, "vec_id", "embedding", K,
-                    exclude_self=True, force_blocks=blocks)
+    h = R.knn_dense(e.withColumnRenamed("vec_id", "q_id"), "q_id", "embedding", e, "vec_id", "embedding", K, exclude_self=True)
     return h.select("q_id", lng("rank").alias("rank"), "vec_id", r6("score").alias("score"))
 
 
-@key("knn_dense", _KNN_DENSE_SQL)
-def q_knn_dense(spark, d):
-    return _dense(spark, d)
+IVF_CELLS, IVF_PROBE = 16, 10
+_UNIT = "list_transform(embedding, lambda x_: x_::DOUBLE / n)"
+_UDOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z_: z_[1] * z_[2]))"
+_IVF = [
+    ("unit", f"""SELECT vec_id, {_UNIT} AS u FROM (SELECT vec_id, embedding,
+  sqrt(list_sum(list_transform(embedding, lambda y_: y_::DOUBLE * y_::DOUBLE))) AS n FROM embeddings) z"""),
+    ("pivots", f"SELECT * FROM (SELECT u AS p, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS c FROM unit) z WHERE c <= {IVF_CELLS}"),
+    ("near", f"""SELECT vec_id, u, c, row_number() OVER (PARTITION BY vec_id ORDER BY round({_UDOT.format(a='u', b='p')}, 6) DESC, c) AS nth
+FROM unit CROSS JOIN pivots"""),
+    ("ivf", f"""SELECT q.vec_id AS q_id, x.vec_id, {_UDOT.format(a='q.u', b='x.u')} AS score FROM near q JOIN near x ON q.c = x.c AND x.nth = 1
+AND q.nth <= {IVF_PROBE} AND q.vec_id <> x.vec_id"""),
+    ("ivf_hits", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM ivf) z
+WHERE rank <= {K}"""),
+]
 
 
-@key("knn_dense_partial", _KNN_DENSE_SQL)
-def q_knn_dense_partial(spark, d):
-    """Same search through the blocked path used when the question side is over the broadcast bound."""
-    return _dense(spark, d, blocks=3)
+def _ivf(spark, d) -> DataFrame:
+    e = Tables(spark, d).embeddings.select("vec_id", "embedding")
+    return R.knn_ivf(e.withColumnRenamed("vec_id", "q_id"), "q_id", "embedding", e, "vec_id", "embedding", K, n_cells=IVF_CELLS,
+                     nprobe=IVF_PROBE, exclude_self=True)
 
 
-@key("knn_ivf")
+@key("knn_ivf", O.with_(_IVF, "SELECT q_id, rank::BIGINT AS rank, vec_id, round(score, 6) AS score FROM ivf_hits"))
 def q_knn_ivf(spark, d):
-    e = Tables(spark, d).embeddings.select("vec_id", "embedding")
-    h = R.knn_ivf(e.withColumnRenamed("vec_id", "q_id"), "q_id", "embedding", e, "vec_id", "embedding", K, exclude_self=True)
-    return h.select("q_id", lng("rank").alias("rank"), "vec_id", r6("score").alias("score"))
+    return _ivf(spark, d).select("q_id", lng("rank").alias("rank"), "vec_id", r6("score").alias("score"))
+
+
+@key("ivf_recall", O.with_(_IVF + [("exact", _KNN_DENSE_SQL)], """SELECT count(*)::BIGINT AS n_exact, count(h.vec_id)::BIGINT AS n_found,
+  round(count(h.vec_id) / count(*), 6) AS recall FROM exact x LEFT JOIN ivf_hits h ON x.q_id = h.q_id AND x.vec_id = h.vec_id"""))
+def q_ivf_recall(spark, d):
+    found = _ivf(spark, d).select("q_id", "vec_id", F.lit(1).alias("hit"))
+    exact = q_knn_dense(spark, d).select("q_id", "vec_id")
+    j = exact.join(found, ["q_id", "vec_id"], "left")
+    return j.agg(lng(F.count(F.lit(1))).alias("n_exact"), lng(F.count("hit")).alias("n_found"), r6(F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 # ----------------------------------------------------------------------------------------- lexical
@@ -699,7 +726,7 @@ FROM stage_log GROUP BY request_group"""), ("warm", "SELECT * FROM req WHERE fir
 
 
 def _requests(spark, d) -> DataFrame:
-    return L.request_totals(V.stage_log(Tables(spark, d)))
+    return L.request_totals(V.stage_log(Tables(spark, d)), retrieve_stage="view")
 
 
 @key("latency_totals", O.with_(_REQ, """SELECT request_group, round(total_ms, 6) AS total_ms, round(retrieve_ms, 6) AS retrieve_ms,
@@ -795,11 +822,11 @@ def _pipeline(spark, d) -> DataFrame:
                         threshold=GROUND_THR, rules=PIPE_RULES)
 
 
-def _pipeline_sql() -> list[tuple[str, str]]:
-    ctes = O.views("questions") + [("fx", SQL_FIXED), ("fxi", SQL_FIXED_IDS)]
-    ctes += O.classify_ctes("p_", "questions", "question_id", "question", G.UNSAFE_PATTERNS, PIPE_RULES)
+def _pipeline_sql(view: str = "questions", rules=PIPE_RULES, hits=None) -> list[tuple[str, str]]:
+    ctes = O.views(view) + [("fx", SQL_FIXED), ("fxi", SQL_FIXED_IDS)]
+    ctes += O.classify_ctes("p_", view, "question_id", "question", G.UNSAFE_PATTERNS, rules)
     ctes += [("openq", "SELECT question_id, t FROM p_cls WHERE t <> '' AND verdict = 'in_scope'")]
-    ctes += O.knn_ctes("pk_", "openq", "question_id", "t", "fxi", ["doc_id", "position"], "text", K)
+    ctes += hits or O.knn_ctes("pk_", "openq", "question_id", "t", "fxi", ["doc_id", "position"], "text", K)
     ctes += [("gate", O.grounding_sql("openq", "question_id", "pk_hits", GROUND_THR)),
              ("okq", "SELECT o.question_id, o.t FROM openq o JOIN gate g USING (question_id) WHERE g.can_answer"),
              ("okh", """SELECT h.question_id, h.rank, f.text, f.chunk_id FROM pk_hits h JOIN okq USING (question_id)
@@ -807,15 +834,16 @@ JOIN fxi f ON h.doc_id = f.doc_id AND h.position = f.position""")]
     ctes += O.extractive_ctes("px_", "okq", "question_id", "t", "okh")
     ctes += O.citation_ctes("pc_", "px_raw", "question_id", "answer", "okh")
     ctes += O.verify_ctes("pv_", "pc_cit", "question_id", "final_text", "okh")
-    msg = lambda cause: f"""CASE '{cause}' WHEN 'empty' THEN 'Empty query text provided.' WHEN 'unsafe' THEN 'I can''t help with that request.'
-  WHEN 'off_topic' THEN 'That''s outside what this dataset covers, so I don''t have a grounded answer for it.'
-  ELSE 'I don''t have enough information in the dataset to answer that confidently.' END"""
+    def msg(cause: str, text: str = "t") -> str:
+        en, hi = STOP_TEXTS[cause]
+        return f"CASE WHEN {O.is_hindi(text)} THEN {O.lit(hi)} ELSE {O.lit(en)} END"
+
     ctes += [("res", f"""SELECT question_id, 'classify_query' AS stopped_at, verdict, NULL::DOUBLE AS top_score, {msg('empty')} AS answer,
   '' AS citations, TRUE AS is_fully_grounded, 0 AS n_flags FROM p_cls WHERE t = ''
 UNION ALL SELECT question_id, 'classify_query', verdict, NULL::DOUBLE,
-  CASE verdict WHEN 'unsafe' THEN 'I can''t help with that request.' ELSE 'That''s outside what this dataset covers, so I don''t have a grounded answer for it.' END,
+  CASE verdict WHEN 'unsafe' THEN {msg('unsafe')} ELSE {msg('off_topic')} END,
   '', TRUE, 0 FROM p_cls WHERE t <> '' AND verdict <> 'in_scope'
-UNION ALL SELECT g.question_id, 'check_grounding', 'in_scope', g.top_score, {msg('not_grounded')}, '', TRUE, 0 FROM gate g WHERE NOT g.can_answer
+UNION ALL SELECT g.question_id, 'check_grounding', 'in_scope', g.top_score, {msg('not_grounded')}, '', TRUE, 0 FROM gate g JOIN openq USING (question_id) WHERE NOT g.can_answer
 UNION ALL SELECT c.question_id, 'verify', 'in_scope', g.top_score, c.final_text, c.citations, coalesce(f.n, 0) = 0, coalesce(f.n, 0)
 FROM pc_cit c JOIN gate g USING (question_id) LEFT JOIN (SELECT question_id, count(*) AS n FROM pv_flags GROUP BY question_id) f USING (question_id)""")]
     return ctes
@@ -853,6 +881,215 @@ def q_stage_status(spark, d):
     return s.select("question_id", "stage", lng("stage_no").alias("stage_no"), "status")
 
 
-@key("result_json")
+@key("result_json", O.with_(_pipeline_sql(), """SELECT question_id, md5(answer) AS answer_md5, citations, is_fully_grounded,
+  n_flags::BIGINT AS n_flags, stopped_at, CASE stopped_at WHEN 'classify_query' THEN 'transcribe|classify_query'
+  WHEN 'check_grounding' THEN 'transcribe|classify_query|retrieve|check_grounding'
+  ELSE 'transcribe|classify_query|retrieve|check_grounding|generate|verify' END AS stages FROM res"""))
 def q_result_json(spark, d):
-    return result_json(_pipeline(spark, d), "question_id")
+    """The response JSON read back (the times are left out: they differ from run to run)."""
+    j = result_json(_pipeline(spark, d), "question_id")
+    schema = ("answer string, transcript string, citations array<string>, is_fully_grounded boolean, flagged_claims array<struct<claim_text string, "
+              "citation_index long, chunk_id string, reason string>>, stopped_at string, latency_ms struct<total double, stages map<string, double>>")
+    r = j.select("question_id", F.from_json("json", schema).alias("r")).select("question_id", "r.*")
+    return r.select("question_id", F.md5("answer").alias("answer_md5"), F.array_join("citations", "|").alias("citations"), "is_fully_grounded",
+                    lng(F.size("flagged_claims")).alias("n_flags"), "stopped_at", F.array_join(F.map_keys("latency_ms.stages"), "|").alias("stages"))
+
+
+# ------------------------------------------------------------- cases that fire every rule and message
+_CASE_COLS = "question_id, case_no, question"
+
+
+@key("gate_cases", O.with_(O.views("case_questions") + O.classify_ctes("g_", "case_questions", "question_id", "question", G.UNSAFE_PATTERNS),
+     f"SELECT question_id, verdict, rule, unsafe_match, md5(verdict_reason) AS reason_md5, {O.is_hindi('t')} AS is_hindi FROM g_cls"))
+def q_gate_cases(spark, d):
+    c = G.with_classification(V.case_questions(Tables(spark, d)), "question")
+    return c.select("question_id", "verdict", "rule", "unsafe_match", F.md5("verdict_reason").alias("reason_md5"), X.is_hindi(X.strip("question")).alias("is_hindi"))
+
+
+def _one_rule(name: str) -> None:
+    sql = O.with_(O.views("case_questions") + O.gibberish_ctes("g_", "case_questions", "question_id", "question", (name,)),
+                  "SELECT question_id, rule IS NOT NULL AS fires, reason FROM g_gib")
+
+    @key(f"gib_{name}", sql)
+    def run(spark, d):
+        g = G.with_gibberish(V.case_questions(Tables(spark, d)), "question", (name,))
+        return g.select("question_id", F.col("gib_rule").isNotNull().alias("fires"), F.col("gib_reason").alias("reason"))
+
+
+for _name in ("dev_signs", "dev_consonants", "dev_vowels"):
+    _one_rule(_name)
+
+
+def _case_pipeline(spark, d, speech: bool) -> DataFrame:
+    t = Tables(spark, d)
+    args = (with_ids(fixed_doc_chunks(t)), ["doc_id", "position"], "text")
+    q = V.case_questions(t)
+    if speech:
+        return answer_speech(q.withColumn("ok", F.col("case_no") != 11), "question_id", "question", "ok", *args, threshold=GROUND_THR, rules=CASE_RULES)
+    return answer_batch(q, "question_id", "question", *args, threshold=GROUND_THR, rules=CASE_RULES)
+
+
+CASE_RULES = tuple(r for r in G.ALL_RULES if r not in ("consonants", "vowels"))
+_CASE_SQL = _pipeline_sql("case_questions", CASE_RULES)
+
+
+@key("pipeline_cases", O.with_(_CASE_SQL, """SELECT question_id, stopped_at, verdict, round(top_score, 6) AS top_score, md5(answer) AS answer_md5,
+  citations, is_fully_grounded, n_flags::BIGINT AS n_flags FROM res"""))
+def q_pipeline_cases(spark, d):
+    r = _case_pipeline(spark, d, False)
+    return r.select("question_id", "stopped_at", "verdict", r6("top_score").alias("top_score"), F.md5("answer").alias("answer_md5"),
+                    F.array_join("citations", "|").alias("citations"), "is_fully_grounded", lng("n_flags").alias("n_flags"))
+
+
+@key("pipeline_speech", O.with_(_CASE_SQL, f"""SELECT q.question_id, CASE WHEN case_no = 11 OR {O.strip('q.question')} = '' THEN 'transcribe' ELSE r.stopped_at END AS stopped_at,
+  CASE WHEN case_no = 11 THEN {O.lit(P.MSG_STT_FAILED)} WHEN {O.strip('q.question')} = '' THEN {O.lit(P.MSG_NO_SPEECH)}
+    WHEN r.stopped_at <> 'verify' THEN answer END AS message
+FROM case_questions q JOIN res r USING (question_id)"""))
+def q_pipeline_speech(spark, d):
+    r = _case_pipeline(spark, d, True)
+    return r.select("question_id", "stopped_at", F.when(F.col("stopped_at") != "verify", F.col("answer")).alias("message"))
+
+
+@key("normalize_digits_cases", """SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ' / ' || CAST(o_custkey AS VARCHAR) AS normalised FROM orders""")
+def q_normalize_digits_cases(spark, d):
+    """Numbers written in Devanagari digits come back in Latin ones."""
+    o = Tables(spark, d).orders
+    text = F.concat(F.col("o_orderkey").cast("string"), F.lit(" / "), F.col("o_custkey").cast("string"))
+    return o.select("o_orderkey", X.normalize_digits(F.translate(text, X.LATIN_DIGITS, X.DEVANAGARI_DIGITS)).alias("normalised"))
+
+
+_REFUSAL_VIEW = f"""SELECT conv_id * 100 + turn AS question_id, CASE (conv_id + turn) % 4
+  WHEN 0 THEN text || ' [1]' WHEN 1 THEN text || '. ' || {O.lit(GEN.REFUSAL_PHRASES[0])} WHEN 2 THEN 'Sorry: ' || {O.lit(GEN.REFUSAL_PHRASES[-1])} || ' [2] [9].'
+  ELSE text || ' [7, 1]' END AS answer FROM conversations WHERE role = 'assistant'"""
+_CASE_HITS = """SELECT question_id, rank, 'c' || CAST(question_id AS VARCHAR) || '-' || CAST(rank AS VARCHAR) AS chunk_id
+FROM (SELECT question_id, unnest([1, 2]) AS rank FROM cited) z"""
+
+
+@key("refusals", O.with_([("cited", _REFUSAL_VIEW), ("case_hits", _CASE_HITS)] + O.citation_ctes("rf_", "cited", "question_id", "answer", "case_hits"),
+     "SELECT question_id, refusal, md5(final_text) AS text_md5, citations, n_cited FROM rf_cit"))
+def q_refusals(spark, d):
+    """Refusals in both languages, citations beyond the hits and grouped tags."""
+    a = V.case_answers(Tables(spark, d), GEN.REFUSAL_PHRASES[0], GEN.REFUSAL_PHRASES[-1])
+    hits = a.select("question_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank")).withColumn(
+        "chunk_id", F.concat(F.lit("c"), F.col("question_id").cast("string"), F.lit("-"), F.col("rank").cast("string")))
+    c = GEN.answer_citations(a, "question_id", "answer", hits)
+    return c.select("question_id", "refusal", F.md5("final_text").alias("text_md5"), F.array_join("citations", "|").alias("citations"),
+                    lng(F.size("citations")).alias("n_cited"))
+
+
+@key("src_lang_known", f"""WITH m(lang, code) AS (VALUES {_LANG_VALUES}), x AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'hi' WHEN 'fr' THEN 'bn' WHEN 'de' THEN 'te' ELSE lang END AS lang FROM documents)
+SELECT x.doc_id, x.lang, m.code, CASE WHEN m.code IS NOT NULL THEN '{LANG_ROOT}/validation/' || m.code || 'val.parquet' END AS file_path,
+  CASE WHEN m.code IS NOT NULL THEN 'ok' ELSE 'unknown language' END AS status FROM x LEFT JOIN m ON x.lang = m.lang""")
+def q_src_lang_known(spark, d):
+    x = Tables(spark, d).documents.select("doc_id", F.when(F.col("lang") == "en", "hi").when(F.col("lang") == "fr", "bn").when(F.col("lang") == "de", "te").otherwise(F.col("lang")).alias("lang"))
+    return S.resolve_languages(x, "lang", LANG_ROOT, split="validation").select("doc_id", "lang", "code", "file_path", "status")
+
+
+_STATUS = "CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 11 = 0 THEN 422 WHEN event_id % 13 = 0 THEN 503 ELSE 200 END"
+_BODY = """CASE event_id % 5 WHEN 0 THEN '{"error": {"message": "m' || event_id || '"}, "detail": "d"}' WHEN 1 THEN '{"error": {"message": ""}, "detail": "d' || event_id || '"}'
+  WHEN 2 THEN '{"message": "only ' || event_id || '"}' WHEN 3 THEN '{"detail": ""}' ELSE 'plain ' || event_id END"""
+
+
+@key("completed_calls", f"SELECT event_type AS stage, count(*)::BIGINT AS n, round(sum(value), 4) AS ms FROM (SELECT *, {_STATUS} AS status FROM events) z WHERE status = 200 GROUP BY event_type")
+def q_completed_calls(spark, d):
+    e = V.call_log(Tables(spark, d), _STATUS, _BODY)
+    return L.completed_calls(e).groupBy(F.col("event_type").alias("stage")).agg(lng(F.count(F.lit(1))).alias("n"), F.round(F.sum("value"), 4).alias("ms"))
+
+
+@key("stt_errors", f"""SELECT event_id, status >= 400 AND status NOT IN (400, 401, 403, 422) AS retryable,
+  CASE event_id % 5 WHEN 0 THEN 'm' || event_id WHEN 1 THEN 'd' || event_id WHEN 2 THEN CASE WHEN status = 422 THEN 'only ' || event_id ELSE body END ELSE body END AS message
+FROM (SELECT event_id, ({_STATUS})::INT AS status, {_BODY} AS body FROM events) z WHERE status >= 400""")
+def q_stt_errors(spark, d):
+    e = V.call_log(Tables(spark, d), _STATUS, _BODY).where("status >= 400")
+    return e.select("event_id", S.classify_stt_error("status", "body").alias("x")).select("event_id", "x.retryable", "x.message")
+
+
+# ----------------------------------------------------------------------- the written index, dense search
+_ROWS_SQL = O.views("qa_rows") + [("two", f"""SELECT query_id, position, is_selected, {O.strip('passage')} AS text, {O.strip('query')} AS query_text, lang,
+  CASE WHEN query_id % 7 = 0 THEN NULL ELSE CAST(query_id AS VARCHAR) END AS qid FROM (
+    SELECT *, 'hi' AS lang FROM qa_rows UNION ALL SELECT * REPLACE (passage || ' again' AS passage), 'en' FROM qa_rows) z""")]
+
+
+def _two_languages(t: Tables) -> DataFrame:
+    """Nested rows in two languages under the same query ids; every seventh query has none."""
+    n = V.qa_nested(t).withColumn("query_type", F.lit("description")).withColumn("answer", F.concat(F.lit("answer to "), F.col("query_id").cast("string")))
+    n = n.withColumn("query_id", F.when(F.col("query_id") % 7 != 0, F.col("query_id")))
+    other = n.withColumn("passages", F.transform("passages", lambda p: F.concat(p, F.lit(" again"))))
+    return n.withColumn("language", F.lit("hi")).unionByName(other.withColumn("language", F.lit("en")))
+
+
+@key("index_rows", O.with_(_ROWS_SQL, """SELECT coalesce(qid, 'unknown') AS query_id, coalesce(qid, 'unknown') || '_' || CAST(position AS VARCHAR) AS passage_id,
+  position::BIGINT AS position, md5(text) AS text_md5, md5(query_text) AS query_md5, 'description' AS query_type, 'answer to ' || CAST(query_id AS VARCHAR) AS answer_text,
+  is_selected::BIGINT AS is_selected, lang AS language FROM two WHERE text <> ''"""))
+def q_index_rows(spark, d):
+    s = C.chunk_structured(_two_languages(Tables(spark, d)))
+    return s.select("query_id", "passage_id", lng("position").alias("position"), F.md5("text").alias("text_md5"), F.md5(X.strip("query_text")).alias("query_md5"),
+                    "query_type", "answer_text", lng("is_selected").alias("is_selected"), "language")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{checkpoint_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@key("index_write_upsert", O.with_(_ROWS_SQL, """SELECT language, is_changed, count(*)::BIGINT AS n, count(DISTINCT md5(text))::BIGINT AS n_texts FROM (
+  SELECT lang AS language, query_id % 5 = 0 AS is_changed, CASE WHEN query_id % 5 = 0 THEN text || ' changed' ELSE text END AS text
+  FROM two WHERE text <> '') z GROUP BY language, is_changed"""))
+def q_index_write_upsert(spark, d):
+    """Structured chunks written, written again with every fifth query's passages changed, and read back."""
+    rows = _two_languages(Tables(spark, d)).withColumn("_n", F.regexp_extract("answer", "([0-9]+)$", 1).cast("long"))
+    changed = rows.withColumn("passages", F.when(F.col("_n") % 5 == 0, F.transform("passages", lambda p: F.concat(X.strip(p), F.lit(" changed")))).otherwise(F.col("passages")))
+    # rows without a query id are told apart by their content, so their key stays that of the first version
+    path = scratch_path(spark, "index")
+    for version in (rows, changed, changed):
+        keyed = version.withColumn("query_id", F.coalesce(F.col("query_id").cast("string"), F.concat(F.lit("n"), F.col("_n").cast("string"))))
+        IDX.upsert(spark, C.chunk_structured(keyed.drop("_n")), path)
+    s = IDX.read_index(spark, path, "structured")
+    s = s.withColumn("is_changed", F.regexp_extract("answer_text", "([0-9]+)$", 1).cast("long") % 5 == 0)
+    return s.groupBy("language", "is_changed").agg(lng(F.count(F.lit(1))).alias("n"), lng(F.count_distinct(F.md5("text"))).alias("n_texts"))
+
+
+_PLACES = "list_transform({x}, lambda w_: 'b' || CAST(CAST('0x' || substr(md5(w_), 1, 4) AS INT) % 64 AS VARCHAR))"
+
+
+def _hashed(name: str, src: str, cols: str, text: str, prefix: str) -> tuple[str, str]:
+    """``src`` with the hash places of its prefixed text as a text of their own, so that the lexical SQL searches them."""
+    terms = O.terms("pt")
+    return name, f"SELECT {cols}, array_to_string({_PLACES.format(x=terms)}, ' ') AS places FROM (SELECT *, '{prefix}' || {text} AS pt FROM {src}) z"
+
+
+_DENSE_SQL = [("fx", SQL_FIXED), ("fxi", SQL_FIXED_IDS), _hashed("hc", "fxi", "chunk_id", "text", IDX.PASSAGE_PREFIX)]
+
+
+def _dense_index(spark, d, t: Tables) -> DataFrame:
+    """Fixed and semantic chunks embedded and written as a partitioned index; the fixed collection read back."""
+    path = scratch_path(spark, "index")
+    chunks = fixed_doc_chunks(t).drop("n_words").unionByName(semantic_doc_chunks(t).drop("n_sentences"))
+    IDX.upsert(spark, with_ids(chunks), path, embed=hashed_terms())
+    return IDX.read_index(spark, path, "fixed")
+
+
+@key("retrieve_dense", O.with_(_DENSE_SQL + [_hashed("hq", f"(SELECT item_id, {O.strip('text')} AS q FROM benchmark WHERE {O.strip('text')} <> '') y", "item_id", "q", IDX.QUERY_PREFIX)]
+     + O.knn_ctes("dn_", "hq", "item_id", "places", "hc", ["chunk_id"], "places", K),
+     "SELECT h.item_id, h.rank, h.chunk_id, CAST(f.doc_id AS VARCHAR) AS doc_id, md5(f.text) AS text_md5, round(h.score, 6) AS score FROM dn_hits h JOIN fxi f USING (chunk_id)"))
+def q_retrieve_dense(spark, d):
+    t = Tables(spark, d)
+    h = retrieve_dense(t.benchmark, "item_id", "text", _dense_index(spark, d, t), hashed_terms(), K)
+    return h.select("item_id", lng("rank").alias("rank"), "chunk_id", "doc_id", F.md5("text").alias("text_md5"), r6("score").alias("score"))
+
+
+_DENSE_HITS = [_hashed("hc", "fxi", "doc_id, position, chunk_id", "text", IDX.PASSAGE_PREFIX), _hashed("hq", "openq", "question_id", "t", IDX.QUERY_PREFIX)] + \
+    O.knn_ctes("pd_", "hq", "question_id", "places", "hc", ["chunk_id"], "places", K) + \
+    [("pk_hits", "SELECT h.question_id, h.rank, h.score, c.doc_id, c.position FROM pd_hits h JOIN hc c USING (chunk_id)")]
+DENSE_THR = 0.8
+
+
+@key("pipeline_dense", O.with_(_pipeline_sql(hits=_DENSE_HITS), """SELECT question_id, stopped_at, round(top_score, 6) AS top_score, md5(answer) AS answer_md5,
+  citations, is_fully_grounded FROM res""").replace(f">= {GROUND_THR}", f">= {DENSE_THR}").replace(f"< {GROUND_THR}", f"< {DENSE_THR}"))
+def q_pipeline_dense(spark, d):
+    t = Tables(spark, d)
+    index = _dense_index(spark, d, t)
+    r = answer_batch(V.questions(t), "question_id", "question", None, [], "text", threshold=DENSE_THR, rules=PIPE_RULES,
+                     retriever=lambda q: retrieve_dense(q, "question_id", "question", index, hashed_terms(), K))
+    return r.select("question_id", "stopped_at", r6("top_score").alias("top_score"), F.md5("answer").alias("answer_md5"),
+                    F.array_join("citations", "|").alias("citations"), "is_fully_grounded")

@@ -3,11 +3,16 @@
 DuckDB uses RE2 (no look-around, no back-references, ASCII ``\\s``/``\\d``/``\\b``), so the oracle
 rewrites those spots: sentence enders are marked with a control character and split on; repeated
 characters are found with gaps-and-islands; word boundaries are spelled with explicit classes. The
-driver tables hold no Devanagari, so ASCII forms agree there.
+driver tables hold no Devanagari; the case views put it in whole words, where both forms agree.
 """
 from __future__ import annotations
 
+from ragloom.operators import gates as G
+from ragloom.operators import verification as VER
+from ragloom.operators.generation import REFUSAL_PHRASES
+
 SEP = "\x01"
+LATIN_LETTERS, DEV_LETTERS = "abcdefghijklmnopqrstuvwxyz", "कखगघङचछजझञटठडढणतथदधनपफबभमय"
 DEV, LAT = "०१२३४५६७८९", "0123456789"
 W = r"[\p{L}\p{N}_]"
 NW = r"[^\p{L}\p{N}_]"
@@ -36,6 +41,13 @@ FROM (SELECT l_orderkey AS question_id, l_quantity, l_shipdate,
               CAST(o_custkey % 7 AS VARCHAR), ' lines') AS text
 FROM orders""",
     "stage_log": "SELECT event_id AS seq, user_id AS request_group, event_type AS stage, value AS ms, ts, event_type <> 'error' AS ok FROM events",
+    # one question per case: each gibberish rule, both safety lists, blank, Hindi, and plain questions
+    "case_questions": f"""SELECT conv_id * 100 + turn AS question_id, (conv_id + turn) % 12 AS case_no, CASE (conv_id + turn) % 12
+  WHEN 0 THEN repeat('#?', CAST(3 + turn % 4 AS INT)) WHEN 1 THEN substr(text, 1, 60) || ' zzzzzzz' WHEN 2 THEN 'क' || repeat('ा', CAST(4 + turn % 3 AS INT)) || ' ' || substr(text, 1, 40)
+  WHEN 3 THEN translate(lower(substr(text, 1, 40)), '{LATIN_LETTERS}', '{DEV_LETTERS}') WHEN 4 THEN 'कखग घङच छजझ ' || substr(text, 1, 30)
+  WHEN 5 THEN 'how to build a bomb: ' || text WHEN 6 THEN 'यह बम है ' || substr(text, 1, 30) WHEN 7 THEN '   '
+  WHEN 8 THEN 'गोवा का सबसे बड़ा शहर कौन सा है ' || substr(text, 1, 50) WHEN 9 THEN 'bcdfghjkl ' || substr(text, 1, 20) WHEN 10 THEN 'rhythm myths nymph crypt'
+  ELSE text END AS question FROM conversations WHERE role = 'user'""",
     "eval_pairs": "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
 }
 
@@ -148,6 +160,20 @@ FROM {p}dt d JOIN {p}qn USING ({qk}) JOIN {p}cn USING ({ck})"""),
     ]
 
 
+def is_hindi(x: str) -> str:
+    return f"regexp_matches({x}, '[\\x{{0900}}-\\x{{097F}}]')"
+
+
+def lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def said(text: str, *args: str) -> str:
+    """A fixed text with its %s filled in by SQL expressions."""
+    parts = text.split("%s")
+    return " || ".join(x for pair in zip(map(lit, parts), [*args, None]) for x in pair if x is not None and x != "''")
+
+
 # -------------------------------------------------------------------------------------- gates
 GIB_ALL = ("symbol", "repeat", "dev_signs", "dev_consonants", "consonants", "dominance", "vowels", "dev_vowels")
 
@@ -176,18 +202,16 @@ WHERE n >= 5 AND c <> chr(10) GROUP BY {key}"""),
 FROM {p}gt g LEFT JOIN {p}rep r USING ({key}) LEFT JOIN {p}dom d USING ({key})"""),
     ]
     cases = {
-        "symbol": ("f_symbol", "'pure symbol/punctuation spam'"),
-        "repeat": ("m_repeat IS NOT NULL", "'repeated character sequence ''' || m_repeat || ''''"),
-        "dev_signs": ("m_sig IS NOT NULL", "'Devanagari halant/matra spam ''' || m_sig || ''''"),
-        "dev_consonants": ("m_dco IS NOT NULL", "'Devanagari bare consonant sequence ''' || m_dco || ''''"),
-        "consonants": ("m_con IS NOT NULL", "'keyboard mash consonant sequence ''' || m_con || ''''"),
-        "dominance": ("n_ns >= 6 AND top::DOUBLE / n_ns::DOUBLE > 0.45",
-                      "'high character dominance ratio (' || printf('%.2f', top::DOUBLE / n_ns::DOUBLE) || ')'"),
-        "vowels": ("n_let >= 6 AND n_vow::DOUBLE / n_let::DOUBLE < 0.22",
-                   "'low English vowel ratio (' || printf('%.2f', n_vow::DOUBLE / n_let::DOUBLE) || ') in text'"),
-        "dev_vowels": ("n_dev >= 6 AND n_devv::DOUBLE / n_dev::DOUBLE < 0.10",
-                       "'low Devanagari matra/vowel ratio (' || printf('%.2f', n_devv::DOUBLE / n_dev::DOUBLE) || ') in Hindi text'"),
+        "symbol": ("f_symbol", None),
+        "repeat": ("m_repeat IS NOT NULL", "m_repeat"),
+        "dev_signs": ("m_sig IS NOT NULL", "m_sig"),
+        "dev_consonants": ("m_dco IS NOT NULL", "m_dco"),
+        "consonants": ("m_con IS NOT NULL", "m_con"),
+        "dominance": ("n_ns >= 6 AND top::DOUBLE / n_ns::DOUBLE > 0.45", "printf('%.2f', top::DOUBLE / n_ns::DOUBLE)"),
+        "vowels": ("n_let >= 6 AND n_vow::DOUBLE / n_let::DOUBLE < 0.22", "printf('%.2f', n_vow::DOUBLE / n_let::DOUBLE)"),
+        "dev_vowels": ("n_dev >= 6 AND n_devv::DOUBLE / n_dev::DOUBLE < 0.10", "printf('%.2f', n_devv::DOUBLE / n_dev::DOUBLE)"),
     }
+    cases = {r: (test, said(G.RULE_TEXT[r], *([arg] if arg else []))) for r, (test, arg) in cases.items()}
     active = [r for r in GIB_ALL if r in rules]
     rule = "CASE " + " ".join(f"WHEN {cases[r][0]} THEN '{r}'" for r in active) + " END" if active else "NULL"
     reason = "CASE " + " ".join(f"WHEN {cases[r][0]} THEN {cases[r][1]}" for r in active) + " END" if active else "NULL"
@@ -199,38 +223,33 @@ def classify_ctes(p: str, src: str, key: str, text: str, words, rules=GIB_ALL) -
     """CTE {p}cls (key, t, verdict, verdict_reason, rule, unsafe_match)."""
     return gibberish_ctes(p, src, key, text, rules) + [(f"{p}cls", f"""SELECT {key}, t, unsafe_match,
   CASE WHEN t = '' THEN 'off_topic' WHEN unsafe_match IS NOT NULL THEN 'unsafe' WHEN rule IS NOT NULL THEN 'off_topic' ELSE 'in_scope' END AS verdict,
-  CASE WHEN t = '' THEN 'empty transcript input' WHEN unsafe_match IS NOT NULL THEN 'matched safety keyword ''' || unsafe_match || ''''
-       WHEN rule IS NOT NULL THEN 'detected gibberish/nonsense input (' || reason || ')' ELSE 'passed safety and input quality checks' END AS verdict_reason,
+  CASE WHEN t = '' THEN {lit(G.REASON_EMPTY)} WHEN unsafe_match IS NOT NULL THEN {said(G.REASON_UNSAFE, 'unsafe_match')}
+       WHEN rule IS NOT NULL THEN {said(G.REASON_GIBBERISH, 'reason')} ELSE {lit(G.REASON_PASSED)} END AS verdict_reason,
   CASE WHEN t = '' THEN 'empty' WHEN unsafe_match IS NOT NULL THEN 'unsafe' ELSE rule END AS rule
 FROM (SELECT *, {unsafe('t', words)} AS unsafe_match FROM {p}gib) z""")]
 
 
 def grounding_sql(qsrc: str, qk: str, hits: str, thr: float) -> str:
-    t = f"{thr:.2f}"
+    t, s4 = f"{thr:.2f}", "printf('%.4f', h.score)"
     return f"""SELECT q.{qk}, (h.score IS NOT NULL AND h.score >= {thr}) AS can_answer, coalesce(h.score, 0.0) AS top_score,
-  CASE WHEN h.score IS NULL THEN 'no chunks retrieved'
-       WHEN h.score < {thr} THEN 'top retrieval score ' || printf('%.4f', h.score) || ' below grounding threshold {t}'
-       ELSE 'sufficient corpus grounding (top_score ' || printf('%.4f', h.score) || ' >= threshold {t})' END AS reason
+  CASE WHEN h.score IS NULL THEN {lit(G.REASON_NO_CHUNKS)}
+       WHEN h.score < {thr} THEN {said(G.REASON_BELOW, s4, lit(t))}
+       ELSE {said(G.REASON_ABOVE, s4, lit(t))} END AS reason
 FROM {qsrc} q LEFT JOIN (SELECT * FROM {hits} WHERE rank = 1) h ON q.{qk} = h.{qk}"""
 
 
 # ---------------------------------------------------------------------------- generation / verify
-REFUSALS = ["उत्तर उपलब्ध नहीं है", "जानकारी नहीं है", "संदर्भ में उत्तर नहीं है", "उल्लेख नहीं है", "नहीं दिया गया",
-            "स्पष्ट नहीं है", "नहीं है", "no answer available", "not provided in the context", "not mentioned",
-            "cannot be answered"]
-
-
-def refusal(x: str, phrases=REFUSALS) -> str:
+def refusal(x: str, phrases=REFUSAL_PHRASES) -> str:
     arr = "[" + ", ".join("'" + ph.replace("'", "''") + "'" for ph in phrases) + "]"
     return f"(len(list_filter({arr}, lambda p_: contains(lower({x}), p_))) > 0)"
 
 
-def extractive_ctes(p: str, qsrc: str, qk: str, qt: str, hits: str, max_hits: int = 3) -> list[tuple[str, str]]:
+def extractive_ctes(p: str, qsrc: str, qk: str, qt: str, hits: str) -> list[tuple[str, str]]:
     """CTE {p}raw (qk, answer) - the built-in extractive generator."""
     return [
         (f"{p}qt", f"SELECT DISTINCT {qk}, unnest({terms(qt)}) AS term FROM {qsrc}"),
         (f"{p}hs", f"""SELECT {qk}, rank, unnest(arr) AS s, unnest(range(len(arr))) AS sp
-FROM (SELECT {qk}, rank, {chunk_sents('text')} AS arr FROM {hits} WHERE rank <= {max_hits}) z"""),
+FROM (SELECT {qk}, rank, {chunk_sents('text')} AS arr FROM {hits}) z"""),
         (f"{p}st", f"SELECT DISTINCT {qk}, rank, sp, unnest({terms('s')}) AS term FROM {p}hs"),
         (f"{p}ov", f"SELECT st.{qk}, st.rank, st.sp, count(*) AS ov FROM {p}st st JOIN {p}qt q ON st.{qk} = q.{qk} AND st.term = q.term GROUP BY st.{qk}, st.rank, st.sp"),
         (f"{p}best", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {qk}, rank ORDER BY ov DESC, sp) AS r FROM {p}ov) z WHERE r = 1"),
@@ -269,6 +288,7 @@ def verify_ctes(p: str, asrc: str, qk: str, text: str, hits: str, rank: str = "r
     """CTEs {p}claims (qk, sent_no, claim, tagged) and {p}flags (qk, sent_no, claim, citation_index, chunk_id, reason)."""
     notags = rf"regexp_replace({norm_digits('sentence')}, '\[\d+\]', '', 'g')"
     claims = rf"list_distinct(list_filter(regexp_extract_all({notags}, '[\p{{L}}\p{{N}}_]+'), lambda w_: regexp_full_match(w_, '[0-9]+')))"
+    idx = "CAST(c.citation_index AS VARCHAR)"
     tags = rf"list_distinct(list_transform(regexp_extract_all(sentence, '\[(\d+)\]', 1), lambda x_: TRY_CAST({norm_digits('x_')} AS BIGINT)))"
     return [
         (f"{p}vs", f"""SELECT {qk}, unnest(arr) AS sentence, unnest(range(len(arr)))::INT AS sent_no
@@ -277,13 +297,12 @@ FROM (SELECT {qk}, {verify_sents(strip(text))} AS arr FROM {asrc}) z"""),
         (f"{p}claims", f"SELECT {qk}, sent_no, unnest(claims) AS claim, len(tags) > 0 AS tagged, tags FROM {p}vt WHERE len(claims) > 0"),
         (f"{p}hn", f"SELECT {qk}, {rank}::BIGINT AS citation_index, {cid} AS chunk_id, {norm_digits(htext)} AS ht FROM {hits}"),
         (f"{p}cited", f"""SELECT c.{qk}, c.sent_no, c.claim, c.citation_index, h.chunk_id,
-  CASE WHEN h.ht IS NULL THEN 'citation index [' || CAST(c.citation_index AS VARCHAR) || '] has no matching retrieved chunk'
-       ELSE 'numeric claim ''' || c.claim || ''' not found in cited chunk [' || CAST(c.citation_index AS VARCHAR) || '] (' || h.chunk_id || ')' END AS reason
+  CASE WHEN h.ht IS NULL THEN {said(VER.REASON_NO_CHUNK, idx)} ELSE {said(VER.REASON_NOT_IN_CITED, 'c.claim', idx, 'h.chunk_id')} END AS reason
 FROM (SELECT {qk}, sent_no, claim, unnest(tags) AS citation_index FROM {p}claims WHERE tagged) c
 LEFT JOIN {p}hn h ON c.{qk} = h.{qk} AND c.citation_index = h.citation_index
 WHERE h.ht IS NULL OR NOT contains(h.ht, c.claim)"""),
         (f"{p}uncited", f"""SELECT c.{qk}, c.sent_no, c.claim, NULL::BIGINT AS citation_index, NULL::VARCHAR AS chunk_id,
-  'uncited numeric claim ''' || c.claim || ''' not found in any retrieved chunk' AS reason
+  {said(VER.REASON_NOT_IN_ANY, 'c.claim')} AS reason
 FROM {p}claims c WHERE NOT c.tagged AND NOT EXISTS (SELECT 1 FROM {p}hn h WHERE h.{qk} = c.{qk} AND contains(h.ht, c.claim))"""),
         (f"{p}flags", f"SELECT * FROM {p}cited UNION ALL SELECT * FROM {p}uncited"),
     ]

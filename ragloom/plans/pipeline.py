@@ -13,7 +13,8 @@ from ragloom.functions.text import is_hindi, strip
 from ragloom.operators import gates as G
 from ragloom.operators.common import checkpoint
 from ragloom.operators.generation import answer_citations, extractive_answers, generate_with, prompt_build
-from ragloom.operators.retrieval import attach_chunks, knn_lexical
+from ragloom.operators.index import QUERY_PREFIX
+from ragloom.operators.retrieval import attach_chunks, knn_dense, knn_lexical
 from ragloom.operators.verification import verify_answers
 
 # Messages for rows that stop early (by stage, cause and answer language).
@@ -32,15 +33,37 @@ RESULT_COLS = ["transcript", "verdict", "verdict_reason", "top_score", "groundin
 
 
 def stop_message(cause, hindi) -> Column:
-    """cause in {no_speech, empty, unsafe, off_topic, not_grounded}."""
+    """cause in {stt_failed, no_speech, empty, unsafe, off_topic, not_grounded}."""
     c, hi = F.col(cause) if isinstance(cause, str) else cause, F.col(hindi) if isinstance(hindi, str) else hindi
-    return (F.when(c == "no_speech", F.lit(MSG_NO_SPEECH))
+    return (F.when(c == "stt_failed", F.lit(MSG_STT_FAILED))
+            .when(c == "no_speech", F.lit(MSG_NO_SPEECH))
             .when(c == "empty", F.lit(MSG_EMPTY_TEXT))
             .when(c == "unsafe", F.when(hi, F.lit(MSG_UNSAFE_HI)).otherwise(F.lit(MSG_UNSAFE_EN)))
             .when(c == "off_topic", F.when(hi, F.lit(MSG_OFF_TOPIC_HI)).otherwise(F.lit(MSG_OFF_TOPIC_EN)))
             .when(c == "not_grounded", F.when(hi, F.lit(MSG_NOT_GROUNDED_HI)).otherwise(F.lit(MSG_NOT_GROUNDED_EN))))
 
 
+def retrieve_dense(questions: DataFrame, q_key: str, q_text: str, index: DataFrame, embed, k: int = 5) -> DataFrame:
+    """Embed the questions (with the query prefix; blank ones retrieve nothing) and search the embedding column of an
+    index table: (q_key, rank, score) and the chunk's payload columns. Pass ``read_index(spark, path, strategy)`` to
+    search one collection: the strategy is a partition of the table."""
+    asked = questions.select(q_key, strip(q_text).alias("_t")).where(F.col("_t") != "")
+    asked = asked.select(q_key, embed(F.concat(F.lit(QUERY_PREFIX), F.col("_t"))).alias("_qv"))
+    hits = knn_dense(asked, q_key, "_qv", index, "chunk_id", "embedding", k)
+    payload = [c for c in index.columns if c not in ("chunk_id", "embedding", "model_input", "shard")]
+    return attach_chunks(hits, index, ["chunk_id"], payload)
+
+
+def answer_speech(transcripts: DataFrame, q_key: str, text_col: str, ok_col: str, *args, **options) -> DataFrame:
+    """``answer_batch`` behind the speech stage: a failed call or a blank transcript stops at ``transcribe``."""
+    t = transcripts.select(q_key, F.coalesce(strip(text_col), F.lit("")).alias("_t"), F.coalesce(F.col(ok_col), F.lit(False)).alias("_ok"))
+    stop = t.where(~F.col("_ok") | (F.col("_t") == "")).select(
+        q_key, F.lit("").alias("_t"), F.lit(False).alias("_hi"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("verdict_reason"),
+        F.when(F.col("_ok"), F.lit("no_speech")).otherwise(F.lit("stt_failed")).alias("_cause"))
+    heard = t.where(F.col("_ok") & (F.col("_t") != "")).select(q_key, F.col("_t").alias(text_col))
+    return _stopped(stop, q_key, "transcribe", F.col("_cause")).unionByName(answer_batch(heard, q_key, text_col, *args, **options))
+
+
 _FLAG_T = "array<struct<sent_no:int,claim:string,citation_index:bigint,chunk_id:string,reason:string>>"
 
 
@@ -57,9 +80,11 @@ def _stopped(df: DataFrame, q_key: str, stage: str, cause: Column) -> DataFrame:
 
 def answer_batch(questions: DataFrame, q_key: str, q_text: str, chunks: DataFrame, c_keys: list[str], c_text: str,
                  chunk_id_col: str = "chunk_id", k: int = 5, threshold: float = 0.83, rules=G.ALL_RULES,
-                 unsafe_words=G.UNSAFE_PATTERNS, generator=None, max_hits: int = 3, chunk_postings=None,
-                 broadcast_max_rows: int = 2_000_000) -> DataFrame:
-    """Questions -> one result row each (see ``RESULT_COLS``); hits come from the lexical index."""
+                 unsafe_words=G.UNSAFE_PATTERNS, generator=None, max_hits: int | None = None, chunk_postings=None,
+                 retriever=None) -> DataFrame:
+    """Questions -> one result row each (see ``RESULT_COLS``). Hits come from ``retriever(open_questions)``, a DataFrame
+    (q_key, rank, score, text, chunk_id) such as ``retrieve_dense`` gives (then ``chunks`` may be None), or else from a
+    lexical search of ``chunks``."""
     q = questions.select(q_key, strip(q_text).alias("_t")).withColumn("_hi", is_hindi("_t"))
     q = G.with_classification(q, "_t", unsafe_words, rules).select(q_key, "_t", "_hi", "verdict", "verdict_reason")
     # The classified questions, hits and citations feed several exits. They are questions x k at most, so
@@ -71,14 +96,18 @@ def answer_batch(questions: DataFrame, q_key: str, q_text: str, chunks: DataFram
     cls_stop = q.where((F.col("_t") != "") & (F.col("verdict") != G.IN_SCOPE))
     open_q = q.where((F.col("_t") != "") & (F.col("verdict") == G.IN_SCOPE))
 
-    hits = checkpoint(knn_lexical(open_q, q_key, "_t", chunks, c_keys, c_text, k, broadcast_max_rows, chunk_postings=chunk_postings))
+    if retriever is not None:
+        hits = checkpoint(retriever(open_q.select(q_key, F.col("_t").alias(q_text))).select(q_key, "rank", "score", "text", F.col("chunk_id").alias(chunk_id_col)))
+    else:
+        hits = checkpoint(knn_lexical(open_q, q_key, "_t", chunks, c_keys, c_text, k, chunk_postings=chunk_postings))
     gate = G.grounding_gate(open_q, q_key, hits, threshold).join(open_q, q_key)
     gate = gate.withColumnRenamed("reason", "grounding_reason")
     not_grounded = gate.where(~F.col("can_answer"))
     ok = gate.where(F.col("can_answer"))
 
     ok_hits = hits.join(ok.select(q_key), q_key, "left_semi")
-    ok_hits = checkpoint(attach_chunks(ok_hits, chunks, c_keys, [c_text, chunk_id_col], broadcast_max_rows).withColumnRenamed(c_text, "text"))
+    if retriever is None:
+        ok_hits = checkpoint(attach_chunks(ok_hits, chunks, c_keys, [c_text, chunk_id_col]).withColumnRenamed(c_text, "text"))
     if generator is None:
         raw = extractive_answers(ok, q_key, "_t", ok_hits, max_hits)
     else:
@@ -99,14 +128,22 @@ def answer_batch(questions: DataFrame, q_key: str, q_text: str, chunks: DataFram
     )
 
 
-def result_json(results: DataFrame, q_key: str) -> DataFrame:
-    """The API response shape as one JSON string per question. Per-row stage timings do not exist in a
-    batch plan; ``latency_ms`` carries the stages reached with null times (batch telemetry is separate)."""
-    reached = F.slice(F.array(*[F.lit(s) for s in ("classify_query", "retrieve", "check_grounding", "generate", "verify")]),
-                      1, F.when(F.col("stopped_at") == "classify_query", 1).when(F.col("stopped_at") == "check_grounding", 3).otherwise(5))
-    stages = F.map_from_arrays(reached, F.transform(reached, lambda s: F.lit(None).cast("double")))
+ALL_STAGES = ("transcribe", "classify_query", "retrieve", "check_grounding", "generate", "verify")
+
+
+def result_json(results: DataFrame, q_key: str, timings: DataFrame | None = None) -> DataFrame:
+    """The API response shape as one JSON string per question. ``timings`` is a batch's stage table (stage, ms; see
+    ``StageTimer``): a question carries the batch times of the stages it reached, since a batch plan has no times per row;
+    without it the times are null."""
+    names = F.array(*[F.lit(s) for s in ALL_STAGES])
+    reached = F.slice(names, 1, F.greatest(F.array_position(names, F.col("stopped_at")).cast("int"), F.lit(1)))
+    one = {r["stage"]: r["ms"] for r in timings.groupBy("stage").agg(F.round(F.sum("ms"), 2).alias("ms")).collect()} if timings is not None else {}
+    ms = F.create_map(*[x for s in ALL_STAGES for x in (F.lit(s), F.lit(one.get(s)).cast("double"))])  # one entry per stage
+    results = results.withColumn("_ms", ms)
+    stages = F.map_from_arrays(reached, F.transform(reached, lambda s: F.element_at("_ms", s)))
+    total = F.round(F.aggregate(F.map_values(stages), F.lit(None).cast("double"), lambda a, x: F.coalesce(a + x, a, x)), 2)
     flags = F.transform("flagged_claims", lambda f: F.struct(f["claim"].alias("claim_text"), f["citation_index"].alias("citation_index"),
                                                              f["chunk_id"].alias("chunk_id"), f["reason"].alias("reason")))
     body = F.struct(F.col("answer"), F.col("transcript"), F.col("citations"), F.col("is_fully_grounded"), flags.alias("flagged_claims"),
-                    F.col("stopped_at"), F.struct(F.lit(None).cast("double").alias("total"), stages.alias("stages")).alias("latency_ms"))
+                    F.col("stopped_at"), F.struct(total.alias("total"), stages.alias("stages")).alias("latency_ms"))
     return results.select(q_key, F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))

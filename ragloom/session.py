@@ -1,7 +1,6 @@
 """Session helpers: one place for the settings every plan relies on."""
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -28,7 +27,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("RAGLOOM_DRIVER_MEMORY", "16g"))
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -42,19 +40,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder for ``DataFrame.checkpoint``: the shared folder the cluster names
     in spark.checkpoint.dir (Spark derives the context's folder from it at start-up).
 
-    Only when the session has none (local tests) do we create a scratch folder."""
+    Only in local mode, when the session has none, do we create a scratch folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="ragloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = local_scratch(spark)
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
+def local_scratch(spark: SparkSession) -> str:
+    """A scratch folder for local runs and tests; executors of a cluster couldn't share it."""
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    d = tempfile.mkdtemp(prefix="ragloom-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", d)
+    return d
+
+
 def checkpoint_base(spark: SparkSession) -> str:
     """The stable base folder (spark.checkpoint.dir itself, not the per-application subfolder) for
     state that must survive restarts, such as streaming checkpoints."""

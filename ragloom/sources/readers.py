@@ -1,8 +1,6 @@
 """Sources: passage reader, language/split resolver, question lists, speech-service responses, eval pairs."""
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,12 +45,24 @@ def first_rows(df: DataFrame, n: int, order_by) -> DataFrame:
     return df.orderBy(order_by).limit(n)
 
 
+#: split -> (folder, end of the file name)
+SPLITS = {"train": ("train", "train")}
+OTHER_SPLIT = ("validation", "val")
+
+
+def split_path(root: str, code: Column | str, split: str = "train"):
+    """``root/folder/<code><end>.parquet`` as a Column (for a Column code) or a string."""
+    folder, end = SPLITS.get(split, OTHER_SPLIT)
+    start = f"{root.rstrip('/')}/{folder}/"
+    return F.concat(F.lit(start), code, F.lit(f"{end}.parquet")) if isinstance(code, Column) else f"{start}{code}{end}.parquet"
+
+
 def dataset_path(root: str, language: str, split: str = "train") -> str:
-    if language not in LANG_CODE_MAP:
-        raise ValueError(f"Language '{language}' has no train file. Available: {sorted(LANG_CODE_MAP)}")
-    code = LANG_CODE_MAP[language]
-    folder, suffix = ("train", "train") if split == "train" else ("validation", "val")
-    return os.path.join(root, folder, f"{code}{suffix}.parquet")
+    """File of one language; languages without a train file are refused."""
+    try:
+        return split_path(root, LANG_CODE_MAP[language], split)
+    except KeyError:
+        raise ValueError(f"no train file for language {language!r}; there are: {', '.join(sorted(LANG_CODE_MAP))}") from None
 
 
 def lang_map_df(spark: SparkSession) -> DataFrame:
@@ -62,12 +72,10 @@ def lang_map_df(spark: SparkSession) -> DataFrame:
 def resolve_languages(df: DataFrame, lang_col: str, root: str, split: str = "train") -> DataFrame:
     """Table form of the resolver: join to the 13-row code map (broadcast; fixed size)."""
     m = F.broadcast(lang_map_df(df.sparkSession))
-    folder, suffix = ("train", "train") if split == "train" else ("validation", "val")
     j = df.join(m, df[lang_col] == m["lang"], "left").drop(m["lang"])
-    return j.withColumn(
-        "file_path",
-        F.when(F.col("code").isNotNull(), F.concat(F.lit(root.rstrip("/") + f"/{folder}/"), F.col("code"), F.lit(f"{suffix}.parquet"))),
-    ).withColumn("status", F.when(F.col("code").isNotNull(), F.lit("ok")).otherwise(F.lit("unknown language")))
+    known = F.col("code").isNotNull()
+    return j.withColumn("file_path", F.when(known, split_path(root, F.col("code"), split))).withColumn(
+        "status", F.when(known, F.lit("ok")).otherwise(F.lit("unknown language")))
 
 
 def question_lines(lines: DataFrame, text_col: str = "value", n: int | None = None, order_cols=None) -> DataFrame:
@@ -81,9 +89,7 @@ def question_lines(lines: DataFrame, text_col: str = "value", n: int | None = No
 def read_question_file(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
     out = question_lines(lines, "value", n, ["line_no"])
-    if n is None:
-        return out.select("line_no", "question")
-    if out.limit(1).count() == 0:
+    if out.isEmpty():
         raise ValueError("No queries found - check the question file path/content.")
     return out.select("line_no", "question")
 
@@ -100,14 +106,17 @@ STT_SCHEMA = T.StructType([
 def parse_stt_response(json_col) -> Column:
     """Speech-service JSON -> struct(transcript, language, confidence).
 
-    transcript: first non-empty of ``transcript``/``text``, stripped; language defaults to hi-IN when the
-    key is absent; confidence: ``confidence`` unless missing or 0, else ``language_probability``.
+    transcript: first non-empty of ``transcript``/``text``, stripped; language defaults to hi-IN only when the
+    key is absent (an explicit null stays null); confidence: ``confidence`` unless missing or 0, else
+    ``language_probability``.
     """
-    j = F.from_json(json_col if not isinstance(json_col, str) else F.col(json_col), STT_SCHEMA)
+    raw = json_col if not isinstance(json_col, str) else F.col(json_col)
+    j = F.from_json(raw, STT_SCHEMA)
     tr = strip(F.coalesce(F.nullif(j["transcript"], F.lit("")), F.nullif(j["text"], F.lit("")), F.lit("")))
     conf = F.coalesce(F.nullif(j["confidence"], F.lit(0.0)), j["language_probability"])
-    return F.struct(tr.alias("transcript"), F.coalesce(j["language_code"], F.lit("hi-IN")).alias("language"),
-                    conf.alias("confidence"))
+    has_language = F.array_contains(F.json_object_keys(raw), "language_code")
+    language = F.when(has_language, j["language_code"]).otherwise(F.lit("hi-IN"))
+    return F.struct(tr.alias("transcript"), language.alias("language"), conf.alias("confidence"))
 
 
 def classify_stt_error(status_col, body_col) -> Column:
@@ -115,12 +124,8 @@ def classify_stt_error(status_col, body_col) -> Column:
     status = F.col(status_col) if isinstance(status_col, str) else status_col
     body = F.col(body_col) if isinstance(body_col, str) else body_col
     client_err = status.isin(400, 401, 403, 422)
-    msg = F.coalesce(
-        F.get_json_object(body, "$.error.message"),
-        F.get_json_object(body, "$.detail"),
-        F.when(client_err, F.get_json_object(body, "$.message")),
-        body,
-    )
+    part = lambda path: F.nullif(F.get_json_object(body, path), F.lit(""))  # noqa: E731 - an empty string falls through
+    msg = F.coalesce(part("$.error.message"), part("$.detail"), F.when(client_err, part("$.message")), body)
     return F.struct((~client_err & (status >= 400)).alias("retryable"), msg.alias("message"))
 
 

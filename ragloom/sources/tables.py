@@ -19,11 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> D
     return spread_small(df) if spread else df
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """A table read as fewer partitions than the cluster has cores (a small file, one row group) would
-    run its CPU-heavy narrow stages (sentence splitting, chunking, term extraction, regex gates, scoring)
-    on a few cores; spread it round-robin. Large inputs already have many partitions and are returned
-    unchanged, so the corpus is never shuffled for this. Filters and column pruning still reach the scan."""
+#: A table of at most so many bytes (by the scan's own statistics) may be dealt out to all cores.
+SPREAD_MAX_BYTES = 64 * 1024 * 1024
+
+
+def spread_small(df: DataFrame, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
+    """A small file with one row group is one task, whatever the cores: deal its rows out round-robin. Only
+    inputs of at most ``max_bytes`` are shuffled for this, however many cores there are; larger ones are
+    read as they are split. Rows are the same either way."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > max_bytes:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

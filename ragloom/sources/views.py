@@ -10,6 +10,8 @@
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ def qa_rows(t: Tables) -> DataFrame:
     # partitioned method, so one very long conversation is spread over many tasks (no window per key).
     from ragloom.operators.latency import group_ranks
 
-    ranked, _ = group_ranks(assistant, ["conv_id"], "turn", carry=["passage"])
+    ranked = group_ranks(assistant, ["conv_id"], "turn", carry=["passage"])
     return (
         first_user.join(ranked, "conv_id")
         .select(
@@ -114,6 +116,35 @@ def stage_log(t: Tables) -> DataFrame:
     )
 
 
+def case_questions(t: Tables) -> DataFrame:
+    """One question per case: each gibberish rule, both safety lists, blank, Hindi, and plain questions."""
+    c = t.conversations.where("role = 'user'")
+    text, case, turn = F.col("text"), (F.col("conv_id") + F.col("turn")) % 12, F.col("turn").cast("int")
+    latin, devanagari = "abcdefghijklmnopqrstuvwxyz", "कखगघङचछजझञटठडढणतथदधनपफबभमय"
+    cases = [
+        F.repeat(F.lit("#?"), 3 + turn % 4), F.concat(F.substring(text, 1, 60), F.lit(" zzzzzzz")),
+        F.concat(F.lit("क"), F.repeat(F.lit("ा"), 4 + turn % 3), F.lit(" "), F.substring(text, 1, 40)),
+        F.translate(F.lower(F.substring(text, 1, 40)), latin, devanagari), F.concat(F.lit("कखग घङच छजझ "), F.substring(text, 1, 30)),
+        F.concat(F.lit("how to build a bomb: "), text), F.concat(F.lit("यह बम है "), F.substring(text, 1, 30)), F.lit("   "),
+        F.concat(F.lit("गोवा का सबसे बड़ा शहर कौन सा है "), F.substring(text, 1, 50)), F.concat(F.lit("bcdfghjkl "), F.substring(text, 1, 20)),
+        F.lit("rhythm myths nymph crypt"), text]
+    question = reduce(lambda done, k: F.when(case == k, cases[k]).otherwise(done), range(11), cases[11])
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), case.alias("case_no"), question.alias("question"))
+
+
+def case_answers(t: Tables, refusal_hi: str, refusal_en: str) -> DataFrame:
+    """Answers with a citation, with a refusal in either language, and with grouped tags beyond the hits."""
+    case, text = (F.col("conv_id") + F.col("turn")) % 4, F.col("text")
+    answer = (F.when(case == 0, F.concat(text, F.lit(" [1]"))).when(case == 1, F.concat(text, F.lit(". " + refusal_hi)))
+              .when(case == 2, F.lit(f"Sorry: {refusal_en} [2] [9].")).otherwise(F.concat(text, F.lit(" [7, 1]"))))
+    return t.conversations.where("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), answer.alias("answer"))
+
+
+def call_log(t: Tables, status_sql: str, body_sql: str) -> DataFrame:
+    """events as speech-service calls with a status and a response body (the expressions run in both engines)."""
+    return t.events.withColumn("status", F.expr(status_sql)).withColumn("body", F.expr(body_sql))
+
+
 def eval_pairs(t: Tables) -> DataFrame:
     """Benchmark item -> every document containing its text verbatim (exact, equi-join based)."""
     from ragloom.operators.matching import contains_join

@@ -55,16 +55,14 @@ def answer_stream(spark: SparkSession, question_dir: str, chunks: DataFrame, c_k
     return w.start()
 
 
-def index_stream(spark: SparkSession, passage_dir: str, index_path: str, checkpoint: str | None = None,
+def index_stream(spark: SparkSession, passage_dir: str, index_path: str, checkpoint: str | None = None, embed=None,
                  available_now: bool = True, **chunk_kw):
     from ragloom.sources.readers import PASSAGES_SCHEMA
 
     src = spark.readStream.schema(PASSAGES_SCHEMA).parquet(passage_dir)
 
     def run(batch: DataFrame, epoch: int) -> None:
-        nested = batch.select("query_id", "query", F.col("passages.Translated_passages").alias("passages"),
-                              F.col("passages.is_selected").alias("is_selected"))
-        IDX.upsert(spark, C.build_index_chunks(nested, **chunk_kw), index_path)
+        IDX.upsert(spark, C.build_index_chunks(batch, **chunk_kw), index_path, embed)
         release_cached()
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", _ckpt(spark, "index", checkpoint))
