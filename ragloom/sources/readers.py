@@ -62,7 +62,7 @@ def dataset_path(root: str, language: str, split: str = "train") -> str:
     try:
         return split_path(root, LANG_CODE_MAP[language], split)
     except KeyError:
-        raise ValueError(f"no train file for language {language!r}; there are: {', '.join(sorted(LANG_CODE_MAP))}") from None
+        raise ValueError(f"no train file for language {language!r}. Available: {', '.join(sorted(LANG_CODE_MAP))}") from None
 
 
 def lang_map_df(spark: SparkSession) -> DataFrame:

@@ -16,8 +16,7 @@ def nested_rows():
 
 
 def test_upsert_idempotent(spark, tmpdir_path):
-    nested = spark.createDataFrame(nested_rows(), PASSAGES_SCHEMA).select(
-        "query_id", "query", F.col("passages.Translated_passages").alias("passages"), F.col("passages.is_selected").alias("is_selected"))
+    nested = spark.createDataFrame(nested_rows(), PASSAGES_SCHEMA)
     ch = C.build_index_chunks(nested, threshold=0.1)
     path = os.path.join(tmpdir_path, "index")
     n1 = IDX.upsert(spark, ch, path)
@@ -27,14 +26,54 @@ def test_upsert_idempotent(spark, tmpdir_path):
     assert IDX.read_index(spark, path, "structured").count() == 12
 
 
+def test_upsert_replaces_changed_documents_and_loses_nothing(spark, tmpdir_path):
+    schema = "query_id long, query string, language string, passages array<string>, is_selected array<int>"
+    first = [(1, "q", "hi", ["a one", "a two", "a three"], [1]), (1, "q", "en", ["a one"], [1]), (None, "x", "hi", ["b"], []), (None, "y", "hi", ["b"], [])]
+    path = os.path.join(tmpdir_path, "index")
+    embedded = []
+
+    def embed(c):
+        embedded.append(1)
+        return F.array(F.length(c).cast("float"))
+
+    build = lambda rows: C.chunk_structured(spark.createDataFrame(rows, schema))
+    assert IDX.upsert(spark, build(first), path, embed) == 6
+    assert IDX.upsert(spark, build(first), path, embed) == 0
+    changed = [(1, "q", "hi", ["a one", "changed"], [1])]  # one text changed, one passage gone
+    assert IDX.upsert(spark, build(changed), path, embed) == 1
+    got = sorted((r.language, r.query_text, r.text) for r in IDX.read_index(spark, path).collect())
+    assert got == [("en", "q", "a one"), ("hi", "q", "a one"), ("hi", "q", "changed"), ("hi", "x", "b"), ("hi", "y", "b")]
+    assert all(len(r.embedding) == 1 for r in IDX.read_index(spark, path).collect())
+
+
+def test_uniform_embeddings(spark, tmpdir_path):
+    import pytest
+
+    ch = C.chunk_structured(spark.createDataFrame([(1, "q", ["a", "bb"], [1])], "query_id long, query string, passages array<string>, is_selected array<int>"))
+    with pytest.raises(ValueError):
+        IDX.upsert(spark, ch, os.path.join(tmpdir_path, "bad"), lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: i.cast("float")))
+
+
+def test_strategy_is_a_partition_filter(spark, tmpdir_path):
+    from ragloom.operators.embedding import hashed_terms
+    from ragloom.plans.pipeline import retrieve_dense
+
+    nested = spark.createDataFrame(nested_rows(), PASSAGES_SCHEMA)
+    path = os.path.join(tmpdir_path, "index")
+    IDX.upsert(spark, C.build_index_chunks(nested, threshold=0.1), path, hashed_terms())
+    q = spark.createDataFrame([(1, "Passage 3 one"), (2, "  ")], "qid long, q string")
+    h = retrieve_dense(q, "qid", "q", IDX.read_index(spark, path, "structured"), hashed_terms(), 3)
+    assert "PartitionFilters: [isnotnull(strategy" in h._jdf.queryExecution().toString().replace("`", "")
+    assert {r.strategy for r in h.collect()} == {"structured"} and {r.qid for r in h.collect()} == {1}
+
+
 def test_index_stream_equals_batch(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "passages")
     spark.createDataFrame(nested_rows(), PASSAGES_SCHEMA).write.parquet(src)
     path = os.path.join(tmpdir_path, "index")
     q = jobs.index_stream(spark, src, path, checkpoint=os.path.join(tmpdir_path, "ck"), threshold=0.1)
     q.awaitTermination(120)
-    nested = spark.createDataFrame(nested_rows(), PASSAGES_SCHEMA).select(
-        "query_id", "query", F.col("passages.Translated_passages").alias("passages"), F.col("passages.is_selected").alias("is_selected"))
+    nested = spark.createDataFrame(nested_rows(), PASSAGES_SCHEMA)
     batch_ids = {r.chunk_id for r in IDX.conform(C.build_index_chunks(nested, threshold=0.1)).collect()}
     assert {r.chunk_id for r in IDX.read_index(spark, path).collect()} == batch_ids
 

@@ -23,9 +23,9 @@ def test_percentiles_hot_group(spark):
 def test_requests_warm_share_status(spark):
     log = spark.createDataFrame([(1, 10, "view", 5.0, True), (2, 10, "error", 1.0, False), (3, 11, "view", 3.0, True),
                                  (4, 12, "click", 2.0, True)], "seq long, request_group long, stage string, ms double, ok boolean")
-    r = {x.request_group: x for x in L.request_totals(log).collect()}
+    r = {x.request_group: x for x in L.request_totals(log, retrieve_stage="view").collect()}
     assert r[10].stopped_at == "error" and r[11].stopped_at == "verify" and r[10].total_ms == 6.0
-    assert sorted(x.request_group for x in L.warm_only(L.request_totals(log)).collect()) == [11, 12]
+    assert sorted(x.request_group for x in L.warm_only(L.request_totals(log, retrieve_stage="view")).collect()) == [11, 12]
     sh = {(x.request_group, x.stage): x.share for x in L.stage_share(log).collect()}
     assert abs(sh[(10, "view")] - 100 * 5 / 6) < 1e-9 and abs(sh[(10, "error")] - 100 / 6) < 1e-9
     res = spark.createDataFrame([(1, "check_grounding"), (2, "verify")], "q long, stopped_at string")
@@ -53,7 +53,7 @@ def test_report_sinks_and_observation(spark, tmpdir_path):
     import __spark_entry__ as entry
 
     summary = entry.queries()["benchmark_summary"](spark, SF0001)
-    reqs = L.request_totals(spark.createDataFrame([(1, 7, "view", 1.005, True)], "seq long, request_group long, stage string, ms double, ok boolean"))
+    reqs = L.request_totals(spark.createDataFrame([(1, 7, "view", 1.005, True)], "seq long, request_group long, stage string, ms double, ok boolean"), retrieve_stage="view")
     bd = L.warm_only(reqs).where(~F.col("completed")).groupBy("stopped_at").agg(F.count(F.lit(1)).alias("n"))
     rec = L.summary_record(summary, bd)
     out = os.path.join(tmpdir_path, "summary")
@@ -65,16 +65,54 @@ def test_report_sinks_and_observation(spark, tmpdir_path):
     L.write_request_latencies(reqs, csv)
     back = spark.read.option("header", True).csv(csv).collect()
     assert [(r.query, r.latency_ms) for r in back] == [("7", "1.0")]
-    df, obs = L.observe_counts(spark.range(10), "retrieve")
-    df.collect()
-    assert obs.get["rows"] == 10
+
+
+def test_stage_timer_and_response_times(spark):
+    import json
+
+    import pytest
+
+    from ragloom.plans.pipeline import result_json
+
+    timer = L.StageTimer()
+    assert timer.run("retrieve", lambda: spark.range(10)).count() == 10
+    with pytest.raises(Exception):
+        timer.run("generate", lambda: spark.range(3).select(F.raise_error(F.lit("no model"))))
+    rows = timer.frame(spark).collect()
+    assert [(r.stage, r.rows, r.ok) for r in rows] == [("retrieve", 10, True), ("generate", None, False)] and "no model" in rows[1].error
+    timings = spark.createDataFrame([("classify_query", 1.0), ("retrieve", 2.5), ("check_grounding", 0.25)], "stage string, ms double")
+    results = spark.createDataFrame([(1, "a", "t", [], True, [], "check_grounding")], "q long, answer string, transcript string, citations array<string>, "
+                                    "is_fully_grounded boolean, flagged_claims array<struct<claim:string,citation_index:bigint,chunk_id:string,reason:string>>, stopped_at string")
+    latency = json.loads(result_json(results, "q", timings).first().json)["latency_ms"]
+    assert latency == {"total": 3.75, "stages": {"transcribe": None, "classify_query": 1.0, "retrieve": 2.5, "check_grounding": 0.25}}
+
+
+def test_percentiles_of_a_repeated_value(spark):
+    """A value that fills nine tenths of a group is one counted row, and the result stays exact."""
+    rows = [("g", 5.0)] * 900 + [("g", float(x)) for x in range(100)] + [(None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in L.percentiles(df, ["g"], "v", (0.0, 0.5, 0.99, 1.0), names=["a", "b", "c", "d"], with_n=True).collect()}
+    v = sorted(x for g, x in rows if g)
+    assert [got["g"].a, got["g"].b, got["g"].c, got["g"].d] == [float(x) for x in np.percentile(v, [0, 50, 99, 100])] and got["g"].n == 1000
+    assert got[None].n == 1
+
+
+def test_verification_options(spark):
+    from ragloom.operators import verification as VER
+
+    a = spark.createDataFrame([(1, "It weighs 3.5 kg [1, 2]. Cost 7 [1].")], "q long, t string")
+    hits = spark.createDataFrame([(1, 1, "c1", "weight 3.5 cost 7"), (1, 2, "c2", "other 35")], "q long, rank int, chunk_id string, text string")
+    plain = {(r.claim, r.citation_index) for r in VER.flagged_claims(a, "q", "t", hits).collect()}
+    assert plain == {("2", None)} or ("3", None) not in plain
+    both = {(r.claim, r.citation_index) for r in VER.flagged_claims(a, "q", "t", hits, decimals=True, grouped_tags=True).collect()}
+    assert both == {("3.5", 2)}
 
 
 def test_stt_error_classifier(spark):
     from ragloom.sources.readers import classify_stt_error
 
     rows = [(401, '{"error": {"message": "bad key"}}'), (422, '{"message": "bad audio"}'), (500, '{"message": "oops"}'),
-            (503, "plain body"), (400, '{"detail": "missing file"}')]
+            (503, "plain body"), (400, '{"detail": "missing file"}'), (400, '{"error": {"message": ""}, "detail": "next"}')]
     df = spark.createDataFrame(rows, "status int, body string")
     got = [(r.e.retryable, r.e.message) for r in df.select(classify_stt_error("status", "body").alias("e")).collect()]
-    assert got == [(False, "bad key"), (False, "bad audio"), (True, '{"message": "oops"}'), (True, "plain body"), (False, "missing file")]
+    assert got == [(False, "bad key"), (False, "bad audio"), (True, '{"message": "oops"}'), (True, "plain body"), (False, "missing file"), (False, "next")]

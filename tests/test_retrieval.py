@@ -38,9 +38,9 @@ def test_lexical_broadcast_and_salted_paths(spark):
     cdf = spark.createDataFrame(cs, "cid long, text string")
     qdf = spark.createDataFrame(qs, "qid long, q string")
     exp = brute_lexical(qs, cs, 5)
-    # block scorer (one block / one question per block) and the relational join (broadcast / salted shuffle)
-    for method, max_rows in (("block", 10_000), ("block", 4), ("join", 10_000), ("join", 1)):
-        h = R.knn_lexical(qdf, "qid", "q", cdf, ["cid"], "text", 5, broadcast_max_rows=max_rows, salts=4, method=method)
+    # block scorer, the join that a larger question side falls to, and the join as asked for
+    for method, max_rows in (("block", 10_000), ("block", 4), ("join", 10_000)):
+        h = R.knn_lexical(qdf, "qid", "q", cdf, ["cid"], "text", 5, max_questions=max_rows, salts=4, method=method)
         got = {}
         for r in h.orderBy("qid", "rank").collect():
             got.setdefault(r.qid, []).append(r.cid)
@@ -70,14 +70,35 @@ def test_dense_exact_and_blocked(spark):
     vs = vectors(300)
     df = spark.createDataFrame(vs, "id long, v array<float>").repartition(5)
     exp = brute_dense(vs, 5)
-    for blocks in (None, 4):
-        h = R.knn_dense(df.withColumnRenamed("id", "q"), "q", "v", df, "id", "v", 5, exclude_self=True, force_blocks=blocks)
+    for bound in (10_000, 100):
+        h = R.knn_dense(df.withColumnRenamed("id", "q"), "q", "v", df, "id", "v", 5, exclude_self=True, max_questions=bound)
         got = {}
         for r in h.orderBy("q", "rank").collect():
             got.setdefault(r.q, []).append(r.id)
         assert got == exp
 
 
+def test_a_task_emits_at_most_k_rows_per_question(spark, monkeypatch):
+    """Ties at the cut are decided in the task: a term common to all chunks doesn't let all pairs out."""
+    import pandas as pd
+
+    best = R.RunningTopK("q", ["c"], 3, pile=50)
+    for start in range(0, 500, 20):
+        best.add(pd.DataFrame({"q": [1, 2] * 10, "c": range(start, start + 20), "score": [0.5] * 20}))
+    rows = best.merge()
+    assert rows[rows.q == 1].c.tolist() == [0, 2, 4] and rows[rows.q == 2].c.tolist() == [1, 3, 5]
+    cdf = spark.createDataFrame([(i, "same words") for i in range(3000)], "cid long, text string").coalesce(1)
+    qdf = spark.createDataFrame([(i, "same") for i in range(20)], "qid long, q string")
+    got = R.knn_lexical(qdf, "qid", "q", cdf, ["cid"], "text", 5).collect()
+    assert len(got) == 100 and {r.cid for r in got} == set(range(5))
+
+
+def test_attach_chunks_keeps_null_keys(spark):
+    chunks = spark.createDataFrame([(None, 0, "a"), (1, 0, "b")], "doc_id long, position int, text string")
+    hits = spark.createDataFrame([(7, 1, None, 0, 0.5), (7, 2, 1, 0, 0.4)], "qid long, rank int, doc_id long, position int, score double")
+    assert sorted(r.text for r in R.attach_chunks(hits, chunks, ["doc_id", "position"], ["text"]).collect()) == ["a", "b"]
+
+
 def test_ivf_recall_against_exact(spark):
     vs = vectors(400, dim=8, seed=4)
     df = spark.createDataFrame(vs, "id long, v array<float>")

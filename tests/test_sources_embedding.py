@@ -62,3 +62,36 @@ def test_passage_reader_ordered_limit(spark, tmpdir_path):
     got = [r.query_id for r in S.read_passages(spark, path, limit=2).collect()]
     assert got == [1, 2]
     assert S.read_passages(spark, [path]).count() == 4
+
+
+def test_speech_language_null_and_absent(spark):
+    from ragloom.sources.readers import parse_stt_response
+
+    df = spark.createDataFrame([(1, '{"text": "a", "language_code": null}'), (2, '{"text": "a"}'), (3, '{"transcript": "", "text": " b ", "language_code": "en-IN"}'), (4, None)], "i int, j string")
+    got = {r.i: r.r for r in df.select("i", parse_stt_response("j").alias("r")).collect()}
+    assert got[1].language is None and got[2].language == "hi-IN" and (got[3].transcript, got[3].language) == ("b", "en-IN")
+
+
+def test_empty_question_file_is_refused(spark, tmpdir_path):
+    import os
+
+    import pytest
+
+    from ragloom.sources.readers import read_question_file
+
+    path = os.path.join(tmpdir_path, "q.txt")
+    with open(path, "w") as f:
+        f.write("\n  \n")
+    for n in (None, 3):
+        with pytest.raises(ValueError):
+            read_question_file(spark, path, n)
+
+
+def test_dataset_paths(spark):
+    import pytest
+
+    from ragloom.sources.readers import dataset_path
+
+    assert dataset_path("/r/", "hi") == "/r/train/hintrain.parquet" and dataset_path("/r", "bn", "validation") == "/r/validation/benval.parquet"
+    with pytest.raises(ValueError):
+        dataset_path("/r", "te")
