@@ -20,7 +20,7 @@ from ragloom.operators import generation as GEN
 from ragloom.operators import latency as L
 from ragloom.operators import retrieval as R
 from ragloom.operators import verification as VER
-from ragloom.operators.common import cached, chunk_id_col
+from ragloom.operators.common import cached, checkpoint, chunk_id_col
 from ragloom.operators import index as IDX
 from ragloom.operators.embedding import hashed_terms
 from ragloom.operators.index import upsert_plan
@@ -592,13 +592,9 @@ def _qa_eval(t: Tables):
     evq = cached(gt.select("query_id", "query_text").distinct())
     idx = cached(C.build_index_chunks(nested, threshold=SEM_THR, max_sentences=SEM_MAX).select(
         "strategy", "doc_id", "position", "text"))  # searched and joined back once per strategy
-    parts = []
-    for s in STRATEGIES:
-        ch = idx.where(F.col("strategy") == s)
-        h = R.knn_lexical(evq, "query_id", "query_text", ch, ["doc_id", "position"], "text", K)
-        h = R.attach_chunks(h, ch, ["doc_id", "position"], ["text"]).withColumn("strategy", F.lit(s))
-        parts.append(h)
-    hits = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    keys = ["strategy", "doc_id", "position"]
+    hits = R.knn_lexical(evq, "query_id", "query_text", idx, keys, "text", K, group="strategy")  # one search for all strategies
+    hits = R.attach_chunks(hits, idx, keys, ["text"])
     return gt, evq, hits
 
 
@@ -662,12 +658,11 @@ UNION ALL SELECT 'semantic', p.item_id, p.doc_id, min(h.rank) FROM eval_pairs p
 
 def _doc_ranks(spark, d) -> DataFrame:
     t = Tables(spark, d)
-    pairs = V.eval_pairs(t)
-    out = []
-    for s, ch in (("fixed", fixed_doc_chunks(t)), ("semantic", semantic_doc_chunks(t))):
-        h = R.knn_lexical(t.benchmark, "item_id", "text", ch, ["doc_id", "position"], "text", K).withColumn("strategy", F.lit(s))
-        out.append(E.doc_rank(h, pairs.withColumn("strategy", F.lit(s)), "item_id", group_cols=["strategy"]))
-    return out[0].unionByName(out[1])
+    pairs = checkpoint(V.eval_pairs(t))  # found once, read for both strategies
+    ch = fixed_doc_chunks(t).drop("n_words").unionByName(semantic_doc_chunks(t).drop("n_sentences"))
+    h = R.knn_lexical(t.benchmark, "item_id", "text", ch, ["strategy", "doc_id", "position"], "text", K, group="strategy")
+    both = pairs.withColumn("strategy", F.explode(F.array(F.lit("fixed"), F.lit("semantic"))))
+    return E.doc_rank(h, both, "item_id", group_cols=["strategy"])
 
 
 @key("doc_rank", O.with_(_DOC_EVAL, "SELECT strategy, item_id, doc_id, first_rank::BIGINT AS first_rank FROM dr"))
