@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-MAX_STATES = 150_000
-MAX_WORDS = 300_000
+MAX_STATES = 250_000
+MAX_WORDS = 250_000
 WORD_CHARS = 48  # longer matches aren't kept for reuse
 NEVER = 1 << 60
 
@@ -140,29 +140,39 @@ class Transducer:
             node = go.get(node << 8 | byte)
             if node is None:
                 continue
-            token = ends[node]
-            if token >= 0 and ended is None:
-                ok = before < 0 or stable.get(before << 32 | token)
-                if ok is None:
-                    ok = self.is_stable(before, token)
-                if ok:
-                    ended = (token, 0, (*held, token))
+            if ended is None:
+                token = ends[node]
+                if token >= 0:
+                    ok = before < 0 or stable.get(before << 32 | token)
+                    if ok is None:
+                        ok = self.is_stable(before, token)
+                    if ok:
+                        ended = (token, 0, (*held, token))
             if inner[node]:
                 moved.append((before, node, held))
         if ended is None:
             raise ValueError("the ranks don't cover every byte")
         moved.append(ended)
         out, fewest = (), moved[0][2]
-        if fewest:
-            common = 0
+        if fewest:  # emit what every hypothesis holds
+            common, longest = 0, ended[2]
             for i, token in enumerate(fewest):
-                if any(m[2][i] != token for m in moved):
-                    break
-                common = i + 1
+                for m in moved:
+                    if m[2][i] != token:
+                        break
+                else:
+                    common = i + 1
+                    continue
+                break
             if common:
-                out = fewest[:common]
+                out = longest[:common]
                 moved = [(m[0], m[1], m[2][common:]) for m in moved]
-        move = self.moves[state << 8 | byte] = (self.number(tuple(moved)), out)
+        key = tuple(moved)
+        to = self.ids.get(key)
+        if to is None:
+            to = self.ids[key] = len(self.sets)
+            self.sets.append(key)
+        move = self.moves[state << 8 | byte] = (to, out)
         return move
 
     def encode(self, match: bytes) -> list[int]:
@@ -263,20 +273,23 @@ def codec(table: dict) -> dict:
         transducer = Transducer(table)
         kept = table["kept"] = {
             "fast": regex.compile(table["fast"]), "exact": regex.compile(table["exact"]), "rare": regex.compile("[԰-\U0010ffff]"),
-            "transducer": transducer, "decoder": Utf8Stream(transducer.token), "words": {}}
+            "transducer": transducer, "decoder": Utf8Stream(transducer.token), "words": {}, "old": {}}
     return kept
 
 
 def encode_text(kept: dict, text: str) -> list[int]:
     split = kept["exact"] if kept["rare"].search(text) else kept["fast"]
-    words, encode, out = kept["words"], kept["transducer"].encode, []
+    words, old, encode, out = kept["words"], kept["old"], kept["transducer"].encode, []
     for w in split.findall(text):
         ids = words.get(w)
         if ids is None:
-            ids = encode(w.encode("utf-8"))
+            ids = old.get(w)
+            if ids is None:
+                ids = encode(w.encode("utf-8"))
             if len(w) <= WORD_CHARS:
-                if len(words) >= MAX_WORDS:
-                    words.clear()
+                if len(words) >= MAX_WORDS:  # the older half of the kept words goes, unless used again
+                    old = kept["old"] = words
+                    words = kept["words"] = {}
                 words[w] = ids
         out += ids
     return out
