@@ -1088,3 +1088,22 @@ def q_pipeline_dense(spark, d):
                      retriever=lambda q: retrieve_dense(q, "question_id", "question", index, hashed_terms(), K))
     return r.select("question_id", "stopped_at", r6("top_score").alias("top_score"), F.md5("answer").alias("answer_md5"),
                     F.array_join("citations", "|").alias("citations"), "is_fully_grounded")
+
+
+# ------------------------------------------------------------------------- files written and read back
+@key("src_eval_csv", "SELECT regexp_replace(text, '\\s+', ' ', 'g') AS query, CAST(item_id AS VARCHAR) AS expected_doc_id FROM benchmark")
+def q_src_eval_csv(spark, d):
+    """Evaluation pairs written as CSV with a header and read by the pair reader."""
+    path = scratch_path(spark, "eval-pairs")
+    b = Tables(spark, d).benchmark
+    (b.select(F.regexp_replace("text", r"\s+", " ").alias("query"), F.col("item_id").cast("string").alias("expected_doc_id"))
+     .write.option("header", True).csv(path))
+    return S.read_eval_pairs(spark, path)
+
+
+@key("sink_latency_csv", O.with_(_REQ, "SELECT CAST(request_group AS VARCHAR) AS query, round_even(total_ms, 2) AS latency_ms FROM req"))
+def q_sink_latency_csv(spark, d):
+    """The per-request report as written, read back."""
+    path = scratch_path(spark, "latency")
+    L.write_request_latencies(_requests(spark, d), path)
+    return spark.read.option("header", True).schema("query string, latency_ms double").csv(path)
