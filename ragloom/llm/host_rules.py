@@ -17,8 +17,8 @@ any rule exceeds ``MAX_HOST_RATE``, if it fails the symbol rule itself, or if it
 host's shrunk rate for that rule exceeds ``SUSPECT_RATE`` (one such failure on a good host is no evidence).
 
 All word work is array functions inside the row; one aggregation per host (combined before the shuffle, so a host
-with a third of the rows costs one row per task) and two one-row tables. Hosts are joined back as an ordinary
-equi-join on a salted host key: each host row is repeated once per salt.
+with a third of the rows costs one row per task) and a table of totals. Host verdicts are joined back by broadcast where
+the counted number of hosts is within a bound, else as an equi-join on a salted host key.
 
 Defined cases: empty and null texts fail the base rules; repeated rows are measured row by row and count as often as
 they occur; an empty table gives an empty result; other columns of the input are ignored or kept untouched.
@@ -38,6 +38,7 @@ MAX_HOST_RATE = 0.5
 SUSPECT_RATE = 0.2
 MAX_STRENGTH = 10_000.0
 SALTS = 64
+MAX_BROADCAST_HOSTS = 50_000
 RULES = ("any", "base", "symbols", "lines", "length")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -101,8 +102,8 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def host_rates(measured: DataFrame, host: Column) -> DataFrame:
     """One row per host: _hq_host, n and for every rule the shrunk failure rate (_hq_rate_any, _hq_rate_base, ...)."""
-    counts = measured.groupBy(host.alias("_hq_host")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"_hq_m.{r}").cast("long")).alias(f"k_{r}") for r in RULES])
+    counts = checkpoint(measured.groupBy(host.alias("_hq_host")).agg(  # read twice below: the texts are measured once
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"_hq_m.{r}").cast("long")).alias(f"k_{r}") for r in RULES]))
     totals = counts.agg(F.sum("n").alias("t_n"), F.count(F.lit(1)).alias("t_hosts"), F.sum(F.col("n") * F.col("n").cast("double")).alias("t_nn"),
                         *[F.sum(f"k_{r}").alias(f"t_k_{r}") for r in RULES],
                         *[F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / F.col("n")).alias(f"t_q_{r}") for r in RULES])
@@ -124,13 +125,21 @@ def verdict() -> Column:
     bad = (F.col("_hq_rate_any") > MAX_HOST_RATE) | F.col("_hq_m.symbols")
     for r in ("lines", "length"):
         bad = bad | (F.col(f"_hq_m.{r}") & (F.col(f"_hq_rate_{r}") > SUSPECT_RATE))
-    return ~F.col("_hq_m.base") & ~F.coalesce(bad, F.lit(False))
+    # one expression, not a conjunction: a filter on it isn't split and pushed below, where the texts would be measured anew
+    return F.coalesce(~F.col("_hq_m.base") & ~F.coalesce(bad, F.lit(False)), F.lit(False))
 
 
 def with_verdict(measured: DataFrame, rates: DataFrame, host_col: str) -> DataFrame:
-    """``measured`` (with ``_hq_m`` and ``_hq_salt``) and the boolean ``_hq_kept``."""
-    salted = rates.drop("n").withColumn("_hq_rate_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = measured.join(salted, F.col(host_col).eqNullSafe(F.col("_hq_host")) & (F.col("_hq_salt") == F.col("_hq_rate_salt")), "left")
+    """``measured`` (with ``_hq_m`` and ``_hq_salt``) and the boolean ``_hq_kept``. Up to ``MAX_BROADCAST_HOSTS`` hosts (their
+    number is counted; a row has a name and a few numbers) are broadcast; beyond that both sides are shuffled, each host
+    row repeated once per salt."""
+    rates = checkpoint(rates.drop("n"))
+    same_host = F.col(host_col).eqNullSafe(F.col("_hq_host"))
+    if rates.count() <= MAX_BROADCAST_HOSTS:
+        joined = measured.join(F.broadcast(rates), same_host, "left")
+    else:
+        salted = rates.withColumn("_hq_rate_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = measured.join(salted, same_host & (F.col("_hq_salt") == F.col("_hq_rate_salt")), "left")
     return joined.select(*measured.columns, verdict().alias("_hq_kept"))
 
 

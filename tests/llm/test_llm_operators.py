@@ -402,6 +402,12 @@ def test_host_verdicts(spark):
     assert not got[900].kept and got[901].kept and got[902].base_failed and got[902].n_words == 0
 
 
+def test_many_hosts_are_joined_by_salted_shuffle(spark, docs, monkeypatch):
+    plain = sorted(host_rules.report(docs).collect())
+    monkeypatch.setattr(host_rules, "MAX_BROADCAST_HOSTS", 0)
+    assert sorted(host_rules.report(docs).collect()) == plain
+
+
 def test_repeated_words_against_plain_counting(spark):
     rng = random.Random(10)
     rows = [(k, " ".join(rng.choice("abc") for _ in range(n))) for k, n in enumerate([0, 1, 2, 3, 4, 5, 8, 20, 60, 3])] + [(50, "a a a"), (51, "a a a a"), (52, "x y z x y z")]
