@@ -20,7 +20,8 @@
 6. *Hot keys*. A key shared by over ``hot`` distinct fingerprints (found by counting on a hash sample, which only
    routes and decides nothing) isn't gathered: its members meet at every word within distance 2, where any two
    are linked by definition and no word gathers over 2,081 members. Exact and linear in the members.
-7. *Components* by alternating large-star and small-star rounds, cut by reliable checkpoints.
+7. *Components* by alternating large-star and small-star rounds, cut by reliable checkpoints. Documents are joined to
+   their class; classes with over a thousandth of all rows (at most a thousand) by broadcast.
 
 Defined cases: null or empty text has no words, fingerprint zero. Null ids are allowed: such rows belong to
 their component, whose id is the smallest id that isn't null (null if none). Repeated rows and equal texts share
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.common import checkpoint
+from ragloom.llm.common import checkpoint, join_classes
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -260,12 +261,12 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fingerprint of the component, signed) and component_id (smallest id in it)."""
     docs = checkpoint(df.select(F.col(id_col).alias("id"), (F.lit(None).cast("long") if row_key is None else row_key).alias("row_key"),
                                 fingerprint_udf(F.col(text_col)).alias("fp")))
-    classes = checkpoint(docs.groupBy("fp").agg(F.min("id").alias("least_id")))
+    classes = checkpoint(docs.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n")))
     roots = components(links(classes, hot, max_bits))
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     mapped = linked.select("fp", "root").join(least, "root")
     table = classes.join(mapped, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("component"),
+        "fp", "n", F.coalesce("root", "fp").alias("component"),
         F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return docs.join(table, "fp").select(F.col("id").alias(id_col), "row_key", hex16(F.col("fp")).alias("fingerprint"), "component", "component_id")
+    return join_classes(docs, checkpoint(table), ["fp"], "n").select(F.col("id").alias(id_col), "row_key", hex16(F.col("fp")).alias("fingerprint"), "component", "component_id")
