@@ -7,8 +7,8 @@ short lines are removed only as part of a longer repeated passage, since they al
 their original offsets in code points.
 
 A digest's smallest rank and count are combined before the shuffle, so a line that a third of all documents share costs
-one row a task; occurrences of digests that occur once aren't touched again; the join of the others by digest is an
-equi-join whose hot keys adaptive execution splits. Runs are cut within a document.
+one row a task. Occurrences are joined to the repeated digests: those with over a thousandth of all repeated lines (at most a
+thousand) by broadcast, the rest by digest. Runs are cut within a document.
 
 Defined cases: null and empty texts have no units; null ids rank last; repeated rows are told apart by their place in
 the stored table of units, so exactly one keeps its lines; an empty table gives an empty result; columns other than id
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragloom.llm.common import checkpoint
+from ragloom.llm.common import checkpoint, join_classes
 
 MIN_WORDS = 10
 
@@ -50,8 +50,8 @@ def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text"))
     units = checkpoint(rows.mapInPandas(lines_of, "row long, id long, row_key long, unit int, start int, stop int, words int, d1 long, d2 long"))
     rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("unit").alias("unit"))
-    first = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2", "first")
-    marked = units.join(first, ["d1", "d2"], "left").withColumn(
+    first = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    marked = join_classes(units, checkpoint(first), ["d1", "d2"], "n", "left").withColumn(
         "repeated", F.col("first").isNotNull() & ~((F.col("first.row") == F.col("row")) & (F.col("first.unit") == F.col("unit"))))
     of_row = Window.partitionBy("row").orderBy("unit")
     runs = marked.withColumn("run", F.sum(F.when(F.col("repeated"), 0).otherwise(1)).over(of_row)).filter("repeated")
