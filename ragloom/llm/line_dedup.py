@@ -6,9 +6,14 @@ other one is repeated. Runs of adjacent repeated units within a document go if t
 short lines are removed only as part of a longer repeated passage, since they also recur by chance. Removed runs keep
 their original offsets in code points.
 
+With ``below_lines`` the units are pieces of lines, so that a passage repeated inside a longer line is found as well. Lines
+of ``MIN_WORDS`` words and more are cut after a sentence end or a word whose checksum divides by ``CUT_EVERY``, but not
+before ``LEAST`` words, and at the latest after ``MOST``. Cuts depend on the words alone, so two copies of a passage are cut
+alike from their first common cut on; up to a unit at either end of a passage can stay. Runs cross line ends.
+
 A digest's smallest rank and count are combined before the shuffle, so a line that a third of all documents share costs
 one row a task. Occurrences are joined to the repeated digests: those with over a thousandth of all repeated lines (at most a
-thousand) by broadcast, the rest by digest. Runs are cut within a document.
+thousand) by broadcast, the rest by digest. Runs are cut within a document. Units are stored as arrays, a row a document.
 
 Defined cases: null and empty texts have no units; null ids rank last; repeated rows are told apart by their place in
 the stored table of units, so exactly one keeps its lines; an empty table gives an empty result; columns other than id
@@ -16,8 +21,11 @@ and text aren't read.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,53 +35,92 @@ from ragloom.llm.common import checkpoint, join_classes
 MIN_WORDS = 10
 
 
-def lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import xxhash
-
-    for b in batches:
-        out = []
-        for row, i, key, text in zip(b["row"], b["id"], b["row_key"], b["text"]):
-            start = unit = 0
-            for line in (text or "").split("\n"):
-                words = line.lower().split()
-                if words:
-                    digest = xxhash.xxh128_digest(" ".join(words).encode("utf-8"))
-                    out.append((row, i, key, unit, start, start + len(line), len(words), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
-                    unit += 1
-                start += len(line) + 1
-        yield pd.DataFrame(out, columns=["row", "id", "row_key", "unit", "start", "stop", "words", "d1", "d2"]).astype({"id": "Int64"})
-
-
-def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+#: of units below the line: fewest and most words, and the mean number of words that a cut is waited for after the fewest
+LEAST, MOST, CUT_EVERY = 4, 16, 4
+WORD = re.compile(r"[^\s。！？।]*[。！？।]+|[^\s。！？।]+")
+ENDS = frozenset(".!?。！？।")
+KEPT_WORDS = 200_000
+
+
+def pieces_of(line: str, cuts: dict[str, bool]) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, lower-case words) of the units of a line, code points within it. ``cuts`` keeps which words end a unit."""
+    found = list(WORD.finditer(line))
+    words = [m.group().lower() for m in found]
+    first = 0
+    for i, w in enumerate(words):
+        n = i + 1 - first
+        if i + 1 < len(words):
+            if n < LEAST or len(words) < MIN_WORDS:
+                continue
+            if n < MOST:
+                cut = cuts.get(w)
+                if cut is None:
+                    if len(cuts) >= KEPT_WORDS:
+                        cuts.clear()
+                    cut = cuts[w] = w[-1] in ENDS or zlib.crc32(w.encode("utf-8", "surrogatepass")) % CUT_EVERY == 0
+                if not cut:
+                    continue
+        yield found[first].start(), found[i].end(), words[first:i + 1]
+        first = i + 1
+
+
+def lines_of(line: str, cuts: dict[str, bool]) -> Iterator[tuple[int, int, list[str]]]:
+    words = line.lower().split()
+    if words:
+        yield 0, len(line), words
+
+
+def units_of(cut_line: Callable) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        cuts: dict[str, bool] = {}
+        for b in batches:
+            out = []
+            for row, i, key, text in zip(b["row"], b["id"], b["row_key"], b["text"]):
+                start, units, digests = 0, [], []
+                for line in (text or "").split("\n"):
+                    for s, e, words in cut_line(line, cuts):
+                        units.append((start + s, start + e, len(words)))
+                        digests.append(xxhash.xxh128_digest(" ".join(words).encode("utf-8")))
+                    start += len(line) + 1
+                if units:
+                    out.append((row, i, key, *np.array(units, dtype=np.int32).T.copy(), *np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2).T.copy()))
+            yield pd.DataFrame(out, columns=["row", "id", "row_key", "start", "stop", "words", "d1", "d2"]).astype({"id": "Int64"})
+    return run
+
+
+def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, below_lines: bool = False) -> DataFrame:
     """One row per removed run: id, row_key (hash of the text), row, start, stop (code points, end exclusive), n_units,
     n_words and kept_in (ids of the documents whose occurrences are kept)."""
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text"))
-    units = checkpoint(rows.mapInPandas(lines_of, "row long, id long, row_key long, unit int, start int, stop int, words int, d1 long, d2 long"))
+    docs = checkpoint(rows.mapInPandas(units_of(pieces_of if below_lines else lines_of),
+                                       "row long, id long, row_key long, start array<int>, stop array<int>, words array<int>, d1 array<long>, d2 array<long>"))
+    units = docs.select("row", "id", F.posexplode(F.arrays_zip("start", "stop", "words", "d1", "d2")).alias("unit", "u")).select("row", "id", "unit", "u.*")
     rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("unit").alias("unit"))
     first = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    marked = join_classes(units, checkpoint(first), ["d1", "d2"], "n", "left").withColumn(
-        "repeated", F.col("first").isNotNull() & ~((F.col("first.row") == F.col("row")) & (F.col("first.unit") == F.col("unit"))))
+    repeated = join_classes(units.drop("id"), checkpoint(first), ["d1", "d2"], "n").filter((F.col("first.row") != F.col("row")) | (F.col("first.unit") != F.col("unit")))
     of_row = Window.partitionBy("row").orderBy("unit")
-    runs = marked.withColumn("run", F.sum(F.when(F.col("repeated"), 0).otherwise(1)).over(of_row)).filter("repeated")
-    return (runs.groupBy("row", "run").agg(
-        F.first("id").alias("id"), F.first("row_key").alias("row_key"), F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"),
-        F.count(F.lit(1)).alias("n_units"), F.sum("words").alias("n_words"), F.array_sort(F.collect_set("first.id")).alias("kept_in"))
-        .filter(F.col("n_words") >= min_words)
-        .select(F.col("id").alias(id_col), "row_key", "row", "start", "stop", "n_units", "n_words", "kept_in"))
+    runs = repeated.withColumn("run", F.col("unit") - F.row_number().over(of_row))  # the same for adjacent units
+    runs = runs.groupBy("row", "run").agg(
+        F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.count(F.lit(1)).alias("n_units"),
+        F.sum("words").alias("n_words"), F.array_sort(F.collect_set("first.id")).alias("kept_in")).filter(F.col("n_words") >= min_words)
+    return (runs.join(docs.select("row", "id", "row_key"), "row")
+            .select(F.col("id").alias(id_col), "row_key", "row", "start", "stop", "n_units", "n_words", "kept_in"))
 
 
 def without(text: str, runs: list[tuple[int, int]]) -> str:
-    """The text without the runs and, for each, the line break that follows it."""
+    """The text without the runs and, for each, the white space character that follows it."""
     out, at = [], 0
     for s, e in sorted(runs):
         out.append(text[at:s])
-        at = e + 1
+        at = e + text[e:e + 1].isspace()
     return "".join(out) + text[at:]
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, below_lines: bool = False) -> DataFrame:
     """``df`` with repeated runs cut from ``text_col``. Equal rows are paired with their runs in order."""
-    runs = removed_runs(df, id_col, text_col, min_words)
+    runs = removed_runs(df, id_col, text_col, min_words, below_lines)
     per_row = runs.groupBy("row").agg(F.first(id_col).alias("_ld_id"), F.first("row_key").alias("_ld_key"), F.collect_list(F.struct("start", "stop")).alias("_ld_runs"))
     # of equal rows the later ones lose more, so the n-th by removed length belongs to the n-th of the equal rows
     per_row = checkpoint(per_row.withColumn("_ld_nth", F.row_number().over(Window.partitionBy("_ld_id", "_ld_key").orderBy(F.size("_ld_runs").desc(), "row"))).drop("row"))

@@ -22,7 +22,14 @@ def op7_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = line_dedup.removed_runs(read_table(spark, sf_dir, "documents"))
+    return spelled_runs(line_dedup.removed_runs(read_table(spark, sf_dir, "documents")))
+
+
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelled_runs(line_dedup.removed_runs(read_table(spark, sf_dir, "documents"), below_lines=True))
+
+
+def spelled_runs(runs: DataFrame) -> DataFrame:
     return runs.select("doc_id", "start", "stop", "n_units", "n_words", F.array_join(F.col("kept_in").cast("array<string>"), ",").alias("kept_in"))
 
 
@@ -59,5 +66,5 @@ def bpe_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op6_html_main_text": op6_html_main_text, "op3_toxicity_ftrl": op3_toxicity_ftrl, "op5_quality_embeddings": op5_quality_embeddings, "op7_prefix_fingerprints": op7_prefix_fingerprints, "op9_line_dedup": op9_line_dedup, "op1_mix_sources": op1_mix_sources, "op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
+QUERIES = {"op6_html_main_text": op6_html_main_text, "op3_toxicity_ftrl": op3_toxicity_ftrl, "op5_quality_embeddings": op5_quality_embeddings, "op7_prefix_fingerprints": op7_prefix_fingerprints, "op9_line_dedup": op9_line_dedup, "op9_passage_dedup": op9_passage_dedup, "op1_mix_sources": op1_mix_sources, "op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
 ORACLE = {"op9_line_dedup": line_dedup.SQL, "op8_host_quality_rules": host_rules.SQL}

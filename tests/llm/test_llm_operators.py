@@ -441,6 +441,51 @@ def test_repeated_rows_keep_one(spark):
     assert left == ["", "", rows[0][1]]
 
 
+def plain_runs(rows, least):
+    """Repeated units below the line by plain Python: {(id, start): stop}; rows have distinct ids."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        runs, at, last = [], 0, False
+        for line in text.split("\n"):
+            words = [(m.group().lower(), at + m.start(), at + m.end()) for m in re.finditer(r"\S+", line)]
+            while words:
+                n = next((k for k in range(1, len(words)) if line_cut([w for w, _, _ in words[:k]], len(line.split()))), len(words))
+                unit = " ".join(w for w, _, _ in words[:n])
+                if unit in seen:
+                    if last:
+                        runs[-1][1:] = [words[n - 1][2], runs[-1][2] + n]
+                    else:
+                        runs.append([words[0][1], words[n - 1][2], n])
+                last = unit in seen
+                seen.add(unit)
+                words = words[n:]
+            at += len(line) + 1
+        out |= {(i, s): e for s, e, n in runs if n >= least}
+    return out
+
+
+def line_cut(words, of_line):
+    k = len(words)
+    return of_line >= 10 and (k == 16 or k >= 4 and (words[-1][-1] in ".!?" or zlib.crc32(words[-1].encode()) % 4 == 0))
+
+
+def test_passages_inside_longer_lines(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) + rng.choice(["", "", "", ".", ","])
+    some = lambda n: " ".join(word() for _ in range(n))
+    passage = some(60)
+    rows = [(i, f"{some(rng.randint(5, 30))} {passage} {some(rng.randint(5, 30))}\n{some(12)}") for i in range(8)]
+    rows += [(20, "tior, " * 300), (21, "x " + "tior, " * 200), (22, some(40).replace(" ", "\n")), (23, "short line"), (24, "short line")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not any(r.doc_id < 8 for r in line_dedup.removed_runs(table).collect())
+    got = line_dedup.removed_runs(table, below_lines=True).collect()
+    assert {(r.doc_id, r.start): r.stop for r in got} == plain_runs(rows, 10)
+    at = {r.doc_id: r for r in got if r.doc_id < 8}
+    assert sorted(at) == list(range(1, 8)) and all(r.kept_in == [0] and r.n_words >= 28 and rows[i][1][r.start:r.stop] in passage for i, r in at.items())
+    left = {r.doc_id: r.text for r in line_dedup.deduplicated(table, below_lines=True).collect()}
+    assert left[0] == rows[0][1] and all(left[i] == rows[i][1][:at[i].start] + rows[i][1][at[i].stop + 1:] for i in at)
+
+
 # ------------------------------------------------------------------ 10 personal data
 def plain_spans(t):
     out = []
