@@ -9,7 +9,8 @@ their original offsets in code points.
 With ``below_lines`` the units are pieces of lines, so that a passage repeated inside a longer line is found as well. Lines
 of ``MIN_WORDS`` words and more are cut after a sentence end or a word whose checksum divides by ``CUT_EVERY``, but not
 before ``LEAST`` words, and at the latest after ``MOST``. Cuts depend on the words alone, so two copies of a passage are cut
-alike from their first common cut on; up to a unit at either end of a passage can stay. Runs cross line ends.
+alike from their first common cut on; up to a unit at either end of a passage can stay. Runs cross line ends. With
+``short_lines`` a run goes as well if one of its units is a whole line, however short.
 
 A digest's smallest rank and count are combined before the shuffle, so a line that a third of all documents share costs
 one row a task. Occurrences are joined to the repeated digests: those with over a thousandth of all repeated lines (at most a
@@ -80,23 +81,24 @@ def units_of(cut_line: Callable) -> Callable:
             for row, i, key, text in zip(b["row"], b["id"], b["row_key"], b["text"]):
                 start, units, digests = 0, [], []
                 for line in (text or "").split("\n"):
-                    for s, e, words in cut_line(line, cuts):
-                        units.append((start + s, start + e, len(words)))
+                    found = list(cut_line(line, cuts))
+                    for s, e, words in found:
+                        units.append((start + s, start + e, len(words), len(found) == 1))
                         digests.append(xxhash.xxh128_digest(" ".join(words).encode("utf-8")))
                     start += len(line) + 1
                 if units:
-                    out.append((row, i, key, *np.array(units, dtype=np.int32).T.copy(), *np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2).T.copy()))
-            yield pd.DataFrame(out, columns=["row", "id", "row_key", "start", "stop", "words", "d1", "d2"]).astype({"id": "Int64"})
+                    out.append((row, i, key, *np.array(units, dtype=np.int32).T[:3].copy(), np.array([u[3] for u in units]), *np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2).T.copy()))
+            yield pd.DataFrame(out, columns=["row", "id", "row_key", "start", "stop", "words", "whole", "d1", "d2"]).astype({"id": "Int64"})
     return run
 
 
-def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, below_lines: bool = False) -> DataFrame:
+def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, below_lines: bool = False, short_lines: bool = False) -> DataFrame:
     """One row per removed run: id, row_key (hash of the text), row, start, stop (code points, end exclusive), n_units,
     n_words and kept_in (ids of the documents whose occurrences are kept)."""
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text"))
     docs = checkpoint(rows.mapInPandas(units_of(pieces_of if below_lines else lines_of),
-                                       "row long, id long, row_key long, start array<int>, stop array<int>, words array<int>, d1 array<long>, d2 array<long>"))
-    units = docs.select("row", "id", F.posexplode(F.arrays_zip("start", "stop", "words", "d1", "d2")).alias("unit", "u")).select("row", "id", "unit", "u.*")
+                                       "row long, id long, row_key long, start array<int>, stop array<int>, words array<int>, whole array<boolean>, d1 array<long>, d2 array<long>"))
+    units = docs.select("row", "id", F.posexplode(F.arrays_zip("start", "stop", "words", "whole", "d1", "d2")).alias("unit", "u")).select("row", "id", "unit", "u.*")
     rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("unit").alias("unit"))
     first = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     repeated = join_classes(units.drop("id"), checkpoint(first), ["d1", "d2"], "n").filter((F.col("first.row") != F.col("row")) | (F.col("first.unit") != F.col("unit")))
@@ -104,7 +106,8 @@ def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = repeated.withColumn("run", F.col("unit") - F.row_number().over(of_row))  # the same for adjacent units
     runs = runs.groupBy("row", "run").agg(
         F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.count(F.lit(1)).alias("n_units"),
-        F.sum("words").alias("n_words"), F.array_sort(F.collect_set("first.id")).alias("kept_in")).filter(F.col("n_words") >= min_words)
+        F.sum("words").alias("n_words"), F.array_sort(F.collect_set("first.id")).alias("kept_in"),
+        F.max("whole").alias("whole")).filter((F.col("n_words") >= min_words) | (F.col("whole") & F.lit(short_lines)))
     return (runs.join(docs.select("row", "id", "row_key"), "row")
             .select(F.col("id").alias(id_col), "row_key", "row", "start", "stop", "n_units", "n_words", "kept_in"))
 
@@ -118,9 +121,9 @@ def without(text: str, runs: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, below_lines: bool = False) -> DataFrame:
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, below_lines: bool = False, short_lines: bool = False) -> DataFrame:
     """``df`` with repeated runs cut from ``text_col``. Equal rows are paired with their runs in order."""
-    runs = removed_runs(df, id_col, text_col, min_words, below_lines)
+    runs = removed_runs(df, id_col, text_col, min_words, below_lines, short_lines)
     per_row = runs.groupBy("row").agg(F.first(id_col).alias("_ld_id"), F.first("row_key").alias("_ld_key"), F.collect_list(F.struct("start", "stop")).alias("_ld_runs"))
     # of equal rows the later ones lose more, so the n-th by removed length belongs to the n-th of the equal rows
     per_row = checkpoint(per_row.withColumn("_ld_nth", F.row_number().over(Window.partitionBy("_ld_id", "_ld_key").orderBy(F.size("_ld_runs").desc(), "row"))).drop("row"))

@@ -26,7 +26,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelled_runs(line_dedup.removed_runs(read_table(spark, sf_dir, "documents"), below_lines=True))
+    return spelled_runs(line_dedup.removed_runs(read_table(spark, sf_dir, "documents"), below_lines=True, short_lines=True))
 
 
 def spelled_runs(runs: DataFrame) -> DataFrame:

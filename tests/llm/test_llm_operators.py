@@ -486,6 +486,17 @@ def test_passages_inside_longer_lines(spark):
     assert left[0] == rows[0][1] and all(left[i] == rows[i][1][:at[i].start] + rows[i][1][at[i].stop + 1:] for i in at)
 
 
+def test_short_repeated_lines(spark):
+    rows = [(1, "All rights reserved\nsome own text"), (2, "other text\nall  rights reserved\nand more"), (3, "it says all rights reserved here"), (4, "All rights reserved\nother text")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_dedup.removed_runs(table, below_lines=True).collect() == []
+    for below in (False, True):
+        got = sorted((r.doc_id, r.start, r.stop, r.n_words, r.kept_in) for r in line_dedup.removed_runs(table, below_lines=below, short_lines=True).collect())
+        assert got == [(2, 11, 31, 3, [1]), (4, 0, 30, 5, [1, 2])]
+    left = {r.doc_id: r.text for r in line_dedup.deduplicated(table, below_lines=True, short_lines=True).collect()}
+    assert left == dict(rows) | {2: "other text\nand more", 4: ""}
+
+
 # ------------------------------------------------------------------ 10 personal data
 def plain_spans(t):
     out = []
