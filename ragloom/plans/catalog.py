@@ -478,6 +478,25 @@ def q_ivf_recall(spark, d):
     return j.agg(lng(F.count(F.lit(1))).alias("n_exact"), lng(F.count("hit")).alias("n_found"), r6(F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
+#: cells fitted on a bounded sample, with at least LEAST_RECALL of the exact neighbours on the driver data; no SQL form
+FITTED_CELLS, FITTED_PROBE, FITTED_SAMPLE, LEAST_RECALL = 32, 20, 4096, 0.9
+
+
+@key("knn_ivf_fitted")
+def q_knn_ivf_fitted(spark, d):
+    e = Tables(spark, d).embeddings.select("vec_id", "embedding")
+    h = R.knn_ivf(e.withColumnRenamed("vec_id", "q_id"), "q_id", "embedding", e, "vec_id", "embedding", K, n_cells=FITTED_CELLS,
+                  nprobe=FITTED_PROBE, exclude_self=True, fit_sample=FITTED_SAMPLE)
+    return h.select("q_id", lng("rank").alias("rank"), "vec_id", r6("score").alias("score"))
+
+
+@key("ivf_fitted_recall")
+def q_ivf_fitted_recall(spark, d):
+    found = q_knn_ivf_fitted(spark, d).select("q_id", "vec_id", F.lit(1).alias("hit"))
+    j = q_knn_dense(spark, d).select("q_id", "vec_id").join(found, ["q_id", "vec_id"], "left")
+    return j.agg(lng(F.count(F.lit(1))).alias("n_exact"), lng(F.count("hit")).alias("n_found"), r6(F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
 # ----------------------------------------------------------------------------------------- lexical
 _KNN_LEX = [("fx", SQL_FIXED)] + sql_bench_hits()
 

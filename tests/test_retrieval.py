@@ -5,8 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from ragloom.operators import retrieval as R
+from ragloom.plans import catalog
 
 
 def brute_lexical(qs, cs, k):
@@ -111,6 +113,20 @@ def test_ivf_recall_against_exact(spark):
     assert recall >= 0.8
 
 
+@pytest.mark.parametrize("d", ["sf0.001", "sf0.01", "sf0.1"])
+def test_fitted_ivf_recall_as_registered(spark, d):
+    r = catalog.QUERIES["ivf_fitted_recall"](spark, f"/root/testdata/{d}").first()
+    print(d, r)
+    assert r.recall >= catalog.LEAST_RECALL
+
+
+def test_fitted_ivf_on_few_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None)], "id long, v array<double>")
+    for table in (df, df.limit(0)):
+        got = R.knn_ivf(df.withColumnRenamed("id", "q"), "q", "v", table, "id", "v", 2, n_cells=8, nprobe=8, exclude_self=True, fit_sample=100).collect()
+        assert len(got) == (6 if table is df else 0)
+
+
 def test_empty_and_degenerate_inputs(spark):
     cdf = spark.createDataFrame([(1, "alpha beta"), (2, ""), (3, None)], "cid long, text string")
     empty_q = spark.createDataFrame([], "qid long, q string")
