@@ -2,7 +2,9 @@
 
 1. *Blocks* (per page, whole html). One pass over tags and text keeps the stack of open elements (paragraphs, list items
    and table cells close their like; a stray end tag is ignored). Text between block-level tags is a leaf block; inline
-   tags don't cut it, ``<br>`` is a space in it. Scripts, styles, titles and other text that isn't shown are skipped.
+   tags don't cut it, ``<br>`` is a space in it. Scripts, styles, titles and other text that isn't shown are skipped, to
+   the end of the page only where a raw-text element is unclosed: an svg or select ends at a block at the latest, and an
+   unclosed template or noscript and a self-closed svg hide nothing.
    Character references are decoded, runs of white space become one space, empty blocks are left out.
 2. *Features* of a block: the tags and the class and id words of all its ancestors, its parent tag, number of words, share
    of linked text, sentence end, and words that mark page furniture.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|noscript|template|iframe|svg|select)\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|title|textarea|iframe)(?=[\s/>])(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-z][a-z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-z][a-z0-9:-]*)[^>]*>", re.S | re.I)
@@ -44,6 +46,10 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 SCOPES = frozenset("ul ol dl table article section div body main aside nav header footer form blockquote".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 FURNITURE = re.compile(r"cookie|copyright|©|subscribe|newsletter|sign in|log in|sponsored|advert|all rights|privacy|share this|read more|reply", re.I)
+#: elements that aren't shown but may lack an end tag, and what ends the skipping: the end tag, for some a block before it
+HIDDEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("noscript", "template", "svg", "select")}
+BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(ENDS_P - {'hr'} | {'body', 'li', 'td', 'th', 'tr'}))})(?=[\s/>])", re.I)
+UNENDED = {"svg": BLOCK, "select": BLOCK, "noscript": re.compile(r"<noscript(?=[\s/>])", re.I)}
 LABELS = 2
 
 
@@ -77,7 +83,16 @@ def blocks_of(page: str) -> list[Block]:
         parts.append(s)
         linked += links * len(s.strip())
 
-    for m in TOKEN.finditer(page):
+    ahead: dict[re.Pattern, int] = {}
+
+    def next_of(pattern: re.Pattern) -> int:
+        """Where the pattern is found next, or the end of the page; looked up again only once that is passed."""
+        if ahead.get(pattern, -1) < at:
+            found = pattern.search(page, at)
+            ahead[pattern] = found.start() if found else len(page)
+        return ahead[pattern]
+
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             text(page[at:m.start()])
         at = m.end()
@@ -90,7 +105,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name not in INLINE:
             flush()
-        if closing:
+        if name in HIDDEN and not closing and page[m.start() + 1 + len(name)] in " \t\n\r\f/>":
+            if name != "svg" or not m[0].endswith("/>"):
+                end, other = next_of(HIDDEN[name]), next_of(UNENDED[name]) if name in UNENDED else len(page)
+                if end < other:
+                    at = page.index(">", end) + 1
+                elif other < len(page) and name != "noscript":
+                    at = other
+        elif closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     links -= any(e[0] == "a" for e in stack[k:]) if links else 0

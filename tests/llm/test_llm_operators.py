@@ -339,6 +339,23 @@ def test_blocks():
     html_crf.blocks_of('<p a="' * 20_000)
 
 
+@pytest.mark.parametrize("head", [
+    "<svg-icon name=x></svg-icon>", "<select-menu>", "<title-bar></title-bar>", "<style-guide/>", "<svg class='i' width=1/>", "<svg/>", "<svg><path d=m>", "<select><option>hidden",
+    "<header><svg><path></header>", "<template>", "<noscript>", "<svg><text>hidden</text></svg>", "<select><option>hidden<hr><option>hidden</select>", "<noscript><p>hidden</p></noscript>",
+    "<template><p>hidden</p></template>", "<script>hidden</script>", "<style>hidden</style>", "<title>hidden</title>", "<textarea>hidden</textarea>", "<iframe>hidden</iframe>"])
+def test_skipped_elements_end(head):
+    for tail, more in (("", []), ("<svg><g>hidden</g></svg><select><option>hidden</select><noscript><i>hidden</i></noscript><p>more", ["more"])):
+        if head != "<template>" or not more:
+            assert [b.text for b in html_crf.blocks_of(f"{head}<p>The article.</p>{tail}")] == ["The article.", *more]
+
+
+def test_raw_text_runs_to_the_end_and_skipping_is_linear():
+    for name in ("script", "style", "title", "textarea", "iframe"):
+        assert [b.text for b in html_crf.blocks_of(f"<p>shown</p><{name}>hidden<p>hidden")] == ["shown"]
+    for tag in ("<svg>", "<select>", "<template>", "<noscript>", "<svg><p>"):
+        html_crf.blocks_of(tag * 20_000)
+
+
 def test_pages_query_on_defined_cases(spark):
     table = spark.createDataFrame([(1, "u", None, "t"), (2, None, "", "t"), (None, "u", "<article><p>Some words here.</p></article>", "t"), (None, "u", "<article><p>Some words here.</p></article>", "t")],
                                   "page_id long, url string, html string, text string")
