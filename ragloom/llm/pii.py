@@ -5,11 +5,14 @@ and non-overlapping within a kind, failing matches dropped without a retry. Matc
 
 *Bootstrapping*. The base entities are seeds. Their contexts give lexical patterns: the two words before (``l``), the
 word before with the word after (``b``), and a word before that ends in ``:`` or ``=`` (``c``). Every other token with
-an ``@`` or five digits is a mention; patterns and mentions, by normalised spelling, form a bipartite graph. A round
+an ``@`` or five digits, or of a shape that an identifier can have, is a mention; adjacent groups of digits with one space
+between are one mention if the whole has such a shape. Patterns and mentions, by normalised spelling, form a bipartite
+graph. A round
 
 1. scores each pattern and kind: the summed scores of its instances over their number plus one, where every mention
-   in that context counts, also those that look like no kind; it must be backed by ``MIN_SEEDS`` distinct seeds of the
-   first round, so copies of one text don't count twice;
+   in that context counts, also those that look like no kind; it must be backed by ``MIN_SEEDS`` distinct instances
+   (seeds, and from the second round on accepted mentions, which so induce new patterns), so copies of one text don't
+   count twice;
 2. scores each mention by its patterns of confidence ``CONFIDENT`` and more, for kinds its shape allows:
    1 - prod(1 - score); ``CONFIDENT`` makes it an instance of the next round.
 
@@ -48,6 +51,10 @@ NOT_DIGIT = re.compile(r"[^0-9]")
 TOKEN = re.compile(r"\S+")
 TRIM = ".,;!?\"'()[]{}<>«»“”"
 MENTION_DIGITS = 5
+#: what any identifier has
+MARK = re.compile(r"[@0-9:]|[\[(](?:at|AT)[\])]")
+#: groups of digits with one space between
+SPACED = re.compile(r"(?<!\S)[+(]?[0-9]{1,6}\)?(?:[-.][0-9]{1,6})*(?: \(?[0-9]{1,6}\)?(?:[-.][0-9]{1,6})*)+(?=[.,;:!?]*(?:\s|\Z))")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -116,10 +123,12 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     """(seed kind or -1, start, end, spelling, allowed kinds, patterns) of the seeds and of every other mention."""
     out = [(k, s, e, text[s:e].lower(), [k], contexts(text, s, e)) for k, s, e in spans]
     taken = sorted((s, e) for _, s, e in spans)
+    out += [(-1, i, j, text[i:j].lower(), shapes(text[i:j].replace(" ", "")), contexts(text, i, j)) for i, j in spaced(text, taken)]
+    taken = sorted((s, e) for _, s, e, *_ in out)
     at = 0
     for m in TOKEN.finditer(text):
         token = m.group()
-        if "@" not in token and sum(map(str.isdigit, token)) < MENTION_DIGITS:
+        if not MARK.search(token):
             continue
         s = m.start() + len(token) - len(token.lstrip(TRIM))
         e = m.end() - (len(token) - len(token.rstrip(TRIM + ":")))
@@ -127,7 +136,20 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
             at += 1
         if s >= e or (at < len(taken) and taken[at][0] < e):
             continue
-        out.append((-1, s, e, text[s:e].lower(), shapes(text[s:e]), contexts(text, s, e)))
+        kinds = shapes(text[s:e])
+        if kinds or "@" in token or sum(map(str.isdigit, token)) >= MENTION_DIGITS:
+            out.append((-1, s, e, text[s:e].lower(), kinds, contexts(text, s, e)))
+    return out
+
+
+def spaced(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Numbers written in groups that have a shape as a whole and don't meet a span of ``taken``."""
+    out, at = [], 0
+    for m in SPACED.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if (at == len(taken) or taken[at][0] >= m.end()) and shapes(m.group().replace(" ", "")):
+            out.append(m.span())
     return out
 
 
@@ -136,14 +158,14 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, found = [], []
         for text in b["text"]:
             text = text or ""
-            spans = base_spans(text) if "@" in text or HAS_DIGIT.search(text) else []
+            marked = MARK.search(text)
+            spans = base_spans(text) if marked else []
             base.append([{"kind": k, "start": s, "stop": e} for k, s, e in spans])
             found.append([{"seed": k, "start": s, "stop": e, "spelling": w, "kinds": kinds, "patterns": p}
-                          for k, s, e, w, kinds, p in (mentions(text, spans) if spans or "@" in text or HAS_DIGIT.search(text) else [])])
+                          for k, s, e, w, kinds, p in (mentions(text, spans) if marked else [])])
         yield pd.DataFrame({"id": b["id"], "row_key": b["row_key"], "base": base, "mentions": found})
 
 
-HAS_DIGIT = re.compile("[0-9]")
 SPAN = "struct<kind int, start int, stop int>"
 MENTION = "struct<seed int, start int, stop int, spelling string, kinds array<int>, patterns array<string>>"
 
@@ -154,13 +176,12 @@ def accepted(mentions: DataFrame) -> DataFrame:
     edges = checkpoint(mentions.select("seed", "spelling", "kinds", F.explode("patterns").alias("pattern"))
                        .groupBy("pattern", "spelling").agg(F.max("seed").alias("seed"), F.max("kinds").alias("kinds")))
     scores = edges.filter("seed >= 0").select("spelling", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    seeds = edges.filter("seed >= 0").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("n_seeds")).filter(F.col("n_seeds") >= MIN_SEEDS)
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    seeds = checkpoint(seeds.join(sizes, "pattern"))
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SEEDS)
+    edges = checkpoint(edges.join(sizes, "pattern"))
     found = None
     for _ in range(ROUNDS):
-        held = edges.join(seeds.select("pattern").distinct(), "pattern", "left_semi").join(scores, "spelling")
-        patterns = (held.groupBy("pattern", "kind").agg(F.sum("score").alias("s")).join(seeds, ["pattern", "kind"])
+        held = edges.join(scores, "spelling").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("held"), F.first("n").alias("n"))
+        patterns = (held.filter(F.col("held") >= MIN_SEEDS)
                     .select("pattern", "kind", (F.col("s") / (F.col("n") + 1)).alias("confidence")).filter(F.col("confidence") >= CONFIDENT))
         reached = (edges.filter("seed < 0 and size(kinds) > 0").join(patterns, "pattern").filter(F.array_contains("kinds", F.col("kind")))
                    .groupBy("spelling", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score")))

@@ -546,6 +546,28 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert texts[50] == "so you can write me at [EMAIL] tonight" and texts[150] == "our phone: [PHONE] thanks" and texts[151] == rows[-2][1]
 
 
+def test_every_shape_is_found_in_a_confirmed_context(spark):
+    seeds = [f"u{i}@mail.example.org" for i in range(20)], [f"10.0.0.{i}" for i in range(20)], [f"+1 415 555 01{i:02d}" for i in range(20)]
+    rows = [(100 * k + i, f"so please {w} {x} right now") for k, w in enumerate(("write", "ping", "call")) for i, x in enumerate(seeds[k])]
+    cards = [n for n in (f"41111111111{i:05d}" for i in range(400)) if pii.luhn(n)][:20]
+    rows += [(300 + i, f"so please charge {x} right now") for i, x in enumerate(cards)]
+    planted = {"bob[at]example.org": ("write", "email"), "bob(at)example.org": ("write", "email"), "bob@localhost": ("write", "email"), "fe80::1": ("ping", "ip"), "10:0:0:1": ("ping", "ip"),
+               "555 018 8123": ("call", "phone"), "(555) 018-8123": ("call", "phone"), "555-0188123": ("call", "phone"), "4111 1111 1111 1112": ("charge", "card"), "4111-1111-1111-1112": ("charge", "card")}
+    rows += [(1000 + i, f"so please {w} {x} right now") for i, (x, (w, _)) in enumerate(planted.items())]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (x, (w, kind)) in enumerate(planted.items()):
+        at = len(f"so please {w} ")
+        assert f"{kind}:{at}:{at + len(x)}" in got[1000 + i].split(","), x
+
+
+def test_discovered_identifiers_induce_new_patterns(spark):
+    rows = [(i, f"please write me at u{i}@mail.example.org today") for i in range(30)]
+    rows += [(100 + i, f"please write me at bob{i}@intern today") for i in range(8)] + [(200 + i, f"my nick is bob{i}@intern okay") for i in range(8)]
+    rows += [(300, "my nick is eve@intern okay"), (301, "some other eve2@intern thing")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "email:19:30" and got[200] == "email:11:22" and got[300] == "email:11:21" and not got[301]
+
+
 # ------------------------------------------------------------------ the pipeline
 def test_pipeline_stage_by_stage(spark, docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
