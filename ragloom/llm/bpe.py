@@ -248,10 +248,8 @@ class Utf8Stream:
 def letter_classes(pattern: str) -> tuple[str, str]:
     """(fast, exact): the pattern as the installed ``regex`` library reads it, and with its classes spelled out as the
     reference tokenizer library defines them (Unicode versions differ). Both agree on texts below U+0530."""
-    try:
-        import tiktoken
-    except ImportError:
-        return pattern, pattern
+    import tiktoken
+
     everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     single = {bytes([i]): i for i in range(256)}
     for name in (r"\p{L}", r"\p{N}"):

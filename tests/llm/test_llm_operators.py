@@ -3,6 +3,7 @@ and very long texts, ties and repeated rows, empty tables, extra columns with cl
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -163,6 +164,12 @@ def test_bpe_equals_the_library_and_round_trips():
         assert kept["decoder"].decode(ids) == t
 
 
+def test_bpe_needs_the_reference_classes(monkeypatch):
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    with pytest.raises(ImportError):
+        bpe.letter_classes(r"\p{L}+")
+
+
 def test_bpe_restarts_its_tables_without_changing_results(monkeypatch):
     path, pattern, library = tokenizer()
     table = {**bpe.tables(bpe.read_ranks(path)), "fast": pattern, "exact": pattern}
