@@ -1,10 +1,13 @@
 """Small helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.operators.common import checkpoint  # noqa: F401 - general helper, re-exported
+from ragloom.session import checkpoint_base
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,6 +15,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under the shared checkpoint folder and read back: columns can be read one by one, and a
+    lost executor costs no recomputation. The folder goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_base(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 HOT_SHARE = 1000
 
 

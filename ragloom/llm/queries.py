@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import bpe, fingerprints, host_rules, html_crf, line_dedup, mixing, pii, quality_embed, simhash, toxicity
+from ragloom.llm import bpe, fingerprints, host_rules, html_crf, line_dedup, mixing, pii, quality_embed, simhash, token_align, toxicity
 from ragloom.llm.common import read_table
 
 
@@ -66,5 +66,11 @@ def bpe_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op6_html_main_text": op6_html_main_text, "op3_toxicity_ftrl": op3_toxicity_ftrl, "op5_quality_embeddings": op5_quality_embeddings, "op7_prefix_fingerprints": op7_prefix_fingerprints, "op9_line_dedup": op9_line_dedup, "op9_passage_dedup": op9_passage_dedup, "op1_mix_sources": op1_mix_sources, "op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_align.report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op12_token_alignment": op12_token_alignment, "op6_html_main_text": op6_html_main_text, "op3_toxicity_ftrl": op3_toxicity_ftrl, "op5_quality_embeddings": op5_quality_embeddings, "op7_prefix_fingerprints": op7_prefix_fingerprints, "op9_line_dedup": op9_line_dedup, "op9_passage_dedup": op9_passage_dedup, "op1_mix_sources": op1_mix_sources, "op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
 ORACLE = {"op9_line_dedup": line_dedup.SQL, "op8_host_quality_rules": host_rules.SQL}
