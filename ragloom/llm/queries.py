@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import bpe, fingerprints, host_rules, html_crf, line_dedup, mixing, pii, quality_embed, simhash, token_align, toxicity
+from ragloom.llm import angular_negatives, bpe, fingerprints, host_rules, html_crf, line_dedup, mixing, pii, posting_search, quality_embed, simhash, token_align, toxicity
 from ragloom.llm.common import read_table
 
 
@@ -72,5 +72,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op12_token_alignment": op12_token_alignment, "op6_html_main_text": op6_html_main_text, "op3_toxicity_ftrl": op3_toxicity_ftrl, "op5_quality_embeddings": op5_quality_embeddings, "op7_prefix_fingerprints": op7_prefix_fingerprints, "op9_line_dedup": op9_line_dedup, "op9_passage_dedup": op9_passage_dedup, "op1_mix_sources": op1_mix_sources, "op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
-ORACLE = {"op9_line_dedup": line_dedup.SQL, "op8_host_quality_rules": host_rules.SQL}
+def op11_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return angular_negatives.report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_posting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_search.report(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op11_angular_negatives": op11_angular_negatives, "op13_posting_search": op13_posting_search, "op12_token_alignment": op12_token_alignment, "op6_html_main_text": op6_html_main_text, "op3_toxicity_ftrl": op3_toxicity_ftrl, "op5_quality_embeddings": op5_quality_embeddings, "op7_prefix_fingerprints": op7_prefix_fingerprints, "op9_line_dedup": op9_line_dedup, "op9_passage_dedup": op9_passage_dedup, "op1_mix_sources": op1_mix_sources, "op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
+ORACLE = {"op11_angular_negatives": angular_negatives.SQL, "op9_line_dedup": line_dedup.SQL, "op8_host_quality_rules": host_rules.SQL}

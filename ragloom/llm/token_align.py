@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.common import checkpoint, stored
 
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 #: pairs held by more than a HOT-th of the (document, pair) rows are broadcast: fewer than HOT of them can exist
 HOT = 1 << 19
 #: distinct pairs a task counts at a time
