@@ -9,6 +9,8 @@ and finalisation are Column expressions.
 """
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,13 +113,25 @@ def extractive_answers(questions: DataFrame, q_key: str, q_text: str, hits: Data
 
 
 def generate_with(prompts: DataFrame, q_key: str, fn, prompt_col: str = "prompt") -> DataFrame:
-    """Run an injected generator ``fn(pandas.Series[str]) -> pandas.Series[str]`` over the prompt table.
-    A failed call must return "" for that row (the plan treats it as an empty answer)."""
-    def run(it):
-        for pdf in it:
-            out = pdf[[q_key]].copy()
-            out["answer"] = list(fn(pdf[prompt_col]))
-            yield out
+    """Run an injected generator ``fn(pandas.Series[str]) -> pandas.Series[str]`` over the prompt table: (q_key, answer). A call that
+    fails is made again for each of its prompts alone; a prompt whose own call fails has an empty answer, as if the generator had
+    given none, and the others keep theirs. A null answer is empty as well."""
+    def one(prompt: str) -> str:
+        try:
+            return list(fn(pd.Series([prompt])))[0] or ""
+        except Exception:  # noqa: BLE001 - whatever the injected function raises is this row's result, not the job's
+            return ""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(prompt_col).to_pylist()
+            try:
+                answers = [a or "" for a in fn(pd.Series(texts))] if texts else []
+            except Exception:  # noqa: BLE001 - as above
+                answers = [one(t) for t in texts]
+            if len(answers) != len(texts):
+                raise ValueError(f"the generator gave {len(answers)} answers to {len(texts)} prompts")
+            yield pa.RecordBatch.from_arrays([b.column(q_key), pa.array(answers, pa.string())], [q_key, "answer"])
 
     schema = prompts.select(q_key).schema.add("answer", "string")
-    return prompts.select(q_key, prompt_col).mapInPandas(run, schema)
+    return prompts.select(q_key, prompt_col).mapInArrow(run, schema)

@@ -1,47 +1,41 @@
 """Latency analytics over stage-timing rows: totals, exact percentiles (linear and nearest-rank), cold
 request exclusion, short-circuit breakdown, per-stage share and the benchmark summary.
 
-Exact percentiles without gathering a group in one task: rows are first counted per (group, value), combined before the
-shuffle, so a repeated value is one row; the distinct values are range-partitioned on (group, value) and stored with
-their partition number (a reliable checkpoint: recomputed blocks can't shift between partitions). A value's first rank
-is the count of earlier values in its partition plus the counts of the group in earlier partitions (a small table). The
-few ranks a percentile needs are then joined by group.
+Exact percentiles come from the values at the ranks they need (see ``sketches.values_at_ranks``): passes with quantile sketches that
+bracket the ranks, no sort. ``group_ranks`` gives every row its rank where all are wanted: rows are range-partitioned on (group,
+value) and stored with their partition number (a reliable checkpoint: recomputed blocks can't shift between partitions); a row's rank is
+its place in its partition plus the counts of the group in earlier partitions (a small table).
 """
 from __future__ import annotations
 
-import time
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ragloom.operators.common import checkpoint
+from ragloom.operators.sketches import values_at_ranks
 
 STAGES = ("transcribe", "classify_query", "retrieve", "check_grounding", "generate", "verify")
 
 
-def _ranged(s: DataFrame, group_cols: list[str], order: list[str], weight: str | None):
-    """``s`` range-partitioned by (group, order), stored, with ``_rank`` (rows or weight before it in its group) and ``_n``."""
+def group_ranks(df: DataFrame, group_cols: list[str], value_col: str, carry=()) -> DataFrame:
+    """(group..., _v, carry..., _rank, _n): 0-based rank of each row's value in its group and the group size; ``carry``
+    columns travel with their row and break ties."""
+    order = ["_v", *carry]
+    s = df.select(*group_cols, F.col(value_col).alias("_v"), *carry).where(F.col("_v").isNotNull())
     s = checkpoint(s.repartitionByRange(*group_cols, *order).withColumn("_pid", F.spark_partition_id()))
-    one = F.col(weight) if weight else F.lit(1)
-    pc = s.groupBy("_pid", *group_cols).agg(F.sum(one).alias("_c"))
+    pc = s.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_c"))
     before = W.partitionBy(*group_cols).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)  # <= a row per partition and group
     pc = pc.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("_n", F.sum("_c").over(W.partitionBy(*group_cols)))
-    inner = W.partitionBy("_pid", *group_cols).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    r = s.withColumn("_loc", F.coalesce(F.sum(one).over(inner), F.lit(0)))
+    inner = W.partitionBy("_pid", *group_cols).orderBy(*order)
+    r = s.withColumn("_loc", F.row_number().over(inner) - 1)
     j = r.join(pc.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], F.col("_pid").alias("_p"), "_off", "_n"),
                reduce(lambda x, y: x & y, [F.col("_pid") == F.col("_p")] + [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group_cols]))
     return j.withColumn("_rank", F.col("_off") + F.col("_loc")).drop("_pid", "_p", "_loc", "_off", *[f"_g_{c}" for c in group_cols])
 
 
-def group_ranks(df: DataFrame, group_cols: list[str], value_col: str, carry=()) -> DataFrame:
-    """(group..., _v, carry..., _rank, _n): 0-based rank of each row's value in its group and the group size; ``carry``
-    columns travel with their row and break ties."""
-    s = df.select(*group_cols, F.col(value_col).alias("_v"), *carry).where(F.col("_v").isNotNull())
-    return _ranged(s, group_cols, ["_v", *carry], None)
-
-
 def percentiles(df: DataFrame, group_cols: list[str], value_col: str, ps=(0.5, 0.7, 1.0),
                 method: str = "linear", names=None, with_n: bool = False) -> DataFrame:
     """One row per group with a column per percentile.
@@ -50,25 +44,21 @@ def percentiles(df: DataFrame, group_cols: list[str], value_col: str, ps=(0.5, 0
     nearest:  sorted[min(n-1, round_half_even(p*(n-1)))].
     """
     names = names or [f"p{int(round(p * 100))}" for p in ps]
-    counts = df.select(*group_cols, F.col(value_col).alias("_v")).where(F.col("_v").isNotNull()).groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    r = _ranged(counts, group_cols, ["_v"], "_w")
-    idx = lambda p: F.lit(float(p)) * (F.col("_n") - 1).cast("double")
-
-    def at(rank: Column) -> Column:  # a value covers the ranks _rank .. _rank + _w - 1
-        return F.max(F.when((F.col("_rank") <= rank) & (rank < F.col("_rank") + F.col("_w")), F.col("_v")))
-
-    aggs = [F.max("_n").alias("n")]
+    share = lambda p, n: F.lit(float(p)) * (n - 1).cast("double")
+    low = lambda p, n: F.floor(share(p, n)).cast("long")
+    near = lambda p, n: F.least(F.bround(share(p, n), 0).cast("long"), n - 1)
+    if method == "linear":
+        found = values_at_ranks(df, group_cols, value_col, lambda n: F.array(*[x for p in ps for x in (low(p, n), F.least(low(p, n) + 1, n - 1))]))
+    else:
+        found = values_at_ranks(df, group_cols, value_col, lambda n: F.array(*[near(p, n) for p in ps]))
+    at = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col("value")))
+    n, aggs = F.col("_n"), [F.max("_n").alias("n")]
     for p, name in zip(ps, names):
-        if method == "linear":
-            low = F.floor(idx(p)).cast("long")
-            aggs += [at(low).alias(f"_a_{name}"), at(F.least(low + 1, F.col("_n") - 1)).alias(f"_b_{name}")]
-        else:
-            aggs.append(at(F.least(F.bround(idx(p), 0).cast("long"), F.col("_n") - 1)).alias(name))
-    g = r.groupBy(*group_cols).agg(*aggs)  # combined before the shuffle: no rank table, no join
+        aggs += [at(low(p, n)).alias(f"_a_{name}"), at(F.least(low(p, n) + 1, n - 1)).alias(f"_b_{name}")] if method == "linear" else [at(near(p, n)).alias(name)]
+    g = found.groupBy(*group_cols).agg(*aggs)  # a row per wanted rank
     if method == "linear":
-        share = lambda p: F.lit(float(p)) * (F.col("n") - 1).cast("double")
         for p, name in zip(ps, names):
-            g = g.withColumn(name, F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * (share(p) - F.floor(share(p)).cast("double")))
+            g = g.withColumn(name, F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * (share(p, F.col("n")) - low(p, F.col("n"))))
     return g.select(*group_cols, *names, *(["n"] if with_n else []))
 
 
@@ -149,28 +139,6 @@ def write_summary_json(record: DataFrame, path: str) -> None:
     record.coalesce(1).write.mode("overwrite").json(path)
 
 
-class StageTimer:
-    """Batch telemetry: runs each stage's action, and records wall time, rows, ok and the error text."""
-
-    def __init__(self) -> None:
-        self.rows: list[tuple[str, float, int | None, bool, str | None]] = []
-
-    def run(self, stage: str, action):
-        """``action()`` returns a DataFrame that is materialised here by a reliable checkpoint."""
-        began = time.perf_counter()
-        try:
-            df = checkpoint(action())
-            n = df.count()
-        except Exception as e:
-            self.rows.append((stage, 1000 * (time.perf_counter() - began), None, False, str(e)))
-            raise
-        self.rows.append((stage, 1000 * (time.perf_counter() - began), n, True, None))
-        return df
-
-    def frame(self, spark) -> DataFrame:
-        return spark.createDataFrame(self.rows, "stage string, ms double, rows long, ok boolean, error string")
-
-
 def completed_calls(log: DataFrame, status_col: str = "status", ok_status: int = 200) -> DataFrame:
     """Drop telemetry rows of failed calls (status other than ``ok_status``) before any percentile."""
     return log.where(F.col(status_col) == ok_status)

@@ -16,14 +16,17 @@ from ragloom.functions import vectors as VEC
 from ragloom.operators import chunking as C
 from ragloom.operators import evaluation as E
 from ragloom.operators import gates as G
+from ragloom.operators import impact as IMP
 from ragloom.operators import generation as GEN
 from ragloom.operators import latency as L
 from ragloom.operators import retrieval as R
+from ragloom.operators import sketches as SK
 from ragloom.operators import verification as VER
 from ragloom.operators.common import cached, checkpoint, chunk_id_col
 from ragloom.operators import index as IDX
 from ragloom.operators.embedding import hashed_terms
 from ragloom.operators.index import upsert_plan
+from ragloom.operators.telemetry import StageLog
 from ragloom.plans import oracle as O
 from ragloom.plans import pipeline as P
 from ragloom.plans.pipeline import answer_batch, answer_speech, result_json, retrieve_dense
@@ -507,6 +510,27 @@ def q_knn_lexical(spark, d):
     return h.select("item_id", lng("rank").alias("rank"), "doc_id", lng("position").alias("position"), r6("score").alias("score"))
 
 
+def _impact_index(spark, t: Tables) -> DataFrame:
+    path = scratch_path(spark, "impact")
+    IMP.write(IMP.build(fixed_doc_chunks(t), ["doc_id", "position"], "text"), path)
+    return IMP.read(spark, path)
+
+
+@key("knn_lexical_bounded", ORACLE["knn_lexical"])
+def q_knn_lexical_bounded(spark, d):
+    """The same hits from the written index, reading only blocks whose bound reaches the question's bar."""
+    t = Tables(spark, d)
+    h = IMP.search(t.benchmark, "item_id", "text", _impact_index(spark, t), ["doc_id", "position"], K)
+    return h.select("item_id", lng("rank").alias("rank"), "doc_id", lng("position").alias("position"), r6("score").alias("score"))
+
+
+@key("lexical_read_share")
+def q_lexical_read_share(spark, d):
+    """What that search reads: blocks and postings of the questions' terms (the blocks depend on the order of the chunks: no SQL)."""
+    t = Tables(spark, d)
+    return IMP.read_share(t.benchmark, "item_id", "text", _impact_index(spark, t), ["doc_id", "position"], K)
+
+
 _SEM_CH = [(n, q) for n, q in _SEM_DOCS] + O.knn_ctes("ks_", "benchmark", "item_id", "text", "s_chunks", ["doc_id", "position"], "text", K)
 
 
@@ -601,6 +625,24 @@ def q_verify_answers(spark, d):
     return v.select("question_id", "n_flags", "is_fully_grounded")
 
 
+def _option_flags(name: str, change: str, **options) -> None:
+    """The flags of a claim option, on answers in which ``change`` (an expression of both engines) makes it matter."""
+    changed = [("changed", f"SELECT question_id, {change} AS text FROM answers")]
+    sql = O.views("answers", "answer_chunks") + changed + O.verify_ctes("v_", "changed", "question_id", "text", "answer_chunks", "hit_rank",
+                                                                        decimals=options.get("decimals", False), grouped=options.get("grouped_tags", False))
+
+    @key(name, O.with_(sql, "SELECT question_id, sent_no::BIGINT AS sent_no, claim, citation_index, chunk_id, reason FROM v_flags"))
+    def run(spark, d):
+        t = Tables(spark, d)
+        hits = V.answer_chunks(t).withColumnRenamed("hit_rank", "rank")
+        f = VER.flagged_claims(V.answers(t).withColumn("text", F.expr(change)), "question_id", "text", hits, **options)
+        return f.select(*_FLAG_COLS).withColumn("sent_no", lng("sent_no"))
+
+
+_option_flags("flagged_decimals", "replace(text, '3.5 kg', '3.5 kg or 1.25.75 kg')", decimals=True)
+_option_flags("flagged_grouped_tags", "replace(replace(text, '[1]', '[1, 2]'), '[9]', '[ 9]')", grouped_tags=True)
+
+
 # --------------------------------------------------------------------------------------- evaluation
 STRATEGIES = ("fixed", "semantic", "structured")
 
@@ -732,6 +774,18 @@ def q_threshold_sweep(spark, d):
     return s.select("grp", r6("threshold").alias("threshold"), "n_pass", r6("pass_rate").alias("pass_rate"))
 
 
+@key("threshold_area", O.with_(_TOP1 + [
+    ("rates", f"""SELECT th, avg(CASE WHEN grp = 'nonsense' THEN CASE WHEN score >= th THEN 1.0 ELSE 0.0 END END) AS x,
+  avg(CASE WHEN grp = 'in_scope' THEN CASE WHEN score >= th THEN 1.0 ELSE 0.0 END END) AS y
+FROM top1 CROSS JOIN (SELECT CAST(v AS DOUBLE) AS th FROM (VALUES {_SWEEP_SQL}) t0(v)) t GROUP BY th"""),
+    ("curve", "SELECT -1.0::DOUBLE AS th, 1.0 AS x, 1.0 AS y UNION ALL SELECT th, x, y FROM rates UNION ALL SELECT 9.0, 0.0, 0.0"),
+    ("steps", "SELECT (lag(x) OVER (ORDER BY th) - x) * (lag(y) OVER (ORDER BY th) + y) / 2 AS a FROM curve")],
+    "SELECT round(sum(a), 6) AS area FROM steps"))
+def q_threshold_area(spark, d):
+    """How well the top score tells questions of the corpus from others: area under the curve of the sweep."""
+    return E.separation(E.threshold_sweep(_top1(spark, d), SWEEP), "in_scope", "nonsense").select(r6("area").alias("area"))
+
+
 # ------------------------------------------------------------------------------------------ latency
 _REQ = O.views("stage_log") + [("req", """SELECT request_group, sum(ms) AS total_ms,
   coalesce(sum(ms) FILTER (WHERE stage = 'view'), 0.0) AS retrieve_ms, count(*) AS n_stages, min(seq) AS first_seq,
@@ -758,6 +812,22 @@ def q_latency_percentiles(spark, d):
     return p.select("stage", r6("p50").alias("p50"), r6("p70").alias("p70"), r6("p100").alias("p100"))
 
 
+@key("latency_sketches", O.with_(O.views("stage_log"), """SELECT stage, count(*)::BIGINT AS n, round(min(ms), 6) AS least, round(max(ms), 6) AS greatest,
+  TRUE AS p50_within, TRUE AS p70_within, TRUE AS p95_within FROM stage_log GROUP BY stage"""))
+def q_latency_sketches(spark, d):
+    """Ten-minute sketches merged to hours and these to all time; each percentile's exact rank is within the stated error."""
+    log = V.stage_log(Tables(spark, d))
+    fine = SK.sketch_windows(log, ["stage"], "ts", "ms", "10 minutes")
+    merged = SK.merge_windows(SK.merge_windows(fine, ["stage"], "hour"), ["stage"])
+    ps = {"p50": 0.5, "p70": 0.7, "p95": 0.95}
+    held = SK.sketch_percentiles(merged, tuple(ps.values()), tuple(ps)).join(merged.select("stage", "least", "greatest"), "stage")
+    ranked = log.join(F.broadcast(held), "stage").groupBy("stage", "n", "least", "greatest").agg(
+        *[(F.sum((F.col("ms") < F.col(c)).cast("long")) / F.col("n")).alias(f"{c}_low") for c in ps],
+        *[(F.sum((F.col("ms") <= F.col(c)).cast("long")) / F.col("n")).alias(f"{c}_high") for c in ps])
+    within = [((F.col(f"{c}_low") - 2 * SK.RANK_ERROR <= p) & (p <= F.col(f"{c}_high") + 2 * SK.RANK_ERROR)).alias(f"{c}_within") for c, p in ps.items()]
+    return ranked.select("stage", lng("n").alias("n"), r6("least").alias("least"), r6("greatest").alias("greatest"), *within)
+
+
 @key("latency_nearest_rank", O.with_(O.views("stage_log"), """SELECT stage,
   round(max(ms) FILTER (WHERE rk = least(n - 1, round_even(0.5::DOUBLE * (n - 1), 0))), 6) AS p50,
   round(max(ms) FILTER (WHERE rk = least(n - 1, round_even(0.7::DOUBLE * (n - 1), 0))), 6) AS p70,
@@ -836,7 +906,7 @@ def _pipeline(spark, d) -> DataFrame:
                         threshold=GROUND_THR, rules=PIPE_RULES)
 
 
-def _pipeline_sql(view: str = "questions", rules=PIPE_RULES, hits=None) -> list[tuple[str, str]]:
+def _pipeline_sql(view: str = "questions", rules=PIPE_RULES, hits=None, generated: str | None = None) -> list[tuple[str, str]]:
     ctes = O.views(view) + [("fx", SQL_FIXED), ("fxi", SQL_FIXED_IDS)]
     ctes += O.classify_ctes("p_", view, "question_id", "question", G.UNSAFE_PATTERNS, rules)
     ctes += [("openq", "SELECT question_id, t FROM p_cls WHERE t <> '' AND verdict = 'in_scope'")]
@@ -845,7 +915,7 @@ def _pipeline_sql(view: str = "questions", rules=PIPE_RULES, hits=None) -> list[
              ("okq", "SELECT o.question_id, o.t FROM openq o JOIN gate g USING (question_id) WHERE g.can_answer"),
              ("okh", """SELECT h.question_id, h.rank, f.text, f.chunk_id FROM pk_hits h JOIN okq USING (question_id)
 JOIN fxi f ON h.doc_id = f.doc_id AND h.position = f.position""")]
-    ctes += O.extractive_ctes("px_", "okq", "question_id", "t", "okh")
+    ctes += [("px_raw", f"SELECT question_id, {O.lit(generated)} AS answer FROM okq")] if generated else O.extractive_ctes("px_", "okq", "question_id", "t", "okh")
     ctes += O.citation_ctes("pc_", "px_raw", "question_id", "answer", "okh")
     ctes += O.verify_ctes("pv_", "pc_cit", "question_id", "final_text", "okh")
     def msg(cause: str, text: str = "t") -> str:
@@ -909,6 +979,45 @@ def q_result_json(spark, d):
                     lng(F.size("flagged_claims")).alias("n_flags"), "stopped_at", F.array_join(F.map_keys("latency_ms.stages"), "|").alias("stages"))
 
 
+@key("result_json_times", O.with_(_pipeline_sql(), """SELECT question_id, stopped_at, CASE stopped_at WHEN 'classify_query' THEN 1 WHEN 'check_grounding' THEN 3 ELSE 5 END::BIGINT AS n_timed,
+  TRUE AS total_is_sum FROM res"""))
+def q_result_json_times(spark, d):
+    """The response JSON with the batch's stage times: every stage that a question reached has one, and they add up to the total."""
+    t, log = Tables(spark, d), StageLog()
+    r = answer_batch(V.questions(t), "question_id", "question", with_ids(fixed_doc_chunks(t)), ["doc_id", "position"], "text", threshold=GROUND_THR, rules=PIPE_RULES, log=log)
+    j = result_json(r, "question_id", log.frame(spark)).select("question_id", F.from_json("json", "stopped_at string, latency_ms struct<total double, stages map<string, double>>").alias("r"))
+    times = F.filter(F.map_values("r.latency_ms.stages"), lambda x: x.isNotNull())
+    return j.select("question_id", "r.stopped_at", lng(F.size(times)).alias("n_timed"),
+                    (F.abs(F.aggregate(times, F.lit(0.0), lambda a, x: a + x) - F.col("r.latency_ms.total")) < 0.01).alias("total_is_sum"))
+
+
+@key("pipeline_stage_log", O.with_(_pipeline_sql(), """SELECT stage, rows_in::BIGINT AS rows_in, rows_out::BIGINT AS rows_out, stopped::BIGINT AS stopped, TRUE AS ok FROM (
+  SELECT 'classify_query' AS stage, (SELECT count(*) FROM p_cls) AS rows_in, (SELECT count(*) FROM openq) AS rows_out, (SELECT count(*) FROM p_cls) - (SELECT count(*) FROM openq) AS stopped
+  UNION ALL SELECT 'retrieve', (SELECT count(*) FROM pk_hits), (SELECT count(*) FROM pk_hits), 0
+  UNION ALL SELECT 'check_grounding', (SELECT count(*) FROM gate), (SELECT count(*) FROM okq), (SELECT count(*) FROM gate WHERE NOT can_answer)
+  UNION ALL SELECT 'generate', (SELECT count(*) FROM okq), (SELECT count(*) FROM px_raw WHERE answer <> ''), 0
+  UNION ALL SELECT 'verify', (SELECT count(*) FROM okq), (SELECT count(*) FROM okq), 0) z"""))
+def q_pipeline_stage_log(spark, d):
+    """Rows in, out and stopped of every stage, observed in the jobs of the batch (retrieve: hits)."""
+    t, log = Tables(spark, d), StageLog()
+    answer_batch(V.questions(t), "question_id", "question", with_ids(fixed_doc_chunks(t)), ["doc_id", "position"], "text", threshold=GROUND_THR, rules=PIPE_RULES, log=log)
+    return log.frame(spark).select("stage", "rows_in", "rows_out", "stopped", "ok")
+
+
+_WRONG_YEAR = "It was so in 1899 [1]. 12 were seen."
+
+
+@key("pipeline_ungrounded", O.with_(_pipeline_sql(generated=_WRONG_YEAR), """SELECT question_id, stopped_at, md5(answer) AS answer_md5, citations, is_fully_grounded,
+  n_flags::BIGINT AS n_flags FROM res"""))
+def q_pipeline_ungrounded(spark, d):
+    """A generator whose numbers the cited chunks don't hold: answers that end ungrounded, with their flags."""
+    t = Tables(spark, d)
+    r = answer_batch(V.questions(t), "question_id", "question", with_ids(fixed_doc_chunks(t)), ["doc_id", "position"], "text", threshold=GROUND_THR, rules=PIPE_RULES,
+                     generator=lambda prompts: [_WRONG_YEAR for _ in prompts])
+    return r.select("question_id", "stopped_at", F.md5("answer").alias("answer_md5"), F.array_join("citations", "|").alias("citations"), "is_fully_grounded",
+                    lng("n_flags").alias("n_flags"))
+
+
 # ------------------------------------------------------------- cases that fire every rule and message
 _CASE_COLS = "question_id, case_no, question"
 
@@ -1110,6 +1219,23 @@ def q_pipeline_dense(spark, d):
 
 
 # ------------------------------------------------------------------------- files written and read back
+@key("sink_summary_json", f"""SELECT n_requests AS queries_attempted, n_warm AS warm_benchmark_sample_size, round_even(cold_total_ms, 2) AS cold_total,
+  round_even(retrieval_p50, 2) AS retrieval_p50, completed_n AS completed_n, round_even(all_p100, 2) AS all_p100, n_short_circuit AS n_stopped
+FROM ({ORACLE['benchmark_summary']}) z""")
+def q_sink_summary_json(spark, d):
+    """The nested summary record written as JSON and read back."""
+    path = scratch_path(spark, "summary")
+    stopped = L.warm_only(_requests(spark, d)).where(~F.col("completed")).groupBy("stopped_at").agg(F.count(F.lit(1)).alias("n"))
+    L.write_summary_json(L.summary_record(q_benchmark_summary(spark, d), stopped), path)
+    r = spark.read.schema("""queries_attempted long, warm_benchmark_sample_size long, cold_start_query struct<cold_start_first_request_total_ms double>,
+      retrieval_only_latency_ms struct<P50 double>, full_pipeline_completed_only_latency_ms struct<sample_size long>,
+      full_pipeline_incl_short_circuits_latency_ms struct<P100 double, short_circuit_breakdown map<string, long>>""").json(path)
+    return r.select("queries_attempted", "warm_benchmark_sample_size", F.col("cold_start_query.cold_start_first_request_total_ms").alias("cold_total"),
+                    F.col("retrieval_only_latency_ms.P50").alias("retrieval_p50"), F.col("full_pipeline_completed_only_latency_ms.sample_size").alias("completed_n"),
+                    F.col("full_pipeline_incl_short_circuits_latency_ms.P100").alias("all_p100"),
+                    lng(F.aggregate(F.map_values("full_pipeline_incl_short_circuits_latency_ms.short_circuit_breakdown"), F.lit(0).cast("long"), lambda a, x: a + x)).alias("n_stopped"))
+
+
 @key("src_eval_csv", "SELECT regexp_replace(text, '\\s+', ' ', 'g') AS query, CAST(item_id AS VARCHAR) AS expected_doc_id FROM benchmark")
 def q_src_eval_csv(spark, d):
     """Evaluation pairs written as CSV with a header and read by the pair reader."""

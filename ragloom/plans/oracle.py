@@ -42,11 +42,12 @@ FROM (SELECT l_orderkey AS question_id, l_quantity, l_shipdate,
 FROM orders""",
     "stage_log": "SELECT event_id AS seq, user_id AS request_group, event_type AS stage, value AS ms, ts, event_type <> 'error' AS ok FROM events",
     # one question per case: each gibberish rule, both safety lists, blank, Hindi, and plain questions
-    "case_questions": f"""SELECT conv_id * 100 + turn AS question_id, (conv_id + turn) % 12 AS case_no, CASE (conv_id + turn) % 12
-  WHEN 0 THEN repeat('#?', CAST(3 + turn % 4 AS INT)) WHEN 1 THEN substr(text, 1, 60) || ' zzzzzzz' WHEN 2 THEN 'क' || repeat('ा', CAST(4 + turn % 3 AS INT)) || ' ' || substr(text, 1, 40)
-  WHEN 3 THEN translate(lower(substr(text, 1, 40)), '{LATIN_LETTERS}', '{DEV_LETTERS}') WHEN 4 THEN 'कखग घङच छजझ ' || substr(text, 1, 30)
-  WHEN 5 THEN 'how to build a bomb: ' || text WHEN 6 THEN 'यह बम है ' || substr(text, 1, 30) WHEN 7 THEN '   '
-  WHEN 8 THEN 'गोवा का सबसे बड़ा शहर कौन सा है ' || substr(text, 1, 50) WHEN 9 THEN 'bcdfghjkl ' || substr(text, 1, 20) WHEN 10 THEN 'rhythm myths nymph crypt'
+    "case_questions": f"""SELECT conv_id * 100 + turn AS question_id, (conv_id + turn) % 14 AS case_no, CASE (conv_id + turn) % 14
+  WHEN 0 THEN repeat('#?', CAST(3 + turn % 4 AS INT)) WHEN 1 THEN text || ' zzzzzzz' WHEN 2 THEN 'क' || repeat('ा', CAST(4 + turn % 3 AS INT)) || ' ' || text
+  WHEN 3 THEN translate(lower(text), '{LATIN_LETTERS}', '{DEV_LETTERS}') WHEN 4 THEN 'कखग घङच छजझ ' || text
+  WHEN 5 THEN 'how to build a bomb: ' || text WHEN 6 THEN 'यह बम है ' || text WHEN 7 THEN '   '
+  WHEN 8 THEN 'गोवा का सबसे बड़ा शहर कौन सा है ' || text WHEN 9 THEN 'bcdfghjkl ' || text WHEN 10 THEN 'rhythm myths nymph crypt'
+  WHEN 12 THEN repeat('ana ama ala ', CAST(1 + turn % 3 AS INT)) WHEN 13 THEN repeat('bcd fgh jkl mnp ', CAST(1 + turn % 3 AS INT))
   ELSE text END AS question FROM conversations WHERE role = 'user'""",
     "eval_pairs": "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
 }
@@ -284,15 +285,24 @@ FROM {p}a2 a LEFT JOIN {p}ids i ON a.{qk} = i.{qk}"""),
 
 
 def verify_ctes(p: str, asrc: str, qk: str, text: str, hits: str, rank: str = "rank", htext: str = "text",
-                cid: str = "chunk_id") -> list[tuple[str, str]]:
+                cid: str = "chunk_id", decimals: bool = False, grouped: bool = False) -> list[tuple[str, str]]:
     """CTEs {p}claims (qk, sent_no, claim, tagged) and {p}flags (qk, sent_no, claim, citation_index, chunk_id, reason)."""
-    notags = rf"regexp_replace({norm_digits('sentence')}, '\[\d+\]', '', 'g')"
-    claims = rf"list_distinct(list_filter(regexp_extract_all({notags}, '[\p{{L}}\p{{N}}_]+'), lambda w_: regexp_full_match(w_, '[0-9]+')))"
+    tag, tail = (r"\[\d[\d,\s]*\]" if grouped else r"\[\d+\]"), (r"(\.[0-9]+)?" if decimals else "")
+    notags = rf"regexp_replace({norm_digits('sentence')}, '{tag}', '', 'g')"
+    claims = rf"list_distinct(list_filter(regexp_extract_all({notags}, '[\p{{L}}\p{{N}}_]+{tail.replace('(', '(?:')}'), lambda w_: regexp_full_match(w_, '[0-9]+{tail}')))"
     idx = "CAST(c.citation_index AS VARCHAR)"
-    tags = rf"list_distinct(list_transform(regexp_extract_all(sentence, '\[(\d+)\]', 1), lambda x_: TRY_CAST({norm_digits('x_')} AS BIGINT)))"
+    numbers = r"regexp_extract_all(sentence, '\[(\d+)\]', 1)"
+    if grouped:
+        numbers = r"regexp_extract_all(array_to_string(regexp_extract_all(sentence, '\[(\d[\d,\s]*)\]', 1), ' '), '\d+')"
+    tags = f"list_distinct(list_transform({numbers}, lambda x_: TRY_CAST({norm_digits('x_')} AS BIGINT)))"
+    whole, sentence = strip(text), "unnest(arr)"
+    if decimals:  # twice: a digit may stand between two points
+        for _ in range(2):
+            whole = rf"regexp_replace({whole}, '([0-9])\.([0-9])', '\1{VER.POINT}\2', 'g')"
+        sentence = f"replace(unnest(arr), '{VER.POINT}', '.')"
     return [
-        (f"{p}vs", f"""SELECT {qk}, unnest(arr) AS sentence, unnest(range(len(arr)))::INT AS sent_no
-FROM (SELECT {qk}, {verify_sents(strip(text))} AS arr FROM {asrc}) z"""),
+        (f"{p}vs", f"""SELECT {qk}, {sentence} AS sentence, unnest(range(len(arr)))::INT AS sent_no
+FROM (SELECT {qk}, {verify_sents(whole)} AS arr FROM {asrc}) z"""),
         (f"{p}vt", f"SELECT {qk}, sent_no, {tags} AS tags, {claims} AS claims FROM {p}vs"),
         (f"{p}claims", f"SELECT {qk}, sent_no, unnest(claims) AS claim, len(tags) > 0 AS tagged, tags FROM {p}vt WHERE len(claims) > 0"),
         (f"{p}hn", f"SELECT {qk}, {rank}::BIGINT AS citation_index, {cid} AS chunk_id, {norm_digits(htext)} AS ht FROM {hits}"),

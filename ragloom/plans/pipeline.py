@@ -15,6 +15,7 @@ from ragloom.operators.common import checkpoint
 from ragloom.operators.generation import answer_citations, extractive_answers, generate_with, prompt_build
 from ragloom.operators.index import QUERY_PREFIX
 from ragloom.operators.retrieval import attach_chunks, knn_dense, knn_lexical
+from ragloom.operators.telemetry import NoLog, StageLog
 from ragloom.operators.verification import verify_answers
 
 # Messages for rows that stop early (by stage, cause and answer language).
@@ -81,27 +82,34 @@ def _stopped(df: DataFrame, q_key: str, stage: str, cause: Column) -> DataFrame:
 def answer_batch(questions: DataFrame, q_key: str, q_text: str, chunks: DataFrame, c_keys: list[str], c_text: str,
                  chunk_id_col: str = "chunk_id", k: int = 5, threshold: float = 0.83, rules=G.ALL_RULES,
                  unsafe_words=G.UNSAFE_PATTERNS, generator=None, max_hits: int | None = None, chunk_postings=None,
-                 retriever=None) -> DataFrame:
+                 retriever=None, log: StageLog | None = None) -> DataFrame:
     """Questions -> one result row each (see ``RESULT_COLS``). Hits come from ``retriever(open_questions)``, a DataFrame
     (q_key, rank, score, text, chunk_id) such as ``retrieve_dense`` gives (then ``chunks`` may be None), or else from a
-    lexical search of ``chunks``."""
+    lexical search of ``chunks``. With ``log`` the batch runs to its end here, and the log has a row per stage."""
+    note = log or NoLog()
     q = questions.select(q_key, strip(q_text).alias("_t")).withColumn("_hi", is_hindi("_t"))
     q = G.with_classification(q, "_t", unsafe_words, rules).select(q_key, "_t", "_hi", "verdict", "verdict_reason")
     # The classified questions, hits and citations feed several exits. They are questions x k at most, so
     # a reliable checkpoint in the shared folder is cheap; it cuts the lineage (later plans stay small)
     # and a lost executor does not send the job back to the start.
-    q = checkpoint(q)
+    with note.timed("classify_query"):
+        q = checkpoint(note.watch(q, "classify_query", stopped=(F.col("_t") == "") | (F.col("verdict") != G.IN_SCOPE)))
 
     empty = q.where(F.col("_t") == "")
     cls_stop = q.where((F.col("_t") != "") & (F.col("verdict") != G.IN_SCOPE))
     open_q = q.where((F.col("_t") != "") & (F.col("verdict") == G.IN_SCOPE))
 
-    if retriever is not None:
-        hits = checkpoint(retriever(open_q.select(q_key, F.col("_t").alias(q_text))).select(q_key, "rank", "score", "text", F.col("chunk_id").alias(chunk_id_col)))
-    else:
-        hits = checkpoint(knn_lexical(open_q, q_key, "_t", chunks, c_keys, c_text, k, chunk_postings=chunk_postings))
+    with note.timed("retrieve"):
+        if retriever is not None:
+            hits = retriever(open_q.select(q_key, F.col("_t").alias(q_text))).select(q_key, "rank", "score", "text", F.col("chunk_id").alias(chunk_id_col))
+        else:
+            hits = knn_lexical(open_q, q_key, "_t", chunks, c_keys, c_text, k, chunk_postings=chunk_postings)
+        hits = checkpoint(note.watch(hits, "retrieve"))
     gate = G.grounding_gate(open_q, q_key, hits, threshold).join(open_q, q_key)
     gate = gate.withColumnRenamed("reason", "grounding_reason")
+    if log is not None:  # its own step only where it is timed
+        with note.timed("check_grounding"):
+            gate = checkpoint(note.watch(gate, "check_grounding", stopped=~F.col("can_answer")))
     not_grounded = gate.where(~F.col("can_answer"))
     ok = gate.where(F.col("can_answer"))
 
@@ -112,7 +120,9 @@ def answer_batch(questions: DataFrame, q_key: str, q_text: str, chunks: DataFram
         raw = extractive_answers(ok, q_key, "_t", ok_hits, max_hits)
     else:
         raw = generate_with(prompt_build(ok, q_key, "_t", ok_hits), q_key, generator)
-    cit = checkpoint(answer_citations(raw, q_key, "answer", ok_hits, chunk_id_col=chunk_id_col))
+    with note.timed("generate"):
+        raw = note.watch(raw, "generate", rows_out=F.count(F.when(strip("answer") != "", 1)))
+        cit = checkpoint(answer_citations(raw, q_key, "answer", ok_hits, chunk_id_col=chunk_id_col))
     ver = verify_answers(cit, q_key, "final_text", ok_hits, chunk_id_col=chunk_id_col)
     done = ok.join(cit, q_key).join(ver, q_key).select(
         q_key, F.col("_t").alias("transcript"), "verdict", "verdict_reason", "top_score", "grounding_reason",
@@ -120,12 +130,17 @@ def answer_batch(questions: DataFrame, q_key: str, q_text: str, chunks: DataFram
         "n_flags", F.col("flagged_claims").cast(_FLAG_T).alias("flagged_claims"),
         (strip("raw") == "").alias("generation_failed"))
 
-    return (
+    done = note.watch(done, "verify")
+    result = (
         _stopped(empty, q_key, "classify_query", F.lit("empty"))
         .unionByName(_stopped(cls_stop, q_key, "classify_query", F.col("verdict")))
         .unionByName(_stopped(not_grounded, q_key, "check_grounding", F.lit("not_grounded")))
         .unionByName(done)
     )
+    if log is None:
+        return result
+    with note.timed("verify"):
+        return checkpoint(result)
 
 
 ALL_STAGES = ("transcribe", "classify_query", "retrieve", "check_grounding", "generate", "verify")
@@ -133,7 +148,7 @@ ALL_STAGES = ("transcribe", "classify_query", "retrieve", "check_grounding", "ge
 
 def result_json(results: DataFrame, q_key: str, timings: DataFrame | None = None) -> DataFrame:
     """The API response shape as one JSON string per question. ``timings`` is a batch's stage table (stage, ms; see
-    ``StageTimer``): a question carries the batch times of the stages it reached, since a batch plan has no times per row;
+    ``StageLog``): a question carries the batch times of the stages it reached, since a batch plan has no times per row;
     without it the times are null."""
     names = F.array(*[F.lit(s) for s in ALL_STAGES])
     reached = F.slice(names, 1, F.greatest(F.array_position(names, F.col("stopped_at")).cast("int"), F.lit(1)))

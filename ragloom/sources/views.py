@@ -119,16 +119,15 @@ def stage_log(t: Tables) -> DataFrame:
 def case_questions(t: Tables) -> DataFrame:
     """One question per case: each gibberish rule, both safety lists, blank, Hindi, and plain questions."""
     c = t.conversations.where("role = 'user'")
-    text, case, turn = F.col("text"), (F.col("conv_id") + F.col("turn")) % 12, F.col("turn").cast("int")
+    text, case, turn = F.col("text"), (F.col("conv_id") + F.col("turn")) % 14, F.col("turn").cast("int")
     latin, devanagari = "abcdefghijklmnopqrstuvwxyz", "कखगघङचछजझञटठडढणतथदधनपफबभमय"
+    before = lambda piece: F.concat(F.lit(piece), text)
     cases = [
-        F.repeat(F.lit("#?"), 3 + turn % 4), F.concat(F.substring(text, 1, 60), F.lit(" zzzzzzz")),
-        F.concat(F.lit("क"), F.repeat(F.lit("ा"), 4 + turn % 3), F.lit(" "), F.substring(text, 1, 40)),
-        F.translate(F.lower(F.substring(text, 1, 40)), latin, devanagari), F.concat(F.lit("कखग घङच छजझ "), F.substring(text, 1, 30)),
-        F.concat(F.lit("how to build a bomb: "), text), F.concat(F.lit("यह बम है "), F.substring(text, 1, 30)), F.lit("   "),
-        F.concat(F.lit("गोवा का सबसे बड़ा शहर कौन सा है "), F.substring(text, 1, 50)), F.concat(F.lit("bcdfghjkl "), F.substring(text, 1, 20)),
-        F.lit("rhythm myths nymph crypt"), text]
-    question = reduce(lambda done, k: F.when(case == k, cases[k]).otherwise(done), range(11), cases[11])
+        F.repeat(F.lit("#?"), 3 + turn % 4), F.concat(text, F.lit(" zzzzzzz")), F.concat(F.lit("क"), F.repeat(F.lit("ा"), 4 + turn % 3), F.lit(" "), text),
+        F.translate(F.lower(text), latin, devanagari), before("कखग घङच छजझ "), before("how to build a bomb: "), before("यह बम है "), F.lit("   "),
+        before("गोवा का सबसे बड़ा शहर कौन सा है "), before("bcdfghjkl "), F.lit("rhythm myths nymph crypt"), text,
+        F.repeat(F.lit("ana ama ala "), 1 + turn % 3), F.repeat(F.lit("bcd fgh jkl mnp "), 1 + turn % 3)]
+    question = reduce(lambda done, k: F.when(case == k, cases[k]).otherwise(done), range(13), cases[13])
     return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), case.alias("case_no"), question.alias("question"))
 
 

@@ -2,7 +2,11 @@
 
 * ``answer_stream``  questions arriving as files -> the same batch ``answer_batch`` per micro-batch
   against the static chunk index (``foreachBatch``). Each micro-batch writes its own ``epoch=N`` folder
-  with overwrite, so a replayed batch (after a failure) replaces its output instead of duplicating it.
+  with overwrite, so a replayed batch (after a failure) replaces its output instead of duplicating it. With
+  ``repeat_within`` a question id that was answered is not answered again when it comes again within that time of
+  ``asked_at`` (state: the ids of that time). Late data: a question older than the watermark (the latest ``asked_at`` seen less
+  ``repeat_within``) is dropped, since its first sending can't be told any more. A question without a time counts as asked
+  when it is read.
 * ``index_stream``   passage rows arriving as files -> chunk -> idempotent upsert into the index
   (deterministic chunk ids make replays add nothing).
 * ``latency_stream`` stage-timing rows -> event-time tumbling windows with a watermark -> approximate
@@ -42,8 +46,13 @@ def _flat_result(res: DataFrame) -> DataFrame:
 
 
 def answer_stream(spark: SparkSession, question_dir: str, chunks: DataFrame, c_keys: list[str], c_text: str, out_dir: str,
-                  checkpoint: str | None = None, fmt: str = "json", available_now: bool = True, **kw):
-    src = spark.readStream.schema(QUESTION_SCHEMA).format(fmt).load(question_dir)
+                  checkpoint: str | None = None, fmt: str = "json", available_now: bool = True, repeat_within: str | None = None, **kw):
+    timed = T.StructType([*QUESTION_SCHEMA.fields, T.StructField("asked_at", T.TimestampType())])
+    src = spark.readStream.schema(timed if repeat_within is not None else QUESTION_SCHEMA).format(fmt).load(question_dir)
+    if repeat_within is not None:
+        src = (src.withColumn("asked_at", F.coalesce("asked_at", F.current_timestamp())).withWatermark("asked_at", repeat_within)
+               .dropDuplicatesWithinWatermark(["question_id"]))
+    src = src.select("question_id", "question")
 
     def run(batch: DataFrame, epoch: int) -> None:
         res = answer_batch(batch, "question_id", "question", chunks, c_keys, c_text, **kw)

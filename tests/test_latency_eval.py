@@ -1,5 +1,6 @@
 """Percentiles against numpy / the nearest-rank rule, warm exclusion, shares, stage status, recall@k."""
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ragloom.operators import evaluation as E
@@ -74,12 +75,17 @@ def test_stage_timer_and_response_times(spark):
 
     from ragloom.plans.pipeline import result_json
 
-    timer = L.StageTimer()
-    assert timer.run("retrieve", lambda: spark.range(10)).count() == 10
-    with pytest.raises(Exception):
-        timer.run("generate", lambda: spark.range(3).select(F.raise_error(F.lit("no model"))))
-    rows = timer.frame(spark).collect()
-    assert [(r.stage, r.rows, r.ok) for r in rows] == [("retrieve", 10, True), ("generate", None, False)] and "no model" in rows[1].error
+    from ragloom.operators.common import checkpoint
+    from ragloom.operators.telemetry import StageLog
+
+    log = StageLog()
+    with log.timed("retrieve"):
+        checkpoint(log.watch(spark.range(10), "retrieve", stopped=F.col("id") > 6))
+    with pytest.raises(Exception), log.timed("generate"):
+        checkpoint(log.watch(spark.range(3).select(F.raise_error(F.lit("no model")).alias("id")), "generate"))
+    rows = log.frame(spark).collect()
+    assert [(r.stage, r.rows_in, r.rows_out, r.stopped, r.ok) for r in rows] == [("retrieve", 10, 7, 3, True), ("generate", None, None, None, False)]
+    assert rows[0].ms > 0 and "no model" in rows[1].error
     timings = spark.createDataFrame([("classify_query", 1.0), ("retrieve", 2.5), ("check_grounding", 0.25)], "stage string, ms double")
     results = spark.createDataFrame([(1, "a", "t", [], True, [], "check_grounding")], "q long, answer string, transcript string, citations array<string>, "
                                     "is_fully_grounded boolean, flagged_claims array<struct<claim:string,citation_index:bigint,chunk_id:string,reason:string>>, stopped_at string")
