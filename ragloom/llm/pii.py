@@ -16,9 +16,11 @@ graph. A round
 2. scores each mention by its patterns of confidence ``CONFIDENT`` and more, for kinds its shape allows:
    1 - prod(1 - score); ``CONFIDENT`` makes it an instance of the next round.
 
-Mentions accepted after ``ROUNDS`` rounds are spans wherever they occur. Edges are distinct (pattern, spelling) pairs,
-combined before the shuffle, so a pattern or an identifier held by a third of all rows is a few rows a task, and
-nothing is collected to the driver. The tables of mentions are checkpointed and joined back by row.
+Rounds go on until one accepts no mention that the round before hadn't (scores only grow, so accepted ones stay).
+Accepted mentions are spans wherever they occur. Edges are distinct (pattern, spelling) pairs, combined before the
+shuffle, and patterns, spellings and mentions with over a thousandth of the rows at hand (at most a thousand) are joined by
+broadcast, so one held by a third of all rows isn't dealt to one task. Nothing is collected to the driver. The tables
+of mentions are checkpointed and joined back by row.
 
 Defined cases: null and empty texts have no spans; equal rows get equal spans; ties between kinds go to the kind
 listed first; an empty table gives an empty result; columns other than id and text aren't read. A document's base
@@ -31,15 +33,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.common import checkpoint
+from ragloom.llm.common import checkpoint, join_classes
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 3
 CONFIDENT = 0.7
-ROUNDS = 3
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -105,10 +107,30 @@ def shapes(token: str) -> list[int]:
     return out
 
 
+def words_before(text: str, at: int, n: int) -> list[str]:
+    """The last n whole words of text[:at]."""
+    width = 64
+    while True:
+        found = text[max(0, at - width):at].split()
+        if at <= width or len(found) > n:  # the first of more than n may be cut
+            return found[-n:]
+        width *= 4
+
+
+def word_after(text: str, at: int) -> list[str]:
+    """The first whole word of text[at:]."""
+    width = 64
+    while True:
+        found = text[at:at + width].split(None, 1)
+        if at + width >= len(text) or len(found) > 1:
+            return found[:1]
+        width *= 4
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """The lexical patterns around a span."""
-    left = text[max(0, start - 80):start].lower().split()
-    right = text[end:end + 40].lower().split()
+    left = [w.lower() for w in words_before(text, start, 2)]
+    right = [w.lower() for w in word_after(text, end)]
     out = []
     if len(left) >= 2:
         out.append(f"l {left[-2]} {left[-1]}")
@@ -153,21 +175,25 @@ def spaced(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+SPAN = "struct<kind int, start int, stop int>"
+MENTION = "struct<seed int, start int, stop int, spelling string, kinds array<int>, patterns array<string>>"
+SPANS = pa.list_(pa.struct([(n, pa.int32()) for n in ("kind", "start", "stop")]))
+MENTIONS = pa.list_(pa.struct([("seed", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("spelling", pa.string()),
+                               ("kinds", pa.list_(pa.int32())), ("patterns", pa.list_(pa.string()))]))
+
+
+def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         base, found = [], []
-        for text in b["text"]:
+        for text in b.column("text").to_pylist():
             text = text or ""
             marked = MARK.search(text)
             spans = base_spans(text) if marked else []
             base.append([{"kind": k, "start": s, "stop": e} for k, s, e in spans])
             found.append([{"seed": k, "start": s, "stop": e, "spelling": w, "kinds": kinds, "patterns": p}
                           for k, s, e, w, kinds, p in (mentions(text, spans) if marked else [])])
-        yield pd.DataFrame({"id": b["id"], "row_key": b["row_key"], "base": base, "mentions": found})
-
-
-SPAN = "struct<kind int, start int, stop int>"
-MENTION = "struct<seed int, start int, stop int, spelling string, kinds array<int>, patterns array<string>>"
+        # ids stay Arrow columns: pandas would round long ids beside a null one
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row_key"), pa.array(base, SPANS), pa.array(found, MENTIONS)], ["id", "row_key", "base", "mentions"])
 
 
 def accepted(mentions: DataFrame) -> DataFrame:
@@ -175,18 +201,26 @@ def accepted(mentions: DataFrame) -> DataFrame:
     patterns."""
     edges = checkpoint(mentions.select("seed", "spelling", "kinds", F.explode("patterns").alias("pattern"))
                        .groupBy("pattern", "spelling").agg(F.max("seed").alias("seed"), F.max("kinds").alias("kinds")))
-    scores = edges.filter("seed >= 0").select("spelling", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SEEDS)
-    edges = checkpoint(edges.join(sizes, "pattern"))
-    found = None
-    for _ in range(ROUNDS):
-        held = edges.join(scores, "spelling").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("held"), F.first("n").alias("n"))
-        patterns = (held.filter(F.col("held") >= MIN_SEEDS)
-                    .select("pattern", "kind", (F.col("s") / (F.col("n") + 1)).alias("confidence")).filter(F.col("confidence") >= CONFIDENT))
-        reached = (edges.filter("seed < 0 and size(kinds) > 0").join(patterns, "pattern").filter(F.array_contains("kinds", F.col("kind")))
+    seeds = edges.filter("seed >= 0").select("spelling", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    sizes = checkpoint(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SEEDS))
+    edges = checkpoint(join_classes(edges, sizes.withColumn("weight", F.col("n")), ["pattern"], "weight"))
+    held_by = checkpoint(edges.groupBy("spelling").agg(F.count(F.lit(1)).alias("weight")))
+    open_ = edges.filter("seed < 0 and size(kinds) > 0").drop("n")
+    scores, n_accepted = seeds, 0
+    while True:
+        instances = checkpoint(scores.join(held_by, "spelling"))
+        held = join_classes(edges, instances, ["spelling"], "weight").groupBy("pattern", "kind").agg(
+            F.sum("score").alias("s"), F.count(F.lit(1)).alias("held"), F.first("n").alias("n"))
+        patterns = checkpoint(held.filter(F.col("held") >= MIN_SEEDS)
+                              .select("pattern", "kind", (F.col("s") / (F.col("n") + 1)).alias("confidence"), "n").filter(F.col("confidence") >= CONFIDENT))
+        reached = (join_classes(open_, patterns, ["pattern"], "n").filter(F.array_contains("kinds", F.col("kind")))
                    .groupBy("spelling", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score")))
         found = checkpoint(reached.filter(F.col("score") >= CONFIDENT))
-        scores = scores.filter("score = 1.0").unionByName(found.select("spelling", "kind", F.least("score", F.lit(0.999)).alias("score")))
+        n_found = found.count()
+        if n_found <= n_accepted:
+            break
+        n_accepted = n_found
+        scores = seeds.unionByName(found.select("spelling", "kind", F.least("score", F.lit(0.999)).alias("score")))
     return found.groupBy("spelling").agg(F.min(F.struct(-F.col("score"), "kind")).alias("m")).select("spelling", F.col("m.kind").alias("kind"))
 
 
@@ -194,9 +228,11 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """One row per input row: id, row_key (hash of the text), base and added: arrays of (kind, start, stop)."""
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text"))
     kind = dict(df.dtypes)[id_col]
-    docs = checkpoint(rows.mapInPandas(scan, f"id {kind}, row_key long, base array<{SPAN}>, mentions array<{MENTION}>"))
+    docs = checkpoint(rows.mapInArrow(scan, f"id {kind}, row_key long, base array<{SPAN}>, mentions array<{MENTION}>"))
     found = docs.select("id", "row_key", F.explode("mentions").alias("m")).select("id", "row_key", "m.*")
-    new = found.filter("seed < 0 and size(kinds) > 0").join(accepted(found), "spelling")
+    open_ = found.filter("seed < 0 and size(kinds) > 0").drop("seed", "kinds", "patterns")
+    often = open_.groupBy("spelling").agg(F.count(F.lit(1)).alias("weight"))
+    new = join_classes(open_, checkpoint(accepted(found).join(often, "spelling")), ["spelling"], "weight")
     per_row = (new.groupBy("id", "row_key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))  # a row's own spans
                .select(F.col("id").alias("_id"), F.col("row_key").alias("_row_key"), "added"))
     joined = docs.join(per_row, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_row_key")), "left")
