@@ -11,8 +11,10 @@ The likeness of two fingerprints is the Dice coefficient of their span sets, est
 texts with no more spans than the sketch holds); 1 for equal texts, and 0 for an empty and a non-empty text.
 
 ``compare_next`` pairs each document with the next by descending id, without a global window: ids are cut at quantiles
-into buckets, rows are shuffled once by bucket and sorted, and the first row of each bucket is sent along to the bucket
-before it as well. The driver holds the bucket limits and one (id, hash) per bucket; their number is a parameter.
+into buckets, null ids by their text hash, rows are shuffled once by bucket and sorted, and the first row of each bucket is sent along to
+the bucket before it as well. There are ``BUCKETS`` buckets, more where they would hold over ``BUCKET_BYTES`` of text; the
+driver holds the bucket limits and one (id, hash) per bucket. Ids go to Python as text: pandas would round long ones
+beside a null.
 
 Defined cases: null texts are empty; a text shorter than a span is one span; null ids come last in the order, ties are
 ordered by text hash; after the last document comes the first, so a table's only document is its own next; an empty
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 MODULUS = (1 << 31) - 1
 BASES = (911_382_323, 972_663_749)
 SPAN = 8
-SKETCH = 64
+SKETCH = 256
 BUCKETS = 512
+BUCKET_BYTES = 64 << 20
+NULL_BUCKETS = 64
 
 
 def reduced(x: np.ndarray) -> np.ndarray:
@@ -144,20 +148,22 @@ def bucket_limits(df: DataFrame, id_col: str, buckets: int) -> list[float]:
     return sorted(set(found))
 
 
-def compare_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def compare_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """One row per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and
     common_next (length of the common prefix with the next text)."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    if buckets is None:
+        buckets = max(BUCKETS, -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
     limits = bucket_limits(df, id_col, buckets)
-
-    def place(ids: pd.Series) -> list[int]:  # descending ids; null ids in the last bucket
-        return [len(limits) - bisect_right(limits, float(i)) if i == i and i is not None else len(limits) + 1 for i in ids]
+    nulls = min(NULL_BUCKETS, buckets)
 
     @F.pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(place(ids), dtype="int32")
+    def bucket_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:  # descending ids; null ids behind, by descending hash
+        return pd.Series([len(limits) - bisect_right(limits, int(i)) if i is not None else len(limits) + 1 + ((1 << 63) - 1 - int(h)) * nulls // (1 << 64)
+                          for i, h in zip(ids, hashes)], dtype="int32")
 
-    heads = rows.select("id", "h", bucket_of("id").alias("b")).groupBy("b").agg(F.max(F.struct("id", "h")).alias("m")).select("b", "m.id", "m.h").collect()
+    spelled = F.col("id").cast("string")
+    heads = rows.select("id", "h", bucket_of(spelled, "h").alias("b")).groupBy("b").agg(F.max(F.struct("id", "h")).alias("m")).select("b", "m.id", "m.h").collect()
     heads.sort(key=lambda r: r["b"])
     before = {(r["id"], r["h"]): heads[k - 1]["b"] for k, r in enumerate(heads)}  # the bucket that a bucket's first row is sent to as well
 
@@ -165,7 +171,7 @@ def compare_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def also(ids: pd.Series, hashes: pd.Series, own: pd.Series) -> pd.Series:
         out = []
         for i, h, b in zip(ids, hashes, own):
-            extra = before.get((None if i is None or i != i else int(i), h))
+            extra = before.get((None if i is None else int(i), h))
             out.append([2 * b] if extra is None else [2 * b, 2 * extra + 1])
         return pd.Series(out)
 
@@ -188,9 +194,9 @@ def compare_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out.append((last_id, len(last_text), hashlib.sha256(new.encode("utf-8")).hexdigest(), last_mark, new_mark,
                                 likeness(last_mark, new_mark), likeness(last_mark, mark), last_hash.common_extension(0, own, 0)))
                 last = None if spot % 2 else (b, i, text, own, mark)
-            yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_next"]).astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_next"])
 
-    spread = rows.withColumn("b", bucket_of("id")).withColumn("spot", F.explode(also("id", "h", "b"))).select("id", "h", "text", "spot")
+    spread = rows.withColumn("b", bucket_of(spelled, "h")).withColumn("spot", F.explode(also(spelled, "h", "b"))).select("id", "h", "text", "spot")
     spread = spread.withColumn("b", F.expr("spot div 2")).repartition("b").sortWithinPartitions("spot", F.col("id").desc_nulls_last(), F.col("h").desc())
-    out = spread.select("id", "text", "spot").mapInPandas(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_next long")
-    return out.withColumnRenamed("id", id_col)
+    out = spread.select(spelled.alias("id"), "text", "spot").mapInPandas(run, "id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_next long")
+    return out.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
