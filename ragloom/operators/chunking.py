@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ragloom.functions.text import chunk_sentences, col_, strip, terms, tokens
-from ragloom.operators.common import chunk_id_col
+from ragloom.operators.common import checkpoint, chunk_id_col
 
 
 def flatten_passages(passages) -> Column:
@@ -162,7 +162,8 @@ def chunk_semantic(df: DataFrame, text_col: str, key_cols: list[str], threshold:
 
     method="arrays" (default): per text row, no shuffle - similarities from ``with_sentence_sims``, then
     run starts and chunk pieces as array expressions over the row's own sentences.
-    method="relational" (and any injected embedder): sentence rows, aggregations, one window per text."""
+    method="relational" (and any injected embedder): sentence rows and aggregations; chunks are numbered by a scan over pieces of
+    SCAN_PIECE sentences (see ``_numbered``), so a huge text spans many tasks."""
     if embed is None and method == "arrays":
         s = with_sentence_sims(df, text_col, key_cols)
         n = F.size("_sents")
@@ -178,11 +179,7 @@ def chunk_semantic(df: DataFrame, text_col: str, key_cols: list[str], threshold:
         e = s.select(*key_cols, pieces.alias("_pieces")).select(*key_cols, F.posexplode("_pieces").alias("position", "_p"))
         return e.select(*key_cols, "position", F.col("_p.text").alias("text"), F.col("_p.n").alias("n_sentences"),
                         F.lit("semantic").alias("strategy"))
-    b = semantic_boundaries(df, text_col, key_cols, threshold, embed, method="relational")
-    w = W.partitionBy(*key_cols).orderBy("pos")
-    run_start = F.max(F.when(F.col("is_boundary"), F.col("pos"))).over(w.rowsBetween(W.unboundedPreceding, 0))
-    b = b.withColumn("_cs", F.when(((F.col("pos") - run_start) % F.lit(max_sentences)) == 0, 1).otherwise(0))
-    b = b.withColumn("position", F.sum("_cs").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    b = _numbered(semantic_boundaries(df, text_col, key_cols, threshold, embed, method="relational"), key_cols, max_sentences)
     g = b.groupBy(*key_cols, "position").agg(
         F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("_s"))  # at most max_sentences
     return g.select(
@@ -193,6 +190,38 @@ def chunk_semantic(df: DataFrame, text_col: str, key_cols: list[str], threshold:
     )
 
 
+SCAN_PIECE = 4096
+
+
+def _numbered(b: DataFrame, key_cols: list[str], max_sentences: int, piece: int | None = None) -> DataFrame:
+    """``b`` (key..., pos, is_boundary, ...) with ``position``, the number of the chunk that a sentence belongs to.
+
+    A segmented scan. The sentences of a text are cut into pieces. A piece reduces to its last run start; the greatest of the pieces
+    before gives the run that is open where a piece begins (the maximum is associative, so pieces combine in any grouping). With it a piece
+    finds its own chunk starts and reduces to their number; the sum of the pieces before gives its first chunk's number. Windows span a piece's
+    sentences or a text's pieces, never a whole text."""
+    piece = piece or SCAN_PIECE
+    b = checkpoint(b.withColumn("_pc", F.floor(F.col("pos") / piece)))
+    inside = W.partitionBy(*key_cols, "_pc").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*key_cols).orderBy("_pc").rowsBetween(W.unboundedPreceding, -1)
+    start = F.when(F.col("is_boundary"), F.col("pos"))
+
+    def carried(df: DataFrame, reduced, combine, name: str) -> DataFrame:
+        """``df`` with ``name``: the pieces before its own, combined."""
+        own = df.groupBy(*key_cols, "_pc").agg(reduced.alias("_r")).withColumn(name, combine("_r").over(before))
+        own = own.select(*[F.col(c).alias(f"_k_{c}") for c in key_cols], F.col("_pc").alias("_k_pc"), name)
+        same = F.col("_pc") == F.col("_k_pc")
+        for c in key_cols:
+            same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        return df.join(own, same).drop("_k_pc", *[f"_k_{c}" for c in key_cols])
+
+    b = carried(b, F.max(start), F.max, "_open")
+    b = b.withColumn("_run", F.coalesce(F.max(start).over(inside), F.col("_open")))
+    b = b.withColumn("_cs", F.when((F.col("pos") - F.col("_run")) % F.lit(max_sentences) == 0, 1).otherwise(0))
+    b = carried(b, F.sum("_cs"), F.sum, "_done")
+    return b.withColumn("position", F.coalesce("_done", F.lit(0)) + F.sum("_cs").over(inside) - 1).drop("_pc", "_open", "_run", "_cs", "_done")
+
+
 def sentences(df: DataFrame, text_col: str, key_cols: list[str]) -> DataFrame:
     return df.select(*key_cols, F.posexplode(chunk_sentences(text_col)).alias("pos", "sentence"))
 

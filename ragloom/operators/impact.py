@@ -151,18 +151,20 @@ class Searcher:
 
     def ask(self, question: str | None, k: int = 5) -> DataFrame:
         """(c_keys..., score) of one question, best first. The plan is one stage: filter, explode, sum within the partition, k best rows per task."""
-        counts = question_terms(self.spark, question) or Counter({"": 1})  # no term: nothing is found
-        by_count: dict[int, list[str]] = {}
-        for term, n in counts.items():
-            by_count.setdefault(n, []).append(f"'{term}'")  # letters and digits only
-        held = ", ".join(f"'{t}'" for t in counts)
-        qtf = "CASE " + " ".join(f"WHEN term IN ({', '.join(ts)}) THEN {n}" for n, ts in by_count.items()) + " END"
-        norm = float(sum(n * n for n in counts.values())) ** 0.5
+        counts = question_terms(self.spark, question) or Counter({"-": 1})  # no term: nothing is found
+        # Values are handed over in a map and a padded list, never as numbers in the text: all questions then share one generated
+        # class per sixteen terms, and only the first of them pays for compiling it. The key '' holds the squared norm.
+        numbers = ", ".join(f"'{t}', {n}L" for t, n in counts.items())  # terms are letters, marks and digits only
+        given = f"map({numbers}, '', {sum(n * n for n in counts.values())}L)"
+        padded = [*counts, *(f"-{i}" for i in range(-len(counts) % 16))]
+        held = ", ".join(f"'{t}'" for t in padded)
         keys = ", ".join(f"`{c}`" for c in self.c_keys)
         members = ", ".join(f"m.`{c}` AS `{c}`" for c in self.c_keys)
         best = self.spark.sql(f"""
-            SELECT {keys}, CAST(sum(q * tf) AS DOUBLE) / ({norm!r}D * sqrt(CAST(first(norm2) AS DOUBLE))) AS score
-            FROM (SELECT block, q, {members}, m.tf, m.norm2 FROM (SELECT block, {qtf} AS q, explode(members) AS m FROM {self.view} WHERE term IN ({held})))
+            SELECT {keys}, CAST(sum(q * tf) AS DOUBLE) / (sqrt(CAST(max(q2) AS DOUBLE)) * sqrt(CAST(first(norm2) AS DOUBLE))) AS score
+            FROM (SELECT block, q, q2, {members}, m.tf, m.norm2 FROM (
+              SELECT block, element_at(given, term) AS q, element_at(given, substring(term, 1, 0)) AS q2, explode(members) AS m
+              FROM (SELECT *, {given} AS given FROM {self.view} WHERE term IN ({held}))))
             GROUP BY block, {keys} ORDER BY round(score, {SCORE_DIGITS}) DESC, {keys} LIMIT {int(k)}""")
         return best
 

@@ -64,8 +64,8 @@ def contains_join(needles: DataFrame, hays: DataFrame, nid: str, ntext: str, hid
     """Distinct (nid, hid) of every needle contained in a text."""
     if nid == hid:
         raise ValueError("needle and text ids need different column names")
-    n = needles.select(F.col(nid), F.col(ntext).alias("_n")).where(F.col("_n").isNotNull())
-    h = hays.select(F.col(hid), F.col(htext).alias("_h")).where(F.col("_h").isNotNull())
+    n = needles.select(F.col(nid).alias(nid), F.col(ntext).alias("_n")).where(F.col("_n").isNotNull())
+    h = hays.select(F.col(hid).alias(hid), F.col(htext).alias("_h")).where(F.col("_h").isNotNull())
     size = n.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("_n") + 16), F.lit(0)).alias("bytes")).first()
     groups = max(math.ceil(size["bytes"] / needle_bytes), math.ceil(size["rows"] / needle_rows), 1)
     schema = T.StructType([needles.schema[nid], hays.schema[hid]])

@@ -24,7 +24,7 @@ from ragloom.operators import sketches as SK
 from ragloom.operators import verification as VER
 from ragloom.operators.common import cached, checkpoint, chunk_id_col
 from ragloom.operators import index as IDX
-from ragloom.operators.embedding import hashed_terms
+from ragloom.operators.embedding import embedder_udf, hashed_terms, letter_profile_model, padding
 from ragloom.operators.index import upsert_plan
 from ragloom.operators.telemetry import StageLog
 from ragloom.plans import oracle as O
@@ -234,6 +234,13 @@ def q_chunk_semantic(spark, d):
     return c.select("doc_id", lng("position").alias("position"), lng("n_sentences").alias("n_sentences"), F.md5("text").alias("text_md5"))
 
 
+@key("chunk_semantic_scan", ORACLE["chunk_semantic"])
+def q_chunk_semantic_scan(spark, d):
+    """The same chunks as rows: sentences numbered by a segmented scan, as an injected embedder's are."""
+    c = C.chunk_semantic(Tables(spark, d).documents.select("doc_id", "text"), "text", ["doc_id"], SEM_THR, SEM_MAX, method="relational")
+    return c.select("doc_id", lng("position").alias("position"), lng("n_sentences").alias("n_sentences"), F.md5("text").alias("text_md5"))
+
+
 # index build over the nested dataset rows (three strategies)
 def index_chunks(t: Tables) -> DataFrame:
     return C.build_index_chunks(V.qa_nested(t), threshold=SEM_THR, max_sentences=SEM_MAX)
@@ -1218,6 +1225,24 @@ def q_pipeline_dense(spark, d):
                     F.array_join("citations", "|").alias("citations"), "is_fully_grounded")
 
 
+EMBED_BUDGET = 16_384
+
+
+@key("embed_packed", "SELECT doc_id, TRUE AS same_vector FROM documents")
+def q_embed_packed(spark, d):
+    """Vectors of calls packed by length against those of plain calls."""
+    docs = Tables(spark, d).documents.select("doc_id", "text")
+    plain, by_length = embedder_udf(letter_profile_model()), embedder_udf(letter_profile_model(), token_budget=EMBED_BUDGET)
+    return docs.select("doc_id", (plain(F.col("text")) == by_length(F.col("text"))).alias("same_vector"))
+
+
+@key("embed_padding", f"SELECT count(*)::BIGINT AS n_texts, sum(len({O.tokens('text')}) + 2)::BIGINT AS tokens, TRUE AS fewer_padded FROM documents")
+def q_embed_padding(spark, d):
+    """Padded tokens of packed calls against calls of as many rows in table order (the counts depend on the Arrow batches)."""
+    p = padding(Tables(spark, d).documents, "text", EMBED_BUDGET)
+    return p.select("n_texts", "tokens", (F.col("padded") < F.col("padded_in_order")).alias("fewer_padded"))
+
+
 # ------------------------------------------------------------------------- files written and read back
 @key("sink_summary_json", f"""SELECT n_requests AS queries_attempted, n_warm AS warm_benchmark_sample_size, round_even(cold_total_ms, 2) AS cold_total,
   round_even(retrieval_p50, 2) AS retrieval_p50, completed_n AS completed_n, round_even(all_p100, 2) AS all_p100, n_short_circuit AS n_stopped

@@ -96,3 +96,105 @@ def test_ungrounded_answers_appear(spark, name):
 
     got = QUERIES[name](spark, SF0001).collect()
     assert any(r.stopped_at == "verify" and not r.is_fully_grounded and r.n_flags > 0 for r in got)
+
+
+def test_calls_are_packed_by_length_under_the_budget():
+    import random
+
+    from ragloom.operators.embedding import packed
+
+    rnd = random.Random(1)
+    by_length = in_order = 0
+    for _ in range(200):
+        lengths = [rnd.randint(1, 60) for _ in range(rnd.randint(0, 80))]
+        budget = rnd.randint(20, 300)
+        calls = packed(lengths, budget)
+        assert sorted(i for c in calls for i in c) == list(range(len(lengths)))
+        assert all(len(c) * max(lengths[i] for i in c) <= budget or len(c) == 1 for c in calls)
+        by_length += sum(len(c) * max(lengths[i] for i in c) for c in calls)
+        ends = [sum(map(len, calls[:j + 1])) for j in range(len(calls))]
+        in_order += sum((e - s) * max(lengths[s:e]) for s, e in zip([0, *ends], ends))
+    assert by_length < 0.8 * in_order
+
+
+def test_packed_vectors_and_padding(spark):
+    from ragloom.operators.embedding import embedder_udf, letter_profile_model, padding
+
+    texts = ["a", None, "", "long words " * 50, "b c d", "x " * 200, "short one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    plain, by_length = embedder_udf(letter_profile_model()), embedder_udf(letter_profile_model(), token_budget=64)
+    assert df.select((plain("t") == by_length("t")).alias("same")).where("same").count() == len(texts)
+    p = padding(df, "t", 64).first()
+    assert p.n_texts == len(texts) and 0 <= p.padded <= p.padded_in_order
+    assert padding(df.limit(0), "t", 64).first().n_texts == 0
+
+
+def test_dealt_dense_search_keeps_long_keys_beside_null_ones(spark, monkeypatch):
+    from ragloom.operators import retrieval as R
+
+    monkeypatch.setattr(R, "GROUP_VALUES", 8)
+    big = 2**60
+    rows = [(big + i, [float(i), 1.0]) for i in range(12)] + [(None, [0.5, 1.0]), (7, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    for bound in (3, 100):  # dealt in groups, broadcast
+        got = {}
+        asked = df.withColumnRenamed("id", "q").where("q is not null")
+        for r in R.knn_dense(asked, "q", "v", df.where("id is not null"), "id", "v", 2, exclude_self=True, max_questions=bound).orderBy("q", "rank").collect():
+            got.setdefault(r.q - big, []).append(r.id - big)
+        assert got[0] == [1, 2] and got[11] == [10, 9] and len(got) == 12
+    dealt = R.knn_dense(df.withColumnRenamed("id", "q"), "q", "v", df, "id", "v", 13, max_questions=3).collect()
+    assert len(dealt) == 13 * 13 and {r.id for r in dealt} == {None, *range(big, big + 12)}
+
+
+@pytest.mark.parametrize("piece", [1, 3, 7, 4096])
+def test_segmented_scan_equals_a_loop(spark, piece):
+    import random
+
+    rnd = random.Random(piece)
+    rows, expected = [], {}
+    for doc in [None, *range(25)]:
+        n, position, run = rnd.randint(1, 40), -1, 0
+        for pos in range(n):
+            boundary = pos == 0 or rnd.random() < 0.2
+            run = pos if boundary else run
+            position += (pos - run) % 4 == 0
+            rows.append((doc, pos, boundary))
+            expected[doc, pos] = position
+    df = spark.createDataFrame(rows, "doc long, pos int, is_boundary boolean").repartition(5)
+    got = {(r.doc, r.pos): r.position for r in C._numbered(df, ["doc"], 4, piece).collect()}
+    assert got == expected
+
+
+def test_a_huge_text_is_numbered_in_many_tasks(spark):
+    n = 1_000_000
+    df = spark.range(n, numPartitions=8).select(F.lit(1).alias("doc"), F.col("id").cast("int").alias("pos"), (F.col("id") % 1000 == 0).alias("is_boundary"))
+    out = C._numbered(df, ["doc"], 12)
+    held = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last")).collect()
+    assert len(held) > 1 and max(r.n for r in held) < n and max(r["last"] for r in held) == 1000 * 84 - 1  # 84 chunks a run
+
+
+def test_changes_of_documents_make_the_batch_index(spark, tmpdir_path):
+    src, log, cp = (os.path.join(tmpdir_path, x) for x in ("in", "log", "cp"))
+    os.makedirs(src)
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+
+    def send(name, rows):
+        with open(os.path.join(src, f"{name}.json"), "w") as f:
+            f.write("\n".join(json.dumps({"doc_id": d, "version": v, "text": t}) for d, v, t in rows))
+        jobs.change_stream(spark, src, log, checkpoint=cp, window=8, overlap=0.0).awaitTermination()
+        return sorted((r.doc_id, r.position, r.text) for r in jobs.current_chunks(spark, log).collect())
+
+    def batch(docs):
+        df = spark.createDataFrame(docs, "doc_id string, text string")
+        return sorted((r.doc_id, r.position, r.text) for r in C.chunk_fixed(df, "text", ["doc_id"], 8, 0.0).collect())
+
+    changes = lambda e: sorted((r.doc_id, r.change) for r in spark.read.parquet(os.path.join(log, f"epoch={e}")).collect())
+    assert send("a", [("d1", 1, words(0, 24)), ("d2", 1, words(50, 60)), ("d2", 0, "old"), (None, 1, "x")]) == batch([("d1", words(0, 24)), ("d2", words(50, 60))])
+    # one chunk changes, the text gets longer; the same document again changes nothing
+    longer = words(0, 8) + " changed " + words(9, 30)
+    assert send("b", [("d1", 2, longer), ("d2", 2, words(50, 60))]) == batch([("d1", longer), ("d2", words(50, 60))])
+    assert changes(1) == [("d1", "added")] * 2 + [("d1", "removed")]
+    # a late version is ignored, a document without a text goes, and comes back
+    assert send("c", [("d1", 1, words(0, 24)), ("d2", 3, None)]) == batch([("d1", longer)])
+    assert changes(2) == [("d2", "removed")] * 2
+    assert send("d", [("d2", 4, words(50, 60))]) == batch([("d1", longer), ("d2", words(50, 60))])
