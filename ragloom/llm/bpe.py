@@ -3,16 +3,18 @@
 Encoding. A token sequence is the BPE encoding of its bytes exactly when each two neighbours, merged on their own,
 give themselves back; every byte string has exactly one such sequence. So a nondeterministic transducer reads bytes
 while it walks the trie of tokens, and may end a token wherever the token's pair with the token before it is stable.
-It is determinised as it is used (subset construction with outputs): a state is the set of open hypotheses, each
-(last token, trie node, tokens not yet emitted); what all hypotheses have in common is emitted at once, and a
-hypothesis dies when its trie path ends, so output lags by a bounded lookahead (the longest token at most).
-States and transitions are built on first use and kept by the worker, up to ``MAX_STATES``, then started anew.
+It is determinised as it is used (subset construction): a state is the ordered set of open hypotheses, each (last token,
+trie node) in one integer. A transition names, for every hypothesis it leaves, the one it came from, and the token that ends there, so
+outputs needn't be part of the states. Every ``LOOK`` bytes the hypotheses are followed back to where they agree, and the
+tokens up to there are emitted: a hypothesis dies when its trie path ends, so the lookahead is bounded by the longest token.
+States and transitions (an integer each) are built on first use and kept by the worker, up to ``MAX_STATES``, then started anew.
 
 Whether a pair is stable is read off two spines: the parts at the right edge of the left token and at the left edge of
 the right one, each with the rank at which it is swallowed. If a merge across the boundary comes before both parts
 are swallowed (on a tie the merge further left goes first), the pair isn't stable.
 
-Text is split by the tokenizer's pattern first; a match that is itself a token is that token. Decoding keeps at most
+Text is split by the tokenizer's pattern first; a match that is itself a token is that token. The matches of a batch are
+dictionary-encoded, so each distinct one is looked up once a batch; ids of recent ones are kept as packed bytes. Decoding keeps at most
 three pending bytes and emits characters as they complete; malformed bytes give U+FFFD per maximal part.
 
 Defined cases: null and empty texts encode to no ids and decode to the empty text. Texts of any length are encoded
@@ -22,6 +24,7 @@ untouched; results are in new columns whose names the caller may choose.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -29,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-MAX_STATES = 250_000
-MAX_WORDS = 250_000
+MAX_STATES = 200_000
+MAX_WORDS = 300_000
+LOOK = 4096
 WORD_CHARS = 48  # longer matches aren't kept for reuse
 NEVER = 1 << 60
 
@@ -67,8 +71,11 @@ def tables(ranks: dict[bytes, int]) -> dict:
 
 class Transducer:
     """Bytes of one match in, token ids out. Nodes of the trie and states are numbers; ``go`` and ``moves`` are keyed
-    by 256 * number + byte. In a state, hypotheses stand in the order of the bytes where their open token began, so
-    the first holds the fewest tokens back. A trie node without children is left out once its token was tried."""
+    by 256 * number + byte. In a state, hypotheses stand in the order of the bytes where their open token began; the last
+    is the one whose token has just ended. A hypothesis is (last token + 1) << NODE | trie node, a move
+    state << 44 | number of its origins << 22 | ended token. A trie node without children is left out once its token was tried."""
+
+    NODE, MASK = 22, (1 << 22) - 1
 
     def __init__(self, table: dict):
         self.ranks, self.parts = table["ranks"], table["parts"]
@@ -88,15 +95,18 @@ class Transducer:
                     self.inner.append(False)
                 node = nxt
             self.ends[node] = rank
+        if max(len(self.ends), *self.token) > self.MASK - 1:
+            raise ValueError("the vocabulary is too large for the packed states")
         self.stable: dict[int, bool] = {}
-        self.restart(((-1, 0, ()),))
+        self.origins, self.origin_ids = [], {}  # few distinct ones: kept for good
+        self.restart((0,))
         self.begin = 0
 
     def restart(self, state: tuple) -> int:
         """Forget all states but ``state`` and the first one."""
-        first = ((-1, 0, ()),)
+        first = (0,)
         self.sets, self.ids, self.moves = [first], {first: 0}, {}
-        if len(self.stable) > 8 * MAX_STATES:
+        if len(self.stable) > 2 * MAX_STATES:
             self.stable.clear()
         return self.number(state)
 
@@ -133,65 +143,75 @@ class Transducer:
         self.stable[a << 32 | b] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        go, ends, inner, stable = self.go, self.ends, self.inner, self.stable
-        moved, ended = [], None
-        for before, node, held in self.sets[state]:
-            node = go.get(node << 8 | byte)
+    def step(self, state: int, byte: int) -> int:
+        go, ends, inner, stable, mask = self.go, self.ends, self.inner, self.stable, self.MASK
+        moved, origins, ended, token = [], [], 0, -1
+        for i, hypothesis in enumerate(self.sets[state], -len(self.sets[state])):  # counted from the end: -1 has just ended a token
+            node = go.get((hypothesis & mask) << 8 | byte)
             if node is None:
                 continue
-            if ended is None:
-                token = ends[node]
-                if token >= 0:
-                    ok = before < 0 or stable.get(before << 32 | token)
-                    if ok is None:
-                        ok = self.is_stable(before, token)
-                    if ok:
-                        ended = (token, 0, (*held, token))
+            if ended == 0 and ends[node] >= 0:
+                before = (hypothesis >> self.NODE) - 1
+                ok = before < 0 or stable.get(before << 32 | ends[node])
+                if ok is None:
+                    ok = self.is_stable(before, ends[node])
+                if ok:
+                    ended, token = i, ends[node]
             if inner[node]:
-                moved.append((before, node, held))
-        if ended is None:
+                moved.append(hypothesis & ~mask | node)
+                origins.append(i)
+        if ended == 0:
             raise ValueError("the ranks don't cover every byte")
-        moved.append(ended)
-        out, fewest = (), moved[0][2]
-        if fewest:  # emit what every hypothesis holds
-            common, longest = 0, ended[2]
-            for i, token in enumerate(fewest):
-                for m in moved:
-                    if m[2][i] != token:
-                        break
-                else:
-                    common = i + 1
-                    continue
-                break
-            if common:
-                out = longest[:common]
-                moved = [(m[0], m[1], m[2][common:]) for m in moved]
-        key = tuple(moved)
-        to = self.ids.get(key)
-        if to is None:
-            to = self.ids[key] = len(self.sets)
-            self.sets.append(key)
-        move = self.moves[state << 8 | byte] = (to, out)
+        moved.append(token + 1 << self.NODE)
+        key = (*origins, ended)
+        at = self.origin_ids.get(key)
+        if at is None:
+            at = self.origin_ids[key] = len(self.origins)
+            self.origins.append(key)
+        move = self.moves[state << 8 | byte] = self.number(tuple(moved)) << 44 | at << 22 | token
         return move
 
+    def backwards(self, history: list[int], hypothesis: int) -> list[int]:
+        """The tokens that end on the way to a hypothesis of the last state, in order."""
+        out, origins, mask = [], self.origins, self.MASK
+        for move in reversed(history):
+            if hypothesis == -1:
+                out.append(move & mask)
+            hypothesis = origins[move >> 22 & mask][hypothesis]
+        out.reverse()
+        return out
+
+    def agreed(self, history: list[int]) -> tuple[int, int]:
+        """(position, hypothesis) up to which all hypotheses of the last state have one history; position 0 if none."""
+        alive = set(range(-len(self.origins[history[-1] >> 22 & self.MASK]), 0))
+        for at in range(len(history), 0, -1):
+            if len(alive) == 1:
+                return at, alive.pop()
+            origins = self.origins[history[at - 1] >> 22 & self.MASK]
+            alive = {origins[h] for h in alive}
+        return 0, 0
+
     def encode(self, match: bytes) -> list[int]:
         whole = self.ranks.get(match)
         if whole is not None:
             return [whole]
-        state, out, moves = self.begin, [], self.moves
-        for b in match:
-            move = moves.get(state << 8 | b)
-            if move is None:
-                if len(self.sets) > MAX_STATES:  # start the tables anew around the state at hand
-                    state = self.restart(self.sets[state])
-                    moves = self.moves
-                move = self.step(state, b)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        out += self.sets[state][-1][2]  # the hypothesis that ends here
-        return out
+        state, find, out, history, settle = self.begin, self.moves.get, [], [], LOOK
+        for part in (match,) if len(match) <= LOOK else [match[i:i + LOOK] for i in range(0, len(match), LOOK)]:
+            for b in part:
+                move = find(state << 8 | b)
+                if move is None:
+                    if len(self.sets) > MAX_STATES:  # start the tables anew around the state at hand
+                        state = self.restart(self.sets[state])
+                        find = self.moves.get
+                    move = self.step(state, b)
+                history.append(move)
+                state = move >> 44
+            if len(history) > settle:
+                at, hypothesis = self.agreed(history)
+                out += self.backwards(history[:at], hypothesis)
+                history = history[at:]
+                settle = LOOK + 2 * len(history)
+        return out + self.backwards(history, -1)
 
 
 class Utf8Stream:
@@ -275,24 +295,44 @@ def codec(table: dict) -> dict:
     return kept
 
 
-def encode_text(kept: dict, text: str) -> list[int]:
-    split = kept["exact"] if kept["rare"].search(text) else kept["fast"]
-    words, old, encode, out = kept["words"], kept["old"], kept["transducer"].encode, []
-    for w in split.findall(text):
-        ids = words.get(w)
+def word_ids(kept: dict, words: list[str]) -> list[bytes]:
+    """The packed ids of each word, from the worker's recent ones or the transducer."""
+    recent, old, encode, out = kept["words"], kept["old"], kept["transducer"].encode, []
+    for w in words:
+        ids = recent.get(w)
         if ids is None:
             ids = old.get(w)
             if ids is None:
-                ids = encode(w.encode("utf-8"))
+                ids = array("i", encode(w.encode("utf-8"))).tobytes()
             if len(w) <= WORD_CHARS:
-                if len(words) >= MAX_WORDS:  # the older half of the kept words goes, unless used again
-                    old = kept["old"] = words
-                    words = kept["words"] = {}
-                words[w] = ids
-        out += ids
+                if len(recent) >= MAX_WORDS:  # the older half of the kept words goes, unless used again
+                    old = kept["old"] = recent
+                    recent = kept["words"] = {}
+                recent[w] = ids
+        out.append(ids)
     return out
 
 
+def encode_texts(kept: dict, texts: list[str | None]) -> pa.ListArray:
+    """The ids of every text."""
+    words, counts = [], [0]
+    for t in texts:
+        t = t or ""
+        found = (kept["exact"] if kept["rare"].search(t) else kept["fast"]).findall(t)
+        words += found
+        counts.append(len(found))
+    coded = pa.array(words, pa.large_string()).dictionary_encode()
+    del words
+    packed = word_ids(kept, coded.dictionary.to_pylist())
+    offsets = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
+    taken = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32))).take(coded.indices)
+    return pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[np.cumsum(counts)].astype(np.int32)), taken.values)
+
+
+def encode_text(kept: dict, text: str) -> list[int]:
+    return encode_texts(kept, [text])[0].as_py()
+
+
 def share(spark: SparkSession, ranks_path: str, pattern: str):
     """Broadcast of the tokenizer's tables: their size is the vocabulary's."""
     exact = letter_classes(pattern)[1]
@@ -319,18 +359,13 @@ def map_texts(df: DataFrame, new: list[T.StructField], make: Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
-def id_lists(lists: list[list[int]]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array([i for x in lists for i in x], dtype=np.int32)))
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with the array<int> column ``ids_col``."""
     shared = share(df.sparkSession, ranks_path, pattern)
 
     def make(part: pa.RecordBatch) -> list[pa.Array]:
         kept = codec(shared.value)
-        return [id_lists([encode_text(kept, t or "") for t in part.column(part.schema.get_field_index(text_col)).to_pylist()])]
+        return [encode_texts(kept, part.column(part.schema.get_field_index(text_col)).to_pylist())]
 
     return map_texts(df, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], make)
 
@@ -352,8 +387,9 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
 
     def make(part: pa.RecordBatch) -> list[pa.Array]:
         kept = codec(shared.value)
-        lists = [encode_text(kept, t or "") for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
-        return [id_lists(lists), pa.array([kept["decoder"].decode(x) for x in lists], pa.string())]
+        ids = encode_texts(kept, part.column(part.schema.get_field_index(text_col)).to_pylist())
+        flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()
+        return [ids, pa.array([kept["decoder"].decode(flat[i:j].tolist()) for i, j in zip(at[:-1], at[1:])], pa.string())]
 
     new = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())]
     out = map_texts(df, new, make)
