@@ -2,13 +2,10 @@
 that is written as Parquet and reread as the next one's docs. All but the last return the columns of documents."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm.common import read_table
+from ragloom.llm.common import read_table, stored
 from ragloom.llm.stages import mix_sources, near_dedup, pii_masking, quality_rules, tokenise
-from ragloom.session import checkpoint_base
 
 STAGES = [
     ("quality_rules", quality_rules),
@@ -24,12 +21,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents. Each stage's rows are written under the shared checkpoint folder and reread, so
-    that a lost executor costs at most one stage."""
-    base = f"{checkpoint_base(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    that a lost executor costs at most one stage; the folders go when the driver's JVM ends."""
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
+            docs = stored(docs, f"corpus-pipeline-{k}-{name}")
     return docs
