@@ -22,11 +22,12 @@ def op7_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelled_runs(line_dedup.removed_runs(read_table(spark, sf_dir, "documents")))
+    return line_dedup.report(read_table(spark, sf_dir, "documents"))
 
 
-def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelled_runs(line_dedup.removed_runs(read_table(spark, sf_dir, "documents"), below_lines=True, short_lines=True))
+def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 by whole lines only, a row per removed run: what SQL can express of it."""
+    return spelled_runs(line_dedup.removed_runs(read_table(spark, sf_dir, "documents")))
 
 
 def spelled_runs(runs: DataFrame) -> DataFrame:
@@ -59,6 +60,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
 
 
 def bpe_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded bytes, a row per row. Null and empty texts have no tokens (the digests of nothing); repeated rows,
+    null ids and texts of any length are rows like any other; an empty table gives an empty result; other columns aren't read."""
     import public_tokenizers
 
     coded = bpe.round_trip(docs.select("doc_id", "text"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -80,5 +83,5 @@ def op13_posting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posting_search.report(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op11_angular_negatives": op11_angular_negatives, "op13_posting_search": op13_posting_search, "op12_token_alignment": op12_token_alignment, "op6_html_main_text": op6_html_main_text, "op3_toxicity_ftrl": op3_toxicity_ftrl, "op5_quality_embeddings": op5_quality_embeddings, "op7_prefix_fingerprints": op7_prefix_fingerprints, "op9_line_dedup": op9_line_dedup, "op9_passage_dedup": op9_passage_dedup, "op1_mix_sources": op1_mix_sources, "op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
-ORACLE = {"op11_angular_negatives": angular_negatives.SQL, "op9_line_dedup": line_dedup.SQL, "op8_host_quality_rules": host_rules.SQL}
+QUERIES = {"op11_angular_negatives": op11_angular_negatives, "op13_posting_search": op13_posting_search, "op12_token_alignment": op12_token_alignment, "op6_html_main_text": op6_html_main_text, "op3_toxicity_ftrl": op3_toxicity_ftrl, "op5_quality_embeddings": op5_quality_embeddings, "op7_prefix_fingerprints": op7_prefix_fingerprints, "op9_line_dedup": op9_line_dedup, "line_runs": line_runs, "op1_mix_sources": op1_mix_sources, "op2_byte_bpe": op2_byte_bpe, "op10_bootstrapped_pii": op10_bootstrapped_pii, "op8_host_quality_rules": op8_host_quality_rules, "op4_simhash_near_dedup": op4_simhash_near_dedup}
+ORACLE = {"op11_angular_negatives": angular_negatives.SQL, "line_runs": line_dedup.SQL, "op8_host_quality_rules": host_rules.SQL}

@@ -1,4 +1,9 @@
-"""Stages of the corpus pipeline: each applies one operator and lets its decisions take effect."""
+"""Stages of the corpus pipeline: each applies one operator and lets its decisions take effect.
+
+Defined cases, for every stage: an empty table gives an empty result; null and empty texts and nulls in any other column are rows like any
+other (a text without words fails the quality rules, and has nothing to mask, mix or encode); texts of any length are processed whole; repeated
+rows are judged, masked and encoded each, and are copies of one another for near-dedup; columns beyond those of ``documents`` are carried along,
+whatever their names, up to the last stage, which returns the columns of the BPE query."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession

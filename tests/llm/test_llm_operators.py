@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from conftest import SF0001
-from ragloom.llm import bpe, fingerprints, host_rules, html_crf, line_dedup, mixing, pii, quality_embed, queries, simhash, stages, toxicity
+from ragloom.llm import bpe, common, fingerprints, host_rules, html_crf, line_dedup, mixing, pii, quality_embed, queries, simhash, stages, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, rank string, size string, fp string, id string, h int, score double, kind string"
@@ -63,6 +63,17 @@ ON_DOCS = {
 }
 
 
+def test_whole_pipeline_on_edge_rows_and_no_rows(spark, edge, empty):
+    for table in (edge, empty):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.stored(stage(spark, docs, ""), "test-stage")
+            assert docs.columns == table.columns, name
+        coded = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert len(coded) == docs.count() and all(len(r.ids_sha256) == 64 for r in coded)
+        assert (len(coded) > 0) == (table is edge)
+
+
 @pytest.mark.parametrize("name", sorted(ON_DOCS))
 def test_defined_cases(edge, empty, name):
     n = edge.count()
