@@ -1,7 +1,7 @@
 """Substring dedup by line hashing.
 
-Units are the lines that hold a word, normalised (lower case, runs of white space as one space, trimmed) and hashed to
-128 bits. Digests are grouped globally: the occurrence with the smallest rank (id, then row, then line) is kept, every
+Units are the lines that hold a word, normalised (lower case, runs of white space as one space, trimmed) and hashed; 96 bits are
+compared. Digests are grouped globally: the occurrence with the smallest rank (id, then row, then line) is kept, every
 other one is repeated. Runs of adjacent repeated units within a document go if they have ``MIN_WORDS`` words together:
 short lines are removed only as part of a longer repeated passage, since they also recur by chance. Removed runs keep
 their original offsets in code points.
@@ -12,9 +12,11 @@ before ``LEAST`` words, and at the latest after ``MOST``. Cuts depend on the wor
 alike from their first common cut on; up to a unit at either end of a passage can stay. Runs cross line ends. With
 ``short_lines`` a run goes as well if one of its units is a whole line, however short.
 
-A digest's smallest rank and count are combined before the shuffle, so a line that a third of all documents share costs
-one row a task. Occurrences are joined to the repeated digests: those with over a thousandth of all repeated lines (at most a
-thousand) by broadcast, the rest by digest. Runs are cut within a document. Units are stored as arrays, a row a document.
+Units are stored as arrays, a row a document. Their occurrences are shuffled once by digest and sorted by rank, and a pass over the
+sorted stream gives every one but the first of its digest. Digests with over a thousandth of all units (at most a thousand) don't go
+that way: a count of units by a few bits of the digest narrows them down, their first occurrence is combined before the
+shuffle, and they are joined by broadcast, so a line that a third of all documents share isn't dealt to one task. Runs are
+cut within a document.
 
 Defined cases: null and empty texts have no units; null ids rank last; repeated rows are told apart by their place in
 the stored table of units, so exactly one keeps its lines; an empty table gives an empty result; columns other than id
@@ -28,12 +30,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragloom.llm.common import checkpoint, join_classes
+from ragloom.llm.common import HOT_SHARE, checkpoint, stored
 
 MIN_WORDS = 10
+#: buckets of digests for the search of very common ones
+HOT_BUCKETS = 1 << 14
 
 
 #: of units below the line: fewest and most words, and the mean number of words that a cut is waited for after the fewest
@@ -71,42 +76,98 @@ def lines_of(line: str, cuts: dict[str, bool]) -> Iterator[tuple[int, int, list[
         yield 0, len(line), words
 
 
+UNITS = "row long, id {id}, row_key long, start array<int>, stop array<int>, words array<int>, whole array<boolean>, d1 array<long>, d2 array<long>"
+
+
 def units_of(cut_line: Callable) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Arrow map from (row, id, row_key, text) to the columns of UNITS, texts without a unit left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         cuts: dict[str, bool] = {}
         for b in batches:
-            out = []
-            for row, i, key, text in zip(b["row"], b["id"], b["row_key"], b["text"]):
-                start, units, digests = 0, [], []
+            at, counts, units, digests = [], [0], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                start, before = 0, len(units)
                 for line in (text or "").split("\n"):
                     found = list(cut_line(line, cuts))
                     for s, e, words in found:
                         units.append((start + s, start + e, len(words), len(found) == 1))
                         digests.append(xxhash.xxh128_digest(" ".join(words).encode("utf-8")))
                     start += len(line) + 1
-                if units:
-                    out.append((row, i, key, *np.array(units, dtype=np.int32).T[:3].copy(), np.array([u[3] for u in units]), *np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2).T.copy()))
-            yield pd.DataFrame(out, columns=["row", "id", "row_key", "start", "stop", "words", "whole", "d1", "d2"]).astype({"id": "Int64"})
+                if len(units) > before:
+                    at.append(i)
+                    counts.append(len(units))
+            offsets, numbers = pa.array(counts, pa.int32()), np.array(units, np.int32).reshape(-1, 4)
+            halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            lists = [pa.array(numbers[:, 0]), pa.array(numbers[:, 1]), pa.array(numbers[:, 2]), pa.array(numbers[:, 3].astype(bool)), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+            kept = [b.column(c).take(pa.array(at, pa.int64())) for c in ("row", "id", "row_key")]  # ids stay Arrow columns
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.ListArray.from_arrays(offsets, x) for x in lists)],
+                                             ["row", "id", "row_key", "start", "stop", "words", "whole", "d1", "d2"])
     return run
 
 
+def not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by digest, then rank: all but the first of each digest, with the first one's id."""
+    last, first_id = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        d1, rest, ids = b.column("d1").to_numpy(), b.column("rest").to_numpy(), b.column("id")
+        d2 = rest >> 32
+        new = np.ones(b.num_rows, bool)
+        new[1:] = (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+        new[0] = last != (d1[0], d2[0])
+        opened = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), -1))  # -1: in an earlier batch
+        known = pa.concat_arrays([first_id if first_id is not None else ids.slice(0, 1), ids])
+        firsts = known.take(pa.array(opened + 1))
+        later = pa.array(np.flatnonzero(~new))
+        unit = pa.array((rest & 0xFFFFFFFF).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column("row").take(later), unit.take(later), firsts.take(later)], ["row", "unit", "first_id"])
+        last, first_id = (d1[-1], d2[-1]), firsts.slice(b.num_rows - 1, 1)
+
+
+def later_occurrences(docs: DataFrame) -> DataFrame:
+    """(row, unit, first_id) of every unit whose digest stands at a smaller rank as well. What is shuffled of a unit is 96 bits of its digest
+    (``d1``, and the upper half of ``rest``), its number (the lower half), row and id."""
+    bucket = lambda d: d.bitwiseAND(F.lit(HOT_BUCKETS - 1))
+    sizes = docs.select(F.explode("d1").alias("d1")).groupBy(bucket(F.col("d1")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["b"]: r["n"] for r in sizes.collect()}  # HOT_BUCKETS rows at most
+    limit = max(sum(counts.values()) // HOT_SHARE, 1)
+    rest = F.transform("d2", lambda d, i: F.shiftleft(d, 32).bitwiseOR(i.cast("long")))
+    units = docs.select("row", "id", F.explode(F.arrays_zip("d1", rest.alias("rest"))).alias("u")).select("u.d1", "u.rest", "row", "id")
+    digest = [F.col("d1"), F.shiftright("rest", 32).alias("d2")]
+    suspects = [b for b, n in counts.items() if n > limit]  # under HOT_SHARE
+    common = None
+    if suspects:
+        rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "rest")
+        first = units.filter(bucket(F.col("d1")).isin(suspects)).groupBy(*digest).agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
+        first = checkpoint(first.filter(F.col("n") > limit).drop("n"))  # under HOT_SHARE rows
+        own = units.withColumn("d2", digest[1])
+        common = own.join(F.broadcast(first), ["d1", "d2"]).filter((F.col("first.row") != F.col("row")) | (F.col("first.rest") != F.col("rest")))
+        common = common.select("row", F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("unit"), F.col("first.id").alias("first_id"))
+        units = own.join(F.broadcast(first.select("d1", "d2")), ["d1", "d2"], "left_anti").drop("d2")
+    dealt = units.repartition(F.col("d1")).sortWithinPartitions("d1", F.shiftright("rest", 32), F.col("id").asc_nulls_last(), "row", "rest")
+    kind = docs.schema["id"].dataType.simpleString()
+    found = dealt.mapInArrow(not_first, f"row long, unit int, first_id {kind}")
+    return found if common is None else found.unionByName(common)
+
+
 def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, below_lines: bool = False, short_lines: bool = False) -> DataFrame:
     """One row per removed run: id, row_key (hash of the text), row, start, stop (code points, end exclusive), n_units,
     n_words and kept_in (ids of the documents whose occurrences are kept)."""
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text"))
-    docs = checkpoint(rows.mapInPandas(units_of(pieces_of if below_lines else lines_of),
-                                       "row long, id long, row_key long, start array<int>, stop array<int>, words array<int>, whole array<boolean>, d1 array<long>, d2 array<long>"))
-    units = docs.select("row", "id", F.posexplode(F.arrays_zip("start", "stop", "words", "whole", "d1", "d2")).alias("unit", "u")).select("row", "id", "unit", "u.*")
-    rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("unit").alias("unit"))
-    first = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    repeated = join_classes(units.drop("id"), checkpoint(first), ["d1", "d2"], "n").filter((F.col("first.row") != F.col("row")) | (F.col("first.unit") != F.col("unit")))
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text"))
+    docs = stored(rows.mapInArrow(units_of(pieces_of if below_lines else lines_of), UNITS.format(id=dict(df.dtypes)[id_col])), "units")
+    places = later_occurrences(docs).groupBy("row").agg(F.collect_list(F.struct("unit", "first_id")).alias("hits"))  # a document's own units
+    at = lambda c, u: F.get(F.col(c), u)
+    whole = F.transform("hits", lambda h: F.struct(h["unit"].alias("unit"), h["first_id"].alias("first_id"), *[at(c, h["unit"]).alias(c) for c in ("start", "stop", "words", "whole")]))
+    repeated = places.join(docs.select("row", "start", "stop", "words", "whole"), "row").select("row", F.explode(whole).alias("h")).select("row", "h.*")
     of_row = Window.partitionBy("row").orderBy("unit")
     runs = repeated.withColumn("run", F.col("unit") - F.row_number().over(of_row))  # the same for adjacent units
     runs = runs.groupBy("row", "run").agg(
         F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.count(F.lit(1)).alias("n_units"),
-        F.sum("words").alias("n_words"), F.array_sort(F.collect_set("first.id")).alias("kept_in"),
+        F.sum("words").alias("n_words"), F.array_sort(F.collect_set("first_id")).alias("kept_in"),
         F.max("whole").alias("whole")).filter((F.col("n_words") >= min_words) | (F.col("whole") & F.lit(short_lines)))
     return (runs.join(docs.select("row", "id", "row_key"), "row")
             .select(F.col("id").alias(id_col), "row_key", "row", "start", "stop", "n_units", "n_words", "kept_in"))
@@ -121,20 +182,40 @@ def without(text: str, runs: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, below_lines: bool = False, short_lines: bool = False) -> DataFrame:
-    """``df`` with repeated runs cut from ``text_col``. Equal rows are paired with their runs in order."""
+def with_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, below_lines: bool = False, short_lines: bool = False) -> DataFrame:
+    """``df`` with ``_ld_runs``: the (start, stop) of its removed runs in order, null if there are none. Equal rows are paired with their
+    runs in order."""
     runs = removed_runs(df, id_col, text_col, min_words, below_lines, short_lines)
-    per_row = runs.groupBy("row").agg(F.first(id_col).alias("_ld_id"), F.first("row_key").alias("_ld_key"), F.collect_list(F.struct("start", "stop")).alias("_ld_runs"))
+    per_row = runs.groupBy("row").agg(F.first(id_col).alias("_ld_id"), F.first("row_key").alias("_ld_key"), F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_ld_runs"))
     # of equal rows the later ones lose more, so the n-th by removed length belongs to the n-th of the equal rows
     per_row = checkpoint(per_row.withColumn("_ld_nth", F.row_number().over(Window.partitionBy("_ld_id", "_ld_key").orderBy(F.size("_ld_runs").desc(), "row"))).drop("row"))
-    own = df.withColumn("_ld_own", F.xxhash64(text_col)).withColumn("_ld_n", F.row_number().over(Window.partitionBy(id_col, "_ld_own").orderBy(F.lit(0))))
-    joined = own.join(per_row, (F.col("_ld_own") == F.col("_ld_key")) & F.col(id_col).eqNullSafe(F.col("_ld_id")) & (F.col("_ld_n") == F.col("_ld_nth")), "left")
+    # texts are shuffled once, by their hash: the numbering and the join both find them there (the rest of the condition is no join key)
+    own = df.withColumn("_ld_own", F.xxhash64(text_col)).repartition(F.col("_ld_own"))
+    own = own.withColumn("_ld_n", F.row_number().over(Window.partitionBy(id_col, "_ld_own").orderBy(F.lit(0))))
+    same_id = F.coalesce(F.col(id_col) == F.col("_ld_id"), F.col(id_col).isNull() & F.col("_ld_id").isNull())
+    joined = own.join(per_row, (F.col("_ld_own") == F.col("_ld_key")) & same_id & (F.col("_ld_n") - F.col("_ld_nth") == 0), "left")
+    return joined.select(*df.columns, "_ld_runs")
+
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or x is None or not len(x) else without(t, [(r["start"], r["stop"]) for r in x]) for t, x in zip(texts, runs)], dtype=object)
+def cut_texts(texts: pd.Series, runs: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or x is None or not len(x) else without(t, [(r["start"], r["stop"]) for r in x]) for t, x in zip(texts, runs)], dtype=object)
 
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("_ld_runs"))).select(*df.columns)
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, below_lines: bool = False, short_lines: bool = False) -> DataFrame:
+    """``df`` with repeated runs cut from ``text_col``."""
+    cut = F.pandas_udf(cut_texts, "string")
+    return with_runs(df, id_col, text_col, min_words, below_lines, short_lines).withColumn(text_col, cut(F.col(text_col), F.col("_ld_runs"))).select(*df.columns)
+
+
+def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``df``: id, what is left of the text, its n_chars, whether any word is left (``kept``; a text without a word is
+    kept as it is), and the removed runs as start:stop, comma-joined, in code points of the original."""
+    cut = F.pandas_udf(cut_texts, "string")
+    rows = with_runs(df.select(id_col, text_col), id_col, text_col, below_lines=True, short_lines=True)
+    spelled = F.array_join(F.transform("_ld_runs", lambda r: F.concat_ws(":", r.getField("start").cast("string"), r.getField("stop").cast("string"))), ",")
+    left = rows.withColumn("_left", cut(F.col(text_col), F.col("_ld_runs")))
+    return left.select(id_col, F.col("_left").alias("text"), F.length("_left").cast("long").alias("n_chars"),
+                       (F.col("_ld_runs").isNull() | F.coalesce(F.col("_left").rlike(r"\S"), F.lit(False))).alias("kept"), F.coalesce(spelled, F.lit("")).alias("removed"))
 
 
 #: The removed runs of documents as DuckDB SQL (ids are distinct there).
