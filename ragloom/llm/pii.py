@@ -84,7 +84,7 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), by kind as listed, then start; code points, end exclusive."""
     out = [(0, s, e) for s, e in emails(text)]
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m.group().split(".")))]
     for m in CARD.finditer(text):
         digits = NOT_DIGIT.sub("", m.group())
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -249,7 +249,10 @@ def spelled(spans) -> F.Column:
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, base counts by kind, digest of the base spans, all spans spelled out."""
     found = find(df, id_col, text_col)
-    counts = [F.size(F.filter("base", lambda x, k=k: x.getField("kind") == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    def of_kind(k: int):  # not a default argument of the lambda: a second parameter is the element's index
+        return F.filter("base", lambda x: x.getField("kind") == k)
+
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(id_col, *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
                         spelled(F.array_union("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
