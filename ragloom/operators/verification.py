@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.functions.text import WORD_BOUNDARY, col_, normalize_digits, strip, verify_sentences
+from ragloom.functions.text import WORD_BOUNDARY, WORD_CHAR, col_, normalize_digits, verify_sentences
 
 # Claim and tag patterns, and the flag reasons.
-CLAIM_PATTERN = WORD_BOUNDARY + r"[0-9]+(?:\.[0-9]+)?%?" + WORD_BOUNDARY
+# A number begins at a word boundary where no word character is before its first digit; the digit is looked for first.
+CLAIM_PATTERN = r"(?=[0-9])(?<!" + WORD_CHAR + r")[0-9]+(?:\.[0-9]+)?%?" + WORD_BOUNDARY
 TAG_PATTERN = r"(?U)\[(\d+)\]"
 GROUP_PATTERN = r"(?U)\[(\d[\d,\s]*)\]"
 REASON_NO_CHUNK = "citation index [%s] has no matching retrieved chunk"
@@ -47,7 +48,7 @@ POINT = "\uE000"
 
 def claim_rows(answers: DataFrame, q_key: str, text_col: str, decimals: bool = False, grouped_tags: bool = False) -> DataFrame:
     """(q_key, sent_no, sentence, tags, claims) for sentences with at least one claim."""
-    text = strip(text_col)
+    text = F.col(text_col)
     if decimals:
         text = F.regexp_replace(text, "(?<=[0-9\u0966-\u096F])\\.(?=[0-9\u0966-\u096F])", POINT)
     s = answers.select(q_key, F.posexplode(verify_sentences(text)).alias("sent_no", "sentence"))
@@ -55,38 +56,37 @@ def claim_rows(answers: DataFrame, q_key: str, text_col: str, decimals: bool = F
         s = s.withColumn("sentence", F.replace(F.col("sentence"), F.lit(POINT), F.lit(".")))
     # claims and tags need a digit: a cheap test first, the boundary regexes only where it passes
     s = s.where(F.col("sentence").rlike("[0-9\u0966-\u096F]"))
-    s = s.select(q_key, "sent_no", "sentence", sentence_tags("sentence", grouped_tags).alias("tags"),
-                 numeric_claims("sentence", decimals, grouped_tags).alias("claims"))
-    return s.where(F.size("claims") > 0)
+    # as rows of a generator they are evaluated once, however often they are read later on
+    found = F.struct(sentence_tags("sentence", grouped_tags).alias("tags"), numeric_claims("sentence", decimals, grouped_tags).alias("claims"))
+    return s.select(q_key, "sent_no", "sentence", F.inline(F.array(found))).where(F.size("claims") > 0)
 
 
 def flagged_claims(answers: DataFrame, q_key: str, text_col: str, hits: DataFrame, rank_col: str = "rank",
                    hit_text: str = "text", chunk_id_col: str = "chunk_id", **claim_options) -> DataFrame:
     """(q_key, sent_no, claim, citation_index, chunk_id, reason) - one row per flag.
 
-    A question's k hits are gathered beside its claims by one join on the question; the comparisons are array
-    expressions inside the row."""
-    c = claim_rows(answers, q_key, text_col, **claim_options)
+    Answers are dealt by question, so the regexes run in as many tasks as the shuffle has, however small the answers' file is. A
+    question's k hits are gathered beside its claims by one join on the question; the comparisons are array expressions inside
+    the row, and one generator gives the flags of cited and uncited claims."""
+    c = claim_rows(answers.select(q_key, text_col).repartition(q_key), q_key, text_col, **claim_options)
     h = hits.select(q_key, F.struct(F.col(rank_col).cast("long").alias("i"), F.col(chunk_id_col).alias("c"), normalize_digits(hit_text).alias("t")).alias("_h"))
     h = h.groupBy(q_key).agg(F.collect_list("_h").alias("_hits"))  # k entries
     j = c.join(h, q_key, "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(h.schema["_hits"].dataType)))
 
-    cited = j.where(F.size("tags") > 0).select(q_key, "sent_no", F.explode("claims").alias("claim"), "tags", "_hits")
-    cited = cited.select(q_key, "sent_no", "claim", F.explode("tags").alias("citation_index"), "_hits")
-    cited = cited.withColumn("_of", F.filter("_hits", lambda x: x["i"] == F.col("citation_index")))
-    cited = cited.select(q_key, "sent_no", "claim", "citation_index", F.explode_outer("_of").alias("_x"))
-    idx_s = F.col("citation_index").cast("string")
-    cited_flags = cited.where(F.col("_x.t").isNull() | ~F.contains(F.col("_x.t"), F.col("claim"))).select(
-        q_key, "sent_no", "claim", "citation_index", F.col("_x.c").alias("chunk_id"),
-        F.when(F.col("_x.t").isNull(), F.format_string(REASON_NO_CHUNK, idx_s))
-        .otherwise(F.format_string(REASON_NOT_IN_CITED, F.col("claim"), idx_s, F.col("_x.c"))).alias("reason"))
-
-    unc = j.where(F.size("tags") == 0).select(q_key, "sent_no", F.explode("claims").alias("claim"), "_hits")
-    found = unc.where(~F.exists("_hits", lambda x: F.coalesce(F.contains(x["t"], F.col("claim")), F.lit(False))))
-    unc_flags = found.select(
-        q_key, "sent_no", "claim", F.lit(None).cast("long").alias("citation_index"), F.lit(None).cast("string").alias("chunk_id"),
-        F.format_string(REASON_NOT_IN_ANY, F.col("claim")).alias("reason"))
-    return cited_flags.unionByName(unc_flags)
+    def flag(claim, index, chunk, reason) -> Column:
+        return F.struct(claim.alias("claim"), index.cast("long").alias("citation_index"), chunk.cast("string").alias("chunk_id"), reason.alias("reason"))
+
+    def against_cited(claim, tag) -> Column:
+        idx_s, of = tag.cast("string"), F.filter("_hits", lambda x: x["i"] == tag)
+        wrong = F.filter(of, lambda x: x["t"].isNull() | ~F.contains(x["t"], claim))
+        no_chunk = F.format_string(REASON_NO_CHUNK, idx_s)
+        return F.when(F.size(of) == 0, F.array(flag(claim, tag, F.lit(None), no_chunk))).otherwise(F.transform(wrong, lambda x: flag(
+            claim, tag, x["c"], F.when(x["t"].isNull(), no_chunk).otherwise(F.format_string(REASON_NOT_IN_CITED, claim, idx_s, x["c"])))))
+
+    cited = F.flatten(F.transform("claims", lambda claim: F.flatten(F.transform("tags", lambda tag: against_cited(claim, tag)))))
+    missed = F.filter("claims", lambda claim: ~F.exists("_hits", lambda x: F.coalesce(F.contains(x["t"], claim), F.lit(False))))
+    uncited = F.transform(missed, lambda claim: flag(claim, F.lit(None), F.lit(None), F.format_string(REASON_NOT_IN_ANY, claim)))
+    return j.select(q_key, "sent_no", F.inline(F.when(F.size("tags") > 0, cited).otherwise(uncited)))
 
 
 def verify_answers(answers: DataFrame, q_key: str, text_col: str, hits: DataFrame, **kw) -> DataFrame:
