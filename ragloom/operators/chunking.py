@@ -2,8 +2,8 @@
 
 Fixed chunking is narrow: each text row is cut in place with array expressions, no shuffle.
 Semantic chunking is narrow as well: a task counts each sentence's terms and compares neighbours, and
-array expressions cut the chunks inside the row. The relational form (sentence rows, aggregations, one
-window per text) serves injected embedders and as the plain-SQL formulation.
+array expressions cut the chunks inside the row. The relational form (sentence rows, numbered by a scan
+over pieces of a text) serves injected embedders and texts of any length.
 
 * fixed:      overlapping word windows (``window`` words, step ``max(1, int(window*(1-overlap)))``)
 * semantic:   sentences grouped while the similarity of neighbours stays >= threshold, at most
@@ -13,12 +13,14 @@ window per text) serves injected embedders and as the plain-SQL formulation.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ragloom.functions.text import chunk_sentences, col_, strip, terms, tokens
-from ragloom.operators.common import checkpoint, chunk_id_col, in_slices
+from ragloom.operators.common import bounded_broadcast, checkpoint, chunk_id_col, in_slices
 
 
 def flatten_passages(passages) -> Column:
@@ -51,40 +53,26 @@ def chunk_fixed(df: DataFrame, text_col: str, key_cols: list[str], window: int =
 def sentence_similarity(df: DataFrame, text_col: str, key_cols: list[str], embed=None) -> DataFrame:
     """Sentences of each text with ``sim`` = similarity to the previous sentence (null for the first).
 
-    Default: cosine of term-count vectors, computed relationally. Every term occurrence is emitted for
-    its own sentence (``a``) and for the next one (``b``); one aggregation on (key, pos, term) yields both
-    counts, a second on (key, pos) yields dot and both norms. No self-join, no per-row lambdas.
+    Default: cosine of term-count vectors, counted where the text is split, so no term is ever shuffled.
     ``embed`` (optional) maps a sentence column to a unit vector column (e.g. an iterator pandas_udf that
     loads its model once per worker); then sim = dot(v, lag(v)).
     """
     from ragloom.functions.vectors import dot
 
+    if embed is None:
+        s = with_sentence_sims(df, text_col, key_cols)
+        z = F.arrays_zip(F.col("_sents").alias("sentence"), F.col("_sims").alias("sim"))
+        return s.select(*key_cols, F.posexplode(z).alias("pos", "_z")).select(
+            *key_cols, "pos", F.col("_z.sentence").alias("sentence"), F.col("_z.sim").alias("sim"))
+    from ragloom.operators.common import cached
+
+    # vectors once (cached), previous sentence by an equi-join on (key, pos - 1): no window per text
     s = sentences(df, text_col, key_cols)
-    if embed is not None:
-        from ragloom.operators.common import cached
-
-        # vectors once (cached), previous sentence by an equi-join on (key, pos - 1): no window per text
-        v = cached(s.withColumn("_v", embed(F.col("sentence"))))
-        prev = v.select(*key_cols, (F.col("pos") + 1).alias("pos"), F.col("_v").alias("_pv"))
-        j = v.join(prev, [*key_cols, "pos"], "left")
-        return j.select(*key_cols, "pos", "sentence", F.when(F.col("pos") == 0, F.lit(None).cast("double"))
-                        .otherwise(dot("_v", "_pv")).alias("sim"))
-    tr = s.select(*key_cols, "pos", F.explode(terms("sentence")).alias("term"))
-    # one generator emits both copies of an occurrence (no union, so the text is read and split once)
-    two = F.array(F.struct(F.col("pos").alias("p"), F.lit(1).alias("a"), F.lit(0).alias("b")),
-                  F.struct((F.col("pos") + 1).alias("p"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    both = tr.select(*key_cols, "term", F.explode(two).alias("_x")).select(
-        *key_cols, F.col("_x.p").alias("pos"), "term", F.col("_x.a").alias("_a"), F.col("_x.b").alias("_b"))
-    g = both.groupBy(*key_cols, "pos", "term").agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
-    sims = g.groupBy(*key_cols, "pos").agg(
-        F.sum(F.col("a") * F.col("b")).alias("_dot"), F.sum(F.col("a") * F.col("a")).alias("_na"),
-        F.sum(F.col("b") * F.col("b")).alias("_nb"))
-    j = s.join(sims, [*key_cols, "pos"], "left")
-    sim = (F.when(F.col("pos") == 0, F.lit(None).cast("double"))
-           .when((F.col("_na") > 0) & (F.col("_nb") > 0),
-                 F.col("_dot").cast("double") / (F.sqrt(F.col("_na").cast("double")) * F.sqrt(F.col("_nb").cast("double"))))
-           .otherwise(F.lit(0.0)))
-    return j.select(*key_cols, "pos", "sentence", sim.alias("sim"))
+    v = cached(s.withColumn("_v", embed(F.col("sentence"))))
+    prev = v.select(*key_cols, (F.col("pos") + 1).alias("pos"), F.col("_v").alias("_pv"))
+    j = v.join(prev, [*key_cols, "pos"], "left")
+    return j.select(*key_cols, "pos", "sentence", F.when(F.col("pos") == 0, F.lit(None).cast("double"))
+                    .otherwise(dot("_v", "_pv")).alias("sim"))
 
 
 def _adjacent_cosines(it):
@@ -144,14 +132,8 @@ def with_sentence_sims(df: DataFrame, text_col: str, key_cols: list[str]) -> Dat
 
 def semantic_boundaries(df: DataFrame, text_col: str, key_cols: list[str], threshold: float = 0.55,
                         embed=None, method: str = "arrays") -> DataFrame:
-    """(key..., pos, sentence, sim, is_boundary) for every sentence."""
-    if embed is None and method == "arrays":
-        s = with_sentence_sims(df, text_col, key_cols)
-        z = F.arrays_zip(F.col("_sents").alias("sentence"), F.col("_sims").alias("sim"))
-        s = s.select(*key_cols, F.posexplode(z).alias("pos", "_z")).select(
-            *key_cols, "pos", F.col("_z.sentence").alias("sentence"), F.col("_z.sim").alias("sim"))
-    else:
-        s = sentence_similarity(df, text_col, key_cols, embed)
+    """(key..., pos, sentence, sim, is_boundary) for every sentence. Both methods of ``chunk_semantic`` read these rows' similarity."""
+    s = sentence_similarity(df, text_col, key_cols, embed)
     return s.withColumn("is_boundary", (F.col("pos") == 0) | (F.col("sim") < F.lit(threshold)))
 
 
@@ -162,7 +144,7 @@ def chunk_semantic(df: DataFrame, text_col: str, key_cols: list[str], threshold:
 
     method="arrays" (default): per text row, no shuffle - similarities from ``with_sentence_sims``, then
     run starts and chunk pieces as array expressions over the row's own sentences.
-    method="relational" (and any injected embedder): sentence rows and aggregations; chunks are numbered by a scan over pieces of
+    method="relational" (and any injected embedder): sentence rows; chunks are numbered by a scan over pieces of
     SCAN_PIECE sentences (see ``_numbered``), so a huge text spans many tasks."""
     if embed is None and method == "arrays":
         s = with_sentence_sims(df, text_col, key_cols)
@@ -179,7 +161,7 @@ def chunk_semantic(df: DataFrame, text_col: str, key_cols: list[str], threshold:
         e = s.select(*key_cols, pieces.alias("_pieces")).select(*key_cols, F.posexplode("_pieces").alias("position", "_p"))
         return e.select(*key_cols, "position", F.col("_p.text").alias("text"), F.col("_p.n").alias("n_sentences"),
                         F.lit("semantic").alias("strategy"))
-    b = _numbered(semantic_boundaries(df, text_col, key_cols, threshold, embed, method="relational"), key_cols, max_sentences)
+    b = _numbered(semantic_boundaries(df, text_col, key_cols, threshold, embed), key_cols, max_sentences)
     g = b.groupBy(*key_cols, "position").agg(
         F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("_s"))  # at most max_sentences
     return g.select(
@@ -206,19 +188,27 @@ def _numbered(b: DataFrame, key_cols: list[str], max_sentences: int, piece: int
     before = W.partitionBy(*key_cols).orderBy("_pc").rowsBetween(W.unboundedPreceding, -1)
     start = F.when(F.col("is_boundary"), F.col("pos"))
 
+    def met(df: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
+        """``df`` beside a side that is small unless most texts are huge (then both are shuffled); null keys meet null keys."""
+        few, _ = bounded_broadcast(few.select(*[F.col(c).alias(f"_k_{c}") if c in on else F.col(c) for c in few.columns]))
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in on])
+        return df.join(few, same, how).drop(*[f"_k_{c}" for c in on])
+
     def carried(df: DataFrame, reduced, combine, name: str) -> DataFrame:
-        """``df`` with ``name``: the pieces before its own, combined."""
+        """(key..., _pc, ``name``): the pieces before each piece, combined."""
         own = df.groupBy(*key_cols, "_pc").agg(reduced.alias("_r")).withColumn(name, combine("_r").over(before))
-        own = own.select(*[F.col(c).alias(f"_k_{c}") for c in key_cols], F.col("_pc").alias("_k_pc"), name)
-        same = F.col("_pc") == F.col("_k_pc")
-        for c in key_cols:
-            same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-        return df.join(own, same).drop("_k_pc", *[f"_k_{c}" for c in key_cols])
-
-    b = carried(b, F.max(start), F.max, "_open")
-    b = b.withColumn("_run", F.coalesce(F.max(start).over(inside), F.col("_open")))
-    b = b.withColumn("_cs", F.when((F.col("pos") - F.col("_run")) % F.lit(max_sentences) == 0, 1).otherwise(0))
-    b = carried(b, F.sum("_cs"), F.sum, "_done")
+        return own.where(F.col("_pc") > 0).select(*key_cols, "_pc", name)
+
+    def started(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_run", F.coalesce(F.max(start).over(inside), F.col("_open")))
+        return df.withColumn("_cs", F.when((F.col("pos") - F.col("_run")) % F.lit(max_sentences) == 0, 1).otherwise(0))
+
+    # nothing is carried into a text's first piece, so only the texts of several pieces are reduced
+    piece_keys = [*key_cols, "_pc"]
+    several = met(b.select(*piece_keys, "pos", "is_boundary"), b.where(F.col("_pc") > 0).select(*key_cols).distinct(), key_cols, "left_semi")
+    opened = carried(several, F.max(start), F.max, "_open")
+    done = carried(started(met(several, opened, piece_keys, "left")), F.sum("_cs"), F.sum, "_done")
+    b = started(met(met(b, opened, piece_keys, "left"), done, piece_keys, "left"))
     return b.withColumn("position", F.coalesce("_done", F.lit(0)) + F.sum("_cs").over(inside) - 1).drop("_pc", "_open", "_run", "_cs", "_done")
 
 
