@@ -70,3 +70,18 @@ def test_pieces_of_null_keys_are_numbered(spark, piece):
     got = {(r.doc, r.pos): r.position for r in C._numbered(df, ["doc"], 3, piece).collect()}
     want = [0, 0, 0, 1, 2, 2, 2, 3, 3, 3, 4]
     assert got == {**{(d, p): w for d in (None, 1) for p, w in enumerate(want)}, (2, 0): 0}
+
+
+def test_model_calls_hold_a_slice_of_a_batch(spark, monkeypatch):
+    from ragloom.operators import embedding as M
+
+    monkeypatch.setattr(M, "CALL_ROWS", 4)
+
+    def factory():
+        return lambda texts: [[len(texts), 1.0, len(t)] for t in texts]
+
+    df = spark.createDataFrame([(i, None if i == 5 else "w" * i) for i in range(11)], "i int, t string").coalesce(1)
+    seen = {r.i: list(r.v) for r in df.select("i", M.embedder_udf(factory, prefix="p", normalize=False)("t").alias("v")).collect()}
+    assert [seen[i][0] for i in range(11)] == [4.0] * 8 + [3.0] * 3  # a batch of 11 rows is no call of its own
+    assert [seen[i][2] for i in range(11)] == [1.0 + (0 if i == 5 else i) for i in range(11)]
+    assert df.limit(0).select(M.embedder_udf(factory)("t")).collect() == []
