@@ -58,7 +58,9 @@ def _same(left: DataFrame, right: DataFrame, cols: list[str]):
 def _inside(data: DataFrame, brackets: DataFrame, group_cols: list[str]) -> DataFrame:
     """Rows up to each bracket's end, once per bracket of their group; ``_v`` is null for those below it."""
     b, _ = bounded_broadcast(brackets.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], "_rank", "_lo", "_hi", "_margin"))
-    j = data.join(b, _same(data, b, group_cols) & (data["_v"] <= b["_hi"]))
+    # a key that the optimizer can't fold: where the group is a constant, the range alone would be left and every row would meet every bracket
+    data, b = data.withColumn("_one", F.when(F.col("_v").isNotNull(), F.lit(1))), b.withColumn("_one", F.when(F.col("_hi").isNotNull(), F.lit(1)))
+    j = data.join(b, _same(data, b, group_cols) & (data["_one"] == b["_one"]) & (data["_v"] <= b["_hi"]))
     return j.select(*group_cols, "_rank", "_lo", "_hi", "_margin", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
 
 
